@@ -24,16 +24,30 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_digests(turns.unionByName(hard)).drop("rewritten")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import secret_digests
+
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup_digests
 
     return line_dedup_digests(_table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_digests
+
+    return mix_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
+    "op3_secret_scan": op3_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op8_mixing": op8_mixing,
 }
 
 #: Spaces that the contracts strip from the ends of lines.
@@ -55,6 +69,20 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(4 + n_role + 2 + n_escaped + 9) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id""",
+    "op3_secret_scan": """
+WITH rules(kind, place, pattern, least) AS (VALUES
+  ('assign', 0, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+', 1),
+  ('access', 1, 'AKIA[A-Z0-9]+', 20), ('hex', 2, '[0-9a-f]+', 24)),
+cut AS (SELECT doc_id, kind, place, least, regexp_extract_all(coalesce(text, ''), pattern) AS m, string_split_regex(coalesce(text, ''), pattern) AS g FROM documents, rules
+  WHERE kind <> 'hex' OR regexp_matches(coalesce(text, ''), '[0-9a-f]{24}')),
+placed AS (SELECT doc_id, kind, place, least, m[i] AS s, sum(length(g[i]) + length(m[i])) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop
+  FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM cut)),
+found AS (SELECT *, stop - length(s) AS begin FROM placed WHERE CASE WHEN kind = 'assign'
+  THEN length(regexp_extract(s, '(?i)(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1)) >= 6 ELSE length(s) >= least END),
+each AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS h,
+  string_agg(kind || ':' || CAST(begin AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY begin, place) AS spans FROM found GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN each e ON d.doc_id = e.doc_id""",
     "op5_line_dedup": rf"""
 WITH lines AS (
   SELECT doc_id, pos, line, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS k
