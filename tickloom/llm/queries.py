@@ -42,12 +42,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup_digests
+
+    return substring_dedup_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
     "op3_secret_scan": op3_secret_scan,
     "op5_line_dedup": op5_line_dedup,
     "op8_mixing": op8_mixing,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 #: Spaces that the contracts strip from the ends of lines.
@@ -91,4 +98,15 @@ hot AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_i
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE k IN (SELECT k FROM hot)) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE k NOT IN (SELECT k FROM hot)), '')) AS kept_sha256
 FROM lines GROUP BY doc_id""",
+    "op9_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS s FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 12)) AS i FROM w)),
+low AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN low ON win.s = low.s WHERE low.d < win.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS i FROM hit),
+each AS (SELECT doc_id, words[i] AS word, i FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM w)),
+kept AS (SELECT e.doc_id, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY e.i) FILTER (WHERE g.i IS NULL) AS t
+  FROM each e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
 }
