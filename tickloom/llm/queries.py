@@ -36,6 +36,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup_digests(_table(spark, sf_dir, "documents")).drop("keep_bitmap")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import bpe_digests
+
+    return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_digests
 
@@ -53,6 +61,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_secret_scan": op3_secret_scan,
     "op5_line_dedup": op5_line_dedup,
+    "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
 }
