@@ -56,6 +56,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup_digests(_table(spark, sf_dir, "documents"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup_digests
+
+    return near_dedup_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_chat_format": op2_chat_format,
@@ -64,6 +70,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 #: Spaces that the contracts strip from the ends of lines.
