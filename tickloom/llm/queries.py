@@ -44,6 +44,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_languages
+
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_digests
 
@@ -68,6 +74,7 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_bpe": op6_bpe,
+    "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
