@@ -1 +1,4 @@
-"""tickloom.plans."""
+"""Registered queries with their SQL."""
+
+from . import indicators  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
