@@ -71,3 +71,33 @@ def sql_ewm_seeded(x: str, alpha: float, n: int, order: str = "i", part: str = "
     w = 1 - alpha
     seed = f"CASE WHEN {order} < {n} THEN {x} / {n}.0 * pow({w!r}, {1 - n}) ELSE {alpha!r} * {x} * pow({w!r}, -{order}) END"
     return f"CASE WHEN {order} >= {n - 1} THEN pow({w!r}, {order}) * sum({seed}) OVER (PARTITION BY {part} ORDER BY {order}) END"
+
+
+#: A small table of corporate actions on the panel's symbols (fixed values): symbol, ex_date, type, ratio, cash, confidence.
+ACTION_ROWS = (
+    ("NATION_1", "1997-03-10", "split", 2.0, None, "HIGH"),
+    ("NATION_1", "1999-06-01", "bonus", 1.5, None, "HIGH"),
+    ("NATION_2", "1998-05-05", "demerger", None, None, "UNVERIFIED"),
+    ("NATION_3", "1996-07-01", "dividend", None, 5.0, "HIGH"),
+    ("NATION_3", "2000-02-14", "dividend", None, 7.5, "HIGH"),
+    ("NATION_4", "1999-09-09", "rights", 1.2, None, "RATIO_APPROX"),
+    ("NATION_5", "2003-01-01", "split", 5.0, None, "HIGH"),
+    ("NATION_6", "1997-11-11", "split", 4.0, None, "HIGH"),
+    ("NATION_6", "1997-11-11", "bonus", 2.0, None, "HIGH"),
+    ("NATION_7", "1998-08-08", "split", 1.1, None, "DERIVED_DATE"),
+)
+
+
+def actions(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(list(ACTION_ROWS), "symbol string, d string, action_type string, ratio double, dividend_amount double, confidence string")
+    return rows.select("symbol", F.to_date("d").alias("ex_date"), "action_type", "ratio", "dividend_amount", F.lit("table").alias("source"), "confidence")
+
+
+def _literal(x) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x!r}"
+
+
+#: The same in SQL: table ``actions``.
+ACTIONS = "actions AS (SELECT symbol, CAST(d AS DATE) AS ex_date, action_type, CAST(ratio AS DOUBLE) AS ratio, CAST(cash AS DOUBLE) AS dividend_amount, confidence FROM (VALUES " + ", ".join(
+    "(" + ", ".join(map(_literal, r)) + ")" for r in ACTION_ROWS
+) + ") AS v(symbol, d, action_type, ratio, cash, confidence))"
