@@ -69,14 +69,16 @@ def rolling_rank(x: Column, n: int, least: int) -> Column:
     return F.when((F.size(values) >= least) & x.isNotNull(), (below + (equal + 1) / 2) / F.size(values))
 
 
-def rolling_line(y: Column, n: int) -> tuple[Column, Column]:
-    """(slope, value) of the least-squares line through the n rows before this one, extrapolated to this row."""
+def rolling_line(y: Column, n: int, i: Column) -> tuple[Column, Column]:
+    """(slope, value) of the least-squares line through the n rows before this one, extrapolated to this row; ``i`` is a column with the row's number.
+
+    Two sums a frame make the line, whatever its length.
+    """
     frame = series().rowsBetween(-n, -1)
+    total = F.sum(y).over(frame)
     mean_x = -(n + 1) / 2
-    sxx = n * (n * n - 1) / 12
-    place = sum((F.lag(y, k).over(series()) * (-k - mean_x) for k in range(1, n + 1)), F.lit(0.0))
-    slope = F.when(F.count(y).over(frame) == n, place / sxx)
-    return slope, F.avg(y).over(frame) - slope * mean_x
+    slope = F.when(F.count(y).over(frame) == n, (F.sum(y * i).over(frame) - (i + mean_x) * total) / (n * (n * n - 1) / 12))
+    return slope, total / n - slope * mean_x
 
 
 def zscore(x: Column, n: int, least: int | None = None) -> Column:

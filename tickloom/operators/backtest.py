@@ -137,9 +137,9 @@ def rebalanced(df: DataFrame, score: str, every: int = 4, offset: int = 0, share
     run = Window.partitionBy("symbol", "k").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     grown = F.coalesce(F.product(1 + F.col("r")).over(run), F.lit(1.0))
     rows = rows.withColumn("dw", F.col("w") * grown).withColumn("db", F.col("bw") * grown)
-    daily = rows.groupBy("k", "formed", "date", "i").agg((F.sum(F.col("dw") * F.col("r")) / F.sum("dw")).alias("strat"), (F.sum(F.col("db") * F.col("r")) / F.sum("db")).alias("bench"))
+    daily = rows.groupBy("k", "formed", "date", "i").agg((F.sum(F.col("dw") * F.col("r")) / nonzero(F.sum("dw"))).alias("strat"), (F.sum(F.col("db") * F.col("r")) / nonzero(F.sum("db"))).alias("bench"))
     ended = rows.groupBy("k", "symbol").agg(F.product(1 + F.col("r")).alias("g"), F.max("w").alias("w")).withColumn("e", F.col("w") * F.col("g"))
-    ended = ended.withColumn("e", F.col("e") / F.sum("e").over(Window.partitionBy("k"))).select("symbol", (F.col("k") + 1).alias("k"), "e")
+    ended = ended.withColumn("e", F.col("e") / nonzero(F.sum("e").over(Window.partitionBy("k")))).select("symbol", (F.col("k") + 1).alias("k"), "e")
     traded = picked.select("symbol", "k", "w").join(ended, ["symbol", "k"], "full").groupBy("k").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("e", F.lit(0.0)))).alias("traded"))
     first = F.row_number().over(Window.partitionBy("k").orderBy("date")) == 1
     out = daily.withColumn("first", first).join(traded, "k", "left")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import change, extreme_before, series, so_far, zscore
@@ -156,7 +156,7 @@ def grid_rule(df: DataFrame, params: DataFrame) -> DataFrame:
         df = ind.ema(df, n, f"s_e{n}")
     pick = lambda p, c: F.coalesce(*[F.when(F.col(c) == n, F.col(f"{p}{n}")) for n in sorted({r[c] for r in spans})])
     each = df.crossJoin(F.broadcast(params)).withColumn("s_r", pick("s_r", "n_rsi")).withColumn("s_e", pick("s_e", "n_ema"))
-    spec = series().partitionBy("symbol", "rule").orderBy("date").rowsBetween(-(1 << 31), 0)
+    spec = Window.partitionBy("symbol", "rule").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     event = F.when(F.col("s_r").isNull(), 0).when((F.col("s_r") > F.col("entry")) & (F.col("close") > F.col("s_e")), 1).when(F.col("s_r") < F.col("exit_floor"), 0)
     return each.withColumn("signal", F.coalesce(F.last(event, ignorenulls=True).over(spec), F.lit(0)))
 

@@ -1,4 +1,4 @@
 """Registered queries with their SQL."""
 
-from . import indicators, market  # noqa: F401
+from . import indicators, market, strategy  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -298,7 +298,8 @@ FROM (SELECT *, row_number() {_W} AS k FROM m) WINDOW f AS (PARTITION BY symbol
 )
 def _(spark, d):
     df = trade_bars(spark, d).withColumn("x", r.change(F.col("close"))).withColumn("mk", F.avg("x").over(Window.partitionBy("date")))
-    slope, value = r.rolling_line(F.col("close"), 10)
+    df = df.withColumn("i", F.row_number().over(r.series()))
+    slope, value = r.rolling_line(F.col("close"), 10, F.col("i"))
     return df.select("symbol", "date", F.round(r.rolling_skew(F.col("x"), 60), 4).alias("skew60"), F.round(r.rolling_beta(F.col("x"), F.col("mk"), 60), 5).alias("beta60"), F.round(slope, 4).alias("slope10"), F.round(value, 2).alias("line10"))
 
 

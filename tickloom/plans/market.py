@@ -123,13 +123,13 @@ def _(spark, d):
     return calendar.jump_guarded(trade_bars(spark, d), 20, 1.2).select("symbol", "date")
 
 
-@query("prj02_03_06_cases_and_windows", with_bars("""SELECT symbol, date, CASE WHEN close > open THEN 'up' WHEN close < open THEN 'down' ELSE 'flat' END AS kind, round(close / CASE WHEN volume IS NULL OR volume = 0 THEN 1 ELSE volume END, 4) AS safe,
+@query("prj02_03_06_cases_and_windows", with_bars("""SELECT symbol, date, CASE WHEN close > open THEN 'up' WHEN close < open THEN 'down' ELSE 'flat' END AS kind, round(ln(close / CASE WHEN volume IS NULL OR volume = 0 THEN 1 ELSE volume END), 6) AS safe,
   len(list(close) OVER f) AS n, round(list_sum(list(close) OVER f), 4) AS total FROM bars WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 12 FOLLOWING)"""))
 def _(spark, d):
     around = F.collect_list(F.struct("date", "close")).over(Window.partitionBy("symbol").orderBy("date").rowsBetween(-5, 12))
     kind = F.when(F.col("close") > F.col("open"), "up").when(F.col("close") < F.col("open"), "down").otherwise("flat")
     df = trade_bars(spark, d).withColumn("w", around)
-    return df.select("symbol", "date", kind.alias("kind"), F.round(safe_ratio(F.col("close"), F.col("volume")), 4).alias("safe"), F.size("w").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x["close"]), 4).alias("total"))
+    return df.select("symbol", "date", kind.alias("kind"), F.round(F.log(safe_ratio(F.col("close"), F.col("volume"))), 6).alias("safe"), F.size("w").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x["close"]), 4).alias("total"))
 
 
 @query("prj05_flag_dates", with_bars("""x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 50 = 0), d AS (SELECT DISTINCT date FROM bars)
@@ -276,12 +276,12 @@ _ART = "art AS (SELECT symbol, min(date) AS date FROM bars WHERE date >= DATE '1
 
 @query("adj10_11_repaired", with_bars(f"""{_ART}, idx AS (SELECT date, avg(close) AS level FROM bars GROUP BY date), n AS (SELECT b.symbol, b.date, b.close, lag(b.close) OVER (PARTITION BY b.symbol ORDER BY b.date) AS pc, idx.level, lag(idx.level) OVER (PARTITION BY b.symbol ORDER BY b.date) AS pl FROM bars b JOIN idx ON b.date = idx.date),
 f AS (SELECT n.symbol, n.date, close / pc / (level / pl) AS f FROM n JOIN art ON n.symbol = art.symbol AND n.date = art.date)
-SELECT b.symbol, b.date, round(b.close * coalesce((SELECT f.f FROM f WHERE f.symbol = b.symbol AND f.date > b.date), 1), 3) AS close FROM bars b"""))
+SELECT b.symbol, b.date, round(ln(b.close * coalesce((SELECT f.f FROM f WHERE f.symbol = b.symbol AND f.date > b.date), 1)), 6) AS close FROM bars b"""))
 def _(spark, d):
     b = trade_bars(spark, d)
     art = b.where("date >= '1998-01-01'").groupBy("symbol").agg(F.min("date").alias("date"))
     idx = b.groupBy("date").agg(F.avg("close").alias("level"))
-    return rounded(adjust.repaired(b, art, idx), ["symbol", "date", "close"], 3)
+    return rounded(adjust.repaired(b, art, idx).withColumn("close", F.log("close")), ["symbol", "date", "close"])
 
 
 @query("adj12_total_return_open", with_bars("SELECT symbol, date, round(open * (close * 1.1 / close), 6) AS ao FROM bars"))
@@ -396,14 +396,14 @@ def fold_ranges(spark):
 
 
 _CAL = "c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n FROM (SELECT DISTINCT date FROM bars))"
-_KEPT = f"""{_LABELS}, {_CAL}, w AS (SELECT lab.symbol, lab.date, greatest(lab.date, coalesce(td, e.date)) AS we FROM lab JOIN c ON lab.date = c.date JOIN c e ON e.n = least(c.n + 10, (SELECT max(n) FROM c)) WHERE reason IS NULL),
+_KEPT = f"""{_LABELS}, {_CAL}, w AS (SELECT lab.symbol || '' AS symbol, lab.date, greatest(lab.date, coalesce(td, e.date)) AS we FROM lab JOIN c ON lab.date = c.date JOIN c e ON e.n = least(c.n + 10, (SELECT max(n) FROM c)) WHERE reason IS NULL),
 r0 AS (SELECT * FROM (VALUES {', '.join(f"({k + 1}, DATE '{a}', DATE '{b}')" for k, (a, b) in enumerate(RANGES))}) AS v(fold, a, b)),
 r AS (SELECT fold, a, b, coalesce((SELECT date FROM c WHERE n = least((SELECT n FROM c WHERE date = b) + 10, (SELECT max(n) FROM c))), CAST(b + 20 AS DATE)) AS s FROM r0)"""
 
 
 def _folds_sql(inside: str) -> str:
     return with_bars(f"""{_KEPT}, f AS (SELECT fold, 'test' AS role, symbol, date FROM w, r WHERE date BETWEEN a AND b AND we <= b
-UNION ALL SELECT r.fold, 'train', symbol, date FROM w, r WHERE we < r.a AND NOT EXISTS (SELECT 1 FROM r p WHERE p.fold < r.fold AND {inside})) SELECT fold, role, symbol, count(*) AS n, min(date) AS first, max(date) AS last FROM f GROUP BY fold, role, symbol""")
+UNION ALL (SELECT r.fold, 'train', symbol, date FROM w, r WHERE we < r.a EXCEPT SELECT r.fold, 'train', symbol, date FROM w, r, r p WHERE p.fold < r.fold AND {inside})) SELECT fold, role, symbol, count(*) AS n, min(date) AS first, max(date) AS last FROM f GROUP BY fold, role, symbol""")
 
 
 for _rule, _inside in (("embargo_shadow", "w.date > p.b AND w.date <= p.s"), ("drop_all_after_prior_test", "w.date > p.b")):
