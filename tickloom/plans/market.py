@@ -396,14 +396,17 @@ def fold_ranges(spark):
 
 
 _CAL = "c AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS n FROM (SELECT DISTINCT date FROM bars))"
-_KEPT = f"""{_LABELS}, {_CAL}, w AS (SELECT lab.symbol || '' AS symbol, lab.date, greatest(lab.date, coalesce(td, e.date)) AS we FROM lab JOIN c ON lab.date = c.date JOIN c e ON e.n = least(c.n + 10, (SELECT max(n) FROM c)) WHERE reason IS NULL),
+_KEPT = f"""{_LABELS}, {_CAL}, lk AS MATERIALIZED (SELECT CAST(substr(symbol, 8) AS INTEGER) AS k, date, td FROM lab WHERE reason IS NULL),
+c10 AS MATERIALIZED (SELECT date, coalesce(lead(date, 10) OVER (ORDER BY date), max(date) OVER ()) AS e FROM c), w AS MATERIALIZED (SELECT k, lk.date, greatest(lk.date, coalesce(td, e)) AS we FROM lk JOIN c10 ON lk.date = c10.date),
 r0 AS (SELECT * FROM (VALUES {', '.join(f"({k + 1}, DATE '{a}', DATE '{b}')" for k, (a, b) in enumerate(RANGES))}) AS v(fold, a, b)),
 r AS (SELECT fold, a, b, coalesce((SELECT date FROM c WHERE n = least((SELECT n FROM c WHERE date = b) + 10, (SELECT max(n) FROM c))), CAST(b + 20 AS DATE)) AS s FROM r0)"""
 
 
 def _folds_sql(inside: str) -> str:
-    return with_bars(f"""{_KEPT}, f AS (SELECT fold, 'test' AS role, symbol, date FROM w, r WHERE date BETWEEN a AND b AND we <= b
-UNION ALL (SELECT r.fold, 'train', symbol, date FROM w, r WHERE we < r.a EXCEPT SELECT r.fold, 'train', symbol, date FROM w, r, r p WHERE p.fold < r.fold AND {inside})) SELECT fold, role, symbol, count(*) AS n, min(date) AS first, max(date) AS last FROM f GROUP BY fold, role, symbol""")
+    return with_bars(f"""{_KEPT}, f AS (SELECT fold, 1 AS test, k, date FROM w, r WHERE date BETWEEN a AND b AND we <= b
+UNION ALL (SELECT r.fold, 0, k, date FROM w, r WHERE we < r.a EXCEPT SELECT r.fold, 0, k, date FROM w, r, r p WHERE p.fold < r.fold AND {inside})),
+n AS (SELECT fold, test, k, count(*) AS n, min(date) AS first, max(date) AS last FROM f GROUP BY fold, test, k)
+SELECT fold, CASE WHEN test = 1 THEN 'test' ELSE 'train' END AS role, 'NATION_' || k AS symbol, n, first, last FROM n""")
 
 
 for _rule, _inside in (("embargo_shadow", "w.date > p.b AND w.date <= p.s"), ("drop_all_after_prior_test", "w.date > p.b")):
@@ -418,7 +421,7 @@ for _rule, _inside in (("embargo_shadow", "w.date > p.b AND w.date <= p.s"), ("d
     query(f"spl02_03_folds_{_rule}", _folds_sql(_inside))(_run)
 
 
-@query("spl01_window_end", with_bars(f"{_KEPT} SELECT symbol, date, we AS window_end FROM w"))
+@query("spl01_window_end", with_bars(f"{_KEPT} SELECT 'NATION_' || k AS symbol, date, we AS window_end FROM w"))
 def _(spark, d):
     b = trade_bars(spark, d)
     return splits.with_window_end(labels.triple_barrier(b).where("dropped_reason is null"), calendar.trading_calendar(b)).select("symbol", "date", "window_end")
@@ -446,8 +449,8 @@ def _(spark, d):
     return splits.combinatorial_roles(b, plan, held, dates).groupBy("path", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("spl06_walk_forward", with_bars("""s AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS k FROM (SELECT DISTINCT date FROM bars)), f AS (SELECT year(date) AS y, min(k) AS lo FROM s GROUP BY 1)
-SELECT f.y AS year, CASE WHEN year(b.date) = f.y THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM bars b JOIN s ON b.date = s.date, f WHERE year(b.date) = f.y OR s.k < f.lo - 6 GROUP BY 1, 2"""))
+@query("spl06_walk_forward", with_bars("""n AS MATERIALIZED (SELECT date, count(*) AS c, row_number() OVER (ORDER BY date) - 1 AS k FROM bars GROUP BY date), f AS MATERIALIZED (SELECT year(date) AS y, min(k) AS lo FROM n GROUP BY 1),
+g AS (SELECT f.y, year(n.date) = f.y AS test, CAST(sum(c) AS BIGINT) AS n FROM n, f WHERE year(n.date) = f.y OR n.k < f.lo - 6 GROUP BY 1, 2) SELECT y AS year, CASE WHEN test THEN 'test' ELSE 'train' END AS role, n FROM g"""))
 def _(spark, d):
     b = trade_bars(spark, d).select("symbol", "date")
     return splits.yearly_walk_forward(b, splits.date_blocks(b)).groupBy("year", "role").agg(F.count(F.lit(1)).alias("n"))
