@@ -33,6 +33,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import released, small_batches
+
 SUFFIX = "</w>"
 #: Contractions, runs of letters, single digits, runs of other marks (fixed values of the tokenizer file).
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
@@ -90,12 +92,15 @@ class MergeList:
             else:  # of two equal merges the left one comes first
                 limit, b = rb + 1, self.left[b]
 
+    def forget(self) -> None:
+        self._fits.clear()
+
     def fits(self, a: int, b: int) -> bool:
         """Whether the merge list makes tokens a, b of their joint text."""
         key = (a, b)
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) > 300_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             known = self._fits[key] = self._can_stand(a, b)
         return known
@@ -162,13 +167,18 @@ class MergeList:
 class Tokenizer:
     """A merge list with the normalisation, the pieces and the special tokens of its file. Pieces are remembered, up to a bound."""
 
-    def __init__(self, content: bytes, most_remembered: int = 400_000):
+    def __init__(self, content: bytes, most_remembered: int = 250_000):
         self.merges = MergeList(content)
         self._symbols = dict(enumerate(byte_symbols()))
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
         self._remembered: dict[str, bytes] = {}
         self._most = most_remembered
 
+    def forget(self) -> None:
+        """Drops what was remembered: a worker that is used again for other work should not hold it."""
+        self._remembered.clear()
+        self.merges.forget()
+
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return _ASCII_PIECES.findall(text.lower())
@@ -248,7 +258,7 @@ def _broadcast(df: DataFrame, path: str):
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` rows as doc_id, n_tokens, ids (array of int)."""
-    content = _broadcast(docs, path)
+    content = _broadcast(small_batches(docs), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(content)
@@ -258,13 +268,15 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
+        tokenizer.forget()
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text of rows with ids: letters in lower case, a space after each piece, as the vocabulary keeps them."""
-    content = _broadcast(encoded, path)
+    content = _broadcast(small_batches(encoded), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(content)
@@ -280,7 +292,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: one row for each row of ``docs``, decoded from its ids."""
-    content = _broadcast(docs, path)
+    content = _broadcast(small_batches(docs), path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(content)
@@ -292,5 +304,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                 shas.append(hashlib.sha256(ids).hexdigest())
                 texts.append(hashlib.sha256(tokenizer.joined_tokens(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tokenizer.forget()
+        released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed
+from .runtime import checkpointed, released, small_batches
 from .wordvec import SPACE, mix, text_chunks
 
 UNKNOWN = "und"
@@ -131,7 +131,7 @@ class GramFilters:
 
 def learn_filters(docs: DataFrame, size: int = 4, least_share: float = 2e-5, stray: float = 0.1, slots_log2: int = 20) -> GramFilters:
     """Filters from the text and lang of all rows of ``docs`` that have both and are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = rows.mapInArrow(_counter(size), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # totals per language come with the counts: one pass over the texts, and the join's small side has a row a language
     counts = checkpointed(counts)
@@ -169,13 +169,14 @@ def _predictor(filters, size: int):
                         names.append(model.languages[best])
                         values.append(float(scores[i, best]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(values, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        released()
 
     return run
 
 
 def predict_languages(docs: DataFrame, filters: GramFilters, size: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each row of ``docs``, from its text alone."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(filters)  # 8 bytes a slot
     return rows.mapInArrow(_predictor(model, size), "doc_id long, held_out boolean, lang_pred string, score double")
 

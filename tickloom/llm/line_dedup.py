@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, row_key
+from .runtime import checkpointed, packed, released, row_key, small_batches, unpacked
 
 SPACES = b" \t\n\x0b\x0c\r"
 _DROP, _PENDING, _SUMMARY = 0, 1, 2
@@ -53,6 +53,7 @@ def _occurrences(min_chars: int):
                     for column, value in zip(out, (hashlib.blake2b(k, digest_size=16).digest(), doc_id, key, len(lines), at)):
                         column.append(value)
             yield _batch(out, _OCCURRENCE_ARROW)
+        released()
 
     return run
 
@@ -147,7 +148,7 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
     Repeats go in every document, or, with ``keep_first``, everywhere but at the first position in
     the document with the smallest (doc_id, text_key).
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.mapInArrow(_occurrences(min_chars), _OCCURRENCE)
     dealt = found.repartitionByRange("digest", "doc_id", "text_key").sortWithinPartitions("digest", "doc_id", "text_key")
     settled = checkpointed(dealt.mapInArrow(_settle(min_docs, keep_first), _SETTLED))
@@ -164,11 +165,10 @@ def line_keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, k
 
 
 def with_keep_bitmap(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the column ``tl_keep_bitmap``, null where all lines stay. The bitmaps, not the texts, are what the join hashes."""
-    right = bitmaps.select(F.col("doc_id").cast("long").alias("tl_doc"), F.col("text_key").alias("tl_key"), F.col("keep_bitmap").alias("tl_keep_bitmap")).hint("shuffle_hash")
-    left = docs.drop("tl_keep_bitmap", "tl_doc", "tl_key").withColumn("tl_left_key", row_key(F.col("text"))).withColumn("tl_left_doc", F.col("doc_id").cast("long"))
-    joined = left.join(right, F.col("tl_left_doc").eqNullSafe(F.col("tl_doc")) & (F.col("tl_left_key") == F.col("tl_key")), "left")
-    return joined.drop("tl_doc", "tl_key", "tl_left_key", "tl_left_doc")
+    """tl_row (the columns of ``docs``) and keep_bitmap, null where all lines stay. The bitmaps, not the texts, are what the join hashes."""
+    right = bitmaps.select(F.col("doc_id").cast("long").alias("d"), F.col("text_key").alias("k"), "keep_bitmap").hint("shuffle_hash")
+    joined = packed(docs).join(right, F.col("tl_doc").eqNullSafe(F.col("d")) & (F.col("tl_key") == F.col("k")), "left")
+    return joined.select("tl_row", "keep_bitmap")
 
 
 def kept_lines(text: str | None, bitmap: bytes | None) -> tuple[str, int, int]:
@@ -198,13 +198,11 @@ def line_dedup_digests(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     """One row for each row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256, keep_bitmap (null: all lines stay)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = with_keep_bitmap(docs, line_keep_bitmaps(docs, min_docs, min_chars, keep_first))
-    return marked.select("doc_id", "text", "tl_keep_bitmap").mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, keep_bitmap binary")
+    return marked.select("tl_row.doc_id", "tl_row.text", "keep_bitmap").mapInArrow(_digests, "doc_id long, n_lines long, n_dropped long, kept_sha256 string, keep_bitmap binary")
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """``docs`` with repeated lines gone from ``text`` (and ``n_chars``, where there is one, counted anew)."""
     marked = with_keep_bitmap(docs, line_keep_bitmaps(docs, min_docs, min_chars, keep_first))
-    out = marked.withColumn("text", F.when(F.col("tl_keep_bitmap").isNull(), F.col("text")).otherwise(F.pandas_udf(_drop_lines, "string")("text", "tl_keep_bitmap"))).drop("tl_keep_bitmap")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    text = F.col("tl_row.text")
+    return unpacked(marked, docs, text=F.when(F.col("keep_bitmap").isNull(), text).otherwise(F.pandas_udf(_drop_lines, "string")(text, "keep_bitmap")))

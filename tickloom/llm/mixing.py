@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import WORD_PATTERN, checkpointed
+from .runtime import WORD_PATTERN, checkpointed, packed, unpacked
 
 
 def sainte_lague(votes: Sequence[int], seats: int, caps: Sequence[int] | None = None) -> list[int]:
@@ -34,9 +34,9 @@ def sainte_lague(votes: Sequence[int], seats: int, caps: Sequence[int] | None =
     """
     v = np.asarray(votes, float)
     top = np.full(len(v), np.inf) if caps is None else np.asarray(caps, float)
-    if not len(v) or seats <= 0:
-        return [0] * len(v)
     seats = int(min(seats, top[v > 0].sum())) if (v > 0).any() else 0
+    if seats <= 0:
+        return [0] * len(v)
 
     def filled(divisor: float) -> np.ndarray:
         return np.minimum(np.floor(v / divisor + 0.5), top)
@@ -68,13 +68,13 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: float =
                 targets[i] = unit * weights[i]
             break
         for i in full:
-            targets[i] = most * sizes[i]
+            targets[i] = float(most * sizes[i])
             left -= targets[i]
             open_.discard(i)
     return targets
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, block_words: int = 64, shard_words: int = 16_000_000, seed: int = 17, max_shards: int = 5_000_000) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, block_words: int = 16, shard_words: int = 16_000_000, seed: int = 17, max_shards: int = 5_000_000) -> DataFrame:
     """doc_id, source, tl_row, size, source_size, target, taken: one row for each row of ``docs``.
 
     ``weights`` go round over the sources in order of code points, null last. ``tl_row`` is a hash of the
@@ -127,20 +127,16 @@ def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
 
     The part keeps the text up to its last word; what was not taken goes.
     """
-    take = mixed(docs, **parameters).groupBy("doc_id", "source", "tl_row").agg(F.sum("taken").alias("tl_taken"), F.max("size").alias("tl_size"), F.count(F.lit(1)).alias("tl_rows"))
-    take = take.where(F.col("tl_taken") > 0).select(F.col("doc_id").alias("tl_d"), F.col("source").alias("tl_s"), F.col("tl_row").alias("tl_r"), "tl_taken", "tl_size", "tl_rows").hint("shuffle_hash")
-    # repeated rows share what they take: one of them carries it
-    left = docs.withColumn("tl_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("tl_d")) & F.col("source").cast("string").eqNullSafe(F.col("tl_s")) & (F.col("tl_key") == F.col("tl_r"))
-    both = left.join(take, same)
-    share = F.floor(F.col("tl_taken") / F.col("tl_rows")).cast("long")
-    whole = F.floor(share / F.col("tl_size")).cast("int")
-    rest = (share - whole * F.col("tl_size")).cast("int")
-    both = both.withColumn("tl_parts", F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    both = both.withColumn("tl_part", F.explode("tl_parts"))
-    # a bounded repeat would be compiled anew for each length; cutting by the words' places is not
-    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    both = both.withColumn("text", F.when(F.col("tl_part") < 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.greatest("tl_part", F.lit(0))), "")))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(docs.columns)
+    take = mixed(docs, **parameters).groupBy("doc_id", "source", "tl_row").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    take = take.where(F.col("taken") > 0).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tl_row").alias("k"), "taken", "size", "rows").hint("shuffle_hash")
+    same = F.col("tl_doc").eqNullSafe(F.col("d")) & F.col("tl_row.source").cast("string").eqNullSafe(F.col("s")) & (F.col("tl_key") == F.col("k"))
+    # repeated rows share what they take in equal parts
+    share = F.floor(F.col("taken") / F.col("rows")).cast("long")
+    whole = F.floor(share / F.col("size")).cast("int")
+    rest = (share - whole * F.col("size")).cast("int")
+    parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    both = packed(docs).join(take, same).select("tl_row", F.explode(parts).alias("part"))
+    # cut by the words' places: a bounded pattern would have to be compiled for each length
+    text = F.col("tl_row.text")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return unpacked(both, docs, text=F.when(F.col("part") < 0, text).otherwise(F.array_join(F.slice(words, 1, F.greatest("part", F.lit(0))), "")))

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import WORD_PATTERN, checkpointed, row_key
+from .runtime import WORD_PATTERN, checkpointed, packed, row_key, unpacked
 
 #: n_words below this fail.
 LEAST_WORDS = 20
@@ -153,6 +153,5 @@ def quality_digests(docs: DataFrame, **parameters) -> DataFrame:
 
 def good_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    keep = quality_verdicts(docs, **parameters).where("kept").select(F.col("doc_id").alias("tl_d"), F.col("key").alias("tl_k")).hint("shuffle_hash")
-    same = F.col("doc_id").cast(_LONG).eqNullSafe(F.col("tl_d")) & (F.col("tl_key") == F.col("tl_k"))
-    return docs.withColumn("tl_key", row_key(F.col("text"))).join(keep, same, "left_semi").select(docs.columns)
+    keep = quality_verdicts(docs, **parameters).where("kept").select(F.col("doc_id").alias("d"), F.col("key").alias("k")).hint("shuffle_hash")
+    return unpacked(packed(docs).join(keep, F.col("tl_doc").eqNullSafe(F.col("d")) & (F.col("tl_key") == F.col("k")), "left_semi"), docs)

@@ -41,3 +41,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def row_key(text) -> "F.Column":
     """A 64-bit key that tells apart rows with the same doc_id but other texts."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+#: Rows of texts that travel to Python at once. Ten times as many, Spark's default, take some hundred MB on either side.
+BATCH_ROWS = 1000
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """tl_row (all columns of ``docs``, so that no name can clash), tl_doc, tl_key: what a join on documents needs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("tl_row"), F.col("doc_id").cast("long").alias("tl_doc"), row_key(F.col("text")).alias("tl_key"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed; ``n_chars``, where there is one, follows a changed text."""
+    if "text" in changed and "n_chars" in docs.columns:
+        rows = rows.withColumn("tl_text", changed["text"])
+        changed = changed | {"text": F.col("tl_text"), "n_chars": F.char_length("tl_text").cast(docs.schema["n_chars"].dataType)}
+    return rows.select(*[(changed[c] if c in changed else F.col(f"tl_row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches set to BATCH_ROWS at most: texts are long rows. The setting stays, since plans run later."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+def released() -> None:
+    """Gives back what Arrow's pool keeps for later: at the end of a task the worker may wait for other work."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()

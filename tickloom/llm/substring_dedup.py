@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import row_key
+from .runtime import released, row_key, small_batches
 from .wordvec import SPACE, Words, mix, sliding_min, text_chunks, window_hashes
 
 #: Stands for a null doc_id.
@@ -113,6 +113,7 @@ def _packed(window: int, run: int, buckets: int):
                     yield out
         if (out := batch_of(pack)) is not None:
             yield out
+        released()
 
     return each
 
@@ -222,7 +223,7 @@ def repeated_spans(docs: DataFrame, window: int = 13, run: int = 3, bucket_bytes
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
         row_key(F.col("text")).bitwiseAND(F.lit((1 << 32) - 1)).alias("key"),
