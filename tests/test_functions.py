@@ -302,8 +302,8 @@ def test_outcomes_by_hand(spark):
 
 def test_zigzag_alternates():
     x = np.array([math.sin(i / 5) for i in range(200)])
-    z = patterns.zigzag(x + 0.1, x - 0.1)
-    assert len(z) > 8 and all(a[2] == -b[2] for a, b in zip(z, z[1:])) and all(p[3] == p[0] + 5 for p in z)
+    *_, (known, z) = patterns.zigzags(x + 0.1, x - 0.1)
+    assert len(z) > 8 and all(a.kind == -b.kind for a, b in zip(z, z[1:])) and known == z[-1].bar + 5
 
 
 def test_spaced_out_counts_from_the_last_kept():
@@ -311,10 +311,13 @@ def test_spaced_out_counts_from_the_last_kept():
 
 
 def test_double_bottom_breaks_out(spark):
-    shape = [100 - abs(i - 10) * -1 for i in range(11)] + [120 - i for i in range(1, 21)] + [100 + i for i in range(1, 11)] + [110 - i for i in range(1, 11)] + [100 + i for i in range(1, 40)]
+    legs = [(60, 140, 100), (12, 100, 112), (12, 112, 100.5), (30, 100.5, 130)]
+    shape = [a + (b - a) * i / n for n, a, b in legs for i in range(n)]
     df = frame(spark, shape, spread=0.2).withColumn("atr", F.lit(1.0))
     found = {x.pattern: x for x in patterns.chart_events(df).collect()}
-    assert "double_bottom" in found and found["double_bottom"].dir == 1 and found["double_bottom"].target > found["double_bottom"].trigger
+    assert "Double Bottom" in found
+    e = found["Double Bottom"]
+    assert e.dir == 1 and e.trigger == pytest.approx(112.2, abs=0.5) and e.stop < 101 and e.target == pytest.approx(e.trigger + e.height)
 
 
 def test_bootstrap_holds_the_mean(spark):

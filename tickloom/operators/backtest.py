@@ -147,14 +147,48 @@ def rebalanced(df: DataFrame, score: str, every: int = 4, offset: int = 0, share
 
 
 def rank_portfolio(df: DataFrame, score: str, lag: int = 0, cost: float = 0.0) -> DataFrame:
-    """date, ret, turnover: weights in proportion to the date's rank of the score, earning the next return (``lag`` days later)."""
-    s = Window.partitionBy("symbol").orderBy("date")
-    day = Window.partitionBy("date")
-    rank = F.when(F.col(score).isNotNull(), F.rank().over(day.orderBy(F.col(score).asc_nulls_last())))
-    df = df.withColumn("tl_k", rank).withColumn("tl_w", F.coalesce(F.col("tl_k") / F.sum("tl_k").over(day), F.lit(0.0)))
-    df = df.withColumn("tl_r", F.coalesce(F.lead("close", 1 + lag).over(s) / nonzero(F.lead("close", lag).over(s) if lag else F.col("close")) - 1, F.lit(0.0)))
-    df = df.withColumn("tl_t", F.abs(F.col("tl_w") - F.coalesce(F.lag("tl_w").over(s), F.lit(0.0))))
-    return df.groupBy("date").agg(F.sum(F.col("tl_w") * F.col("tl_r")).alias("gross"), F.sum("tl_t").alias("turnover")).select("date", (F.col("gross") - F.col("turnover") * cost).alias("ret"), "turnover")
+    """date, gross, net, turnover: weights in proportion to the date's rank of the score (``lag`` rows old) earn the next day's return.
+
+    ``date`` is the day on which the weights are held; what is traded is against the weights of the day before as returns moved them.
+    """
+    s, day = Window.partitionBy("symbol").orderBy("date"), Window.partitionBy("date")
+    rank = F.when(F.col(score).isNotNull(), F.rank().over(day.orderBy(F.col(score).asc_nulls_last())) + (F.count(score).over(Window.partitionBy("date", score)) - 1) / 2)
+    df = df.withColumn("tl_k", rank).withColumn("tl_k", F.col("tl_k") / nonzero(F.sum("tl_k").over(day)))
+    df = df.withColumn("tl_w", F.coalesce(F.lag("tl_k", lag).over(s) if lag else F.col("tl_k"), F.lit(0.0)))
+    df = df.withColumn("tl_r", F.coalesce(F.lead("close").over(s) / nonzero(F.col("close")) - 1, F.lit(0.0)))
+    df = df.withColumn("tl_d", F.col("tl_w") * (1 + F.col("tl_r"))).withColumn("tl_d", F.coalesce(F.col("tl_d") / nonzero(F.sum("tl_d").over(day)), F.lit(0.0)))
+    df = df.withColumn("tl_t", F.abs(F.col("tl_w") - F.coalesce(F.lag("tl_d").over(s), F.lit(0.0))))
+    daily = df.groupBy("date").agg(F.sum(F.col("tl_w") * F.col("tl_r")).alias("gross"), F.sum("tl_t").alias("turnover"))
+    return daily.withColumn("net", (1 - F.col("turnover") * cost) * (1 + F.col("gross")) - 1)
+
+
+def period_backtest(samples: DataFrame, score: str, ret: str, share: float = 0.2, least: int = 3, cost: float = 0.00175) -> DataFrame:
+    """step, segment, strat, bench, traded of samples (step, symbol, ...): the best share of each step earns its period's return.
+
+    Steps without a gap are a segment; weights drift within it, and its last step pays for the way out.
+    """
+    steps = samples.select("step").distinct()
+    seg = steps.withColumn("segment", F.col("step") - F.row_number().over(Window.orderBy("step")))  # steps are few
+    day = Window.partitionBy("step")
+    rows = samples.where(F.col(score).isNotNull() & F.col(ret).isNotNull())
+    rows = rows.withColumn("o", F.row_number().over(day.orderBy(F.col(score).desc(), "symbol"))).withColumn("n", F.count(F.lit(1)).over(day))
+    top = F.greatest(F.bround(F.col("n") * share), F.lit(least))
+    rows = rows.select("step", "symbol", F.col(ret).alias("r"), F.when(F.col("o") <= top, 1 / F.least(top, F.col("n"))).otherwise(0.0).alias("w"), (1 / F.col("n")).alias("b")).join(seg, "step")
+    grown = F.col("w") * (1 + F.col("r"))
+    rows = rows.withColumn("e", grown / nonzero(F.sum(grown).over(day)))
+    ended = rows.select("segment", "symbol", (F.col("step") + 1).alias("step"), "e").join(seg.select("segment", "step"), ["segment", "step"])
+    moved = rows.select("segment", "step", "symbol", "w").join(ended, ["segment", "step", "symbol"], "full").groupBy("step").agg(F.sum(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("e", F.lit(0.0)))).alias("traded"))
+    out = rows.groupBy("segment", "step").agg(F.sum(F.col("w") * F.col("r")).alias("gross"), F.sum(F.col("b") * F.col("r")).alias("bench")).join(moved, "step")
+    last = F.col("step") == F.max("step").over(Window.partitionBy("segment"))
+    out = out.withColumn("traded", F.col("traded") + F.when(last, 1.0).otherwise(0.0))
+    return out.select("step", "segment", ((1 + F.col("gross")) * (1 - F.col("traded") * cost) - 1).alias("strat"), "bench", "traded")
+
+
+def benchmark_bundle(df: DataFrame, index: DataFrame, cost: float = 0.0035) -> DataFrame:
+    """name and metrics of the equal-weight hold of all symbols and of the index (date, level)."""
+    hold = equal_weight(buy_and_hold(df, cost)).select(F.lit("equal_weight_hold").alias("name"), "date", "ret")
+    level = index.select(F.lit("index").alias("name"), "date", (F.col("level") / nonzero(F.lag("level").over(Window.partitionBy(F.lit(0)).orderBy("date"))) - 1).alias("ret"))  # a row a date
+    return metrics(hold.unionByName(level), "ret", ("name",), position=None)
 
 
 def close_to_close(df: DataFrame, position: str) -> DataFrame:

@@ -121,18 +121,23 @@ def session_offset(df: DataFrame, calendar: DataFrame, date: str, h: int, out: s
     return df.withColumn("tl_w", F.least(F.col("tl_n") + h, F.col("tl_last"))).join(there, F.col("tl_w") == F.col("tl_t"), "left").drop("tl_d", "tl_n", "tl_last", "tl_w", "tl_t")
 
 
-def universe(bars: DataFrame, actions: DataFrame, calendar: DataFrame, holdout: str, warmup: int = 210, horizon: int = 10, least: int = 500) -> DataFrame:
-    """symbol, first_bar, last_bar, total_sessions, pre_holdout_sessions, eligible_from, truncate_at, exclude_reason (the first that holds)."""
-    life = bars.where("close is not null").groupBy("symbol").agg(F.min("date").alias("first_bar"), F.max("date").alias("last_bar"), F.count(F.lit(1)).alias("total_sessions"), F.sum((F.col("date") < F.lit(holdout).cast("date")).cast("long")).alias("pre_holdout_sessions"))
-    cut = actions.where((F.col("action_type") == "demerger") & (~usable(F.col("ratio")) | F.coalesce(F.col("confidence") == "UNVERIFIED", F.lit(False)))).groupBy("symbol").agg(F.min("ex_date").alias("truncate_at"))
-    df = session_offset(life, calendar, "first_bar", warmup, "eligible_from").join(cut, "symbol", "left")
-    usable_rows = F.greatest(F.col("pre_holdout_sessions") - warmup - horizon, F.lit(0))
-    df = df.withColumn("n_samples", usable_rows)
-    reason = (
-        F.when(F.col("first_bar") >= F.lit(holdout).cast("date"), "listed_after_holdout").when(F.col("truncate_at") <= F.col("eligible_from"), "demerger_child")
-        .when(F.col("pre_holdout_sessions") < least, "short_history").when(F.col("truncate_at").isNotNull(), "truncated")
-    )
-    return df.withColumn("exclude_reason", reason)
+def universe(bars: DataFrame, actions: DataFrame, calendar: DataFrame, holdout: str, warmup: int = 210, horizon: int = 10, children: tuple[str, ...] = (), unexplained: DataFrame | None = None) -> DataFrame:
+    """symbol, first_bar, last_bar, total_sessions, pre_holdout_sessions, eligible_from, truncate_at, n_samples, exclude_reason (the first that holds; fixed values).
+
+    Sessions count from the calendar. ``children``: symbols that a demerger made. ``unexplained``: symbols with moves that no action explains.
+    """
+    cut_day = F.lit(holdout).cast("date")
+    life = bars.groupBy("symbol").agg(F.min("date").alias("first_bar"), F.max("date").alias("last_bar"))
+    life = life.join(calendar.select("date", "session_no"), F.col("date").between(F.col("first_bar"), F.col("last_bar"))).groupBy("symbol", "first_bar", "last_bar").agg(
+        F.count(F.lit(1)).alias("total_sessions"), F.sum((F.col("date") < cut_day).cast("long")).alias("pre_holdout_sessions"), (F.min("session_no") + warmup + horizon).alias("tl_n")
+    )
+    life = life.join(calendar.select(F.col("session_no").alias("tl_s"), F.col("date").alias("eligible_from")), F.col("tl_n") == F.col("tl_s"), "left").drop("tl_n", "tl_s")
+    cut = actions.where((F.col("action_type") == "demerger") & (F.col("ratio").isNull() | F.coalesce(F.col("confidence") == "UNVERIFIED", F.lit(False)))).groupBy("symbol").agg(F.min("ex_date").alias("truncate_at"))
+    odd = unexplained.select("symbol", F.lit(True).alias("tl_odd")).distinct() if unexplained is not None else actions.select("symbol", F.lit(True).alias("tl_odd")).limit(0)
+    df = life.join(cut, "symbol", "left").join(odd, "symbol", "left").withColumn("n_samples", F.greatest(F.col("total_sessions") - warmup - horizon, F.lit(0)))
+    child = F.col("symbol").isin(*children) if children else F.lit(False)
+    reason = F.when(child, "demerger_child_overlaps_parent").when(F.col("first_bar") >= cut_day, "holdout_only_listing").when(F.col("pre_holdout_sessions") < warmup + horizon, "insufficient_history").when(F.col("tl_odd"), "unadjusted_big_move")
+    return df.withColumn("exclude_reason", reason).drop("tl_odd")
 
 
 def members(panel: DataFrame, as_of: str) -> DataFrame:
@@ -184,3 +189,15 @@ def validation(bars: DataFrame, calendar: DataFrame, actions: DataFrame) -> Data
 def complete(bars: DataFrame, least: int) -> DataFrame:
     """One row: symbols, complete."""
     return bars.agg(F.countDistinct("symbol").alias("symbols")).withColumn("complete", F.col("symbols") >= least)
+
+
+def label_check(labelled: DataFrame, bars: DataFrame, horizon: int = 10) -> DataFrame:
+    """symbol, date, problem of labels that their bars do not bear out: a touched bar that does not reach its barrier, a Sideways window that does."""
+    at = bars.select("symbol", "date", F.row_number().over(series()).alias("i"), "high", "low")
+    rows = labelled.where("dropped_reason is null").join(at.select("symbol", "date", "i"), ["symbol", "date"])
+    later = at.select(F.col("symbol").alias("s"), F.col("i").alias("j"), F.col("date").alias("d"), "high", "low")
+    met = rows.join(later, (F.col("symbol") == F.col("s")) & F.col("j").between(F.col("i") + 1, F.col("i") + horizon))
+    hit = (F.col("high") >= F.col("upper_barrier")) | (F.col("low") <= F.col("lower_barrier"))
+    g = met.groupBy("symbol", "date", "label", "touch_date").agg(F.max((hit & (F.col("d") == F.col("touch_date"))).cast("int")).alias("touched"), F.max(hit.cast("int")).alias("any"))
+    problem = F.when((F.col("label") == "Sideways") & (F.col("any") == 1), "sideways_touches").when((F.col("label") != "Sideways") & (F.coalesce("touched", F.lit(0)) == 0), "touch_not_there")
+    return g.withColumn("problem", problem).where("problem is not null").select("symbol", "date", "problem")

@@ -116,7 +116,7 @@ def obv(df: DataFrame, n: int = 20) -> DataFrame:
     first = F.row_number().over(series()) == 1
     df = df.withColumn("tl_s", step).withColumn("tl_f", F.when(first, F.col("volume")).otherwise(F.col("tl_s")))
     df = df.withColumn("obv", F.sum("tl_f").over(so_far())).withColumn("obv_zero", F.sum("tl_s").over(so_far()))
-    return ema(df, n, "obv_ema", x=F.col("obv")).drop("tl_s", "tl_f")
+    return ema(df, n, "obv_ema", "recursive", F.col("obv"), least=n).drop("tl_s", "tl_f")
 
 
 def accumulation(df: DataFrame) -> DataFrame:
@@ -132,18 +132,18 @@ def volume_weighted_move(df: DataFrame, n: int = 20, out: str = "vwpm") -> DataF
 
 
 def volume_breadth(df: DataFrame, n: int = 20) -> DataFrame:
-    """vol_breadth: the share of the last n bars whose volume was above its own mean."""
-    df = df.withColumn("tl_a", F.when(rolling(F.avg, F.col("volume"), n).isNotNull(), (F.col("volume") > rolling(F.avg, F.col("volume"), n)).cast("double")))
-    return df.withColumn("vol_breadth", rolling(F.avg, F.col("tl_a"), n)).drop("tl_a")
+    """vol_breadth: the share of the last n bars (fewer at the start) whose volume was above its own mean; a bar without a mean is not above it."""
+    df = df.withColumn("tl_a", F.coalesce(F.col("volume") > rolling(F.avg, F.col("volume"), n), F.lit(False)).cast("double"))
+    return df.withColumn("vol_breadth", F.avg("tl_a").over(past(n))).drop("tl_a")
 
 
-def seasonality(df: DataFrame) -> DataFrame:
-    """season: the mean of earlier returns on the same day of the month and in the same month, half each, cut to +-1 in percent."""
+def seasonality(df: DataFrame, least_rows: int = 30) -> DataFrame:
+    """season: half the mean of all returns so far on the same day of the month, and half that in the same month; 0 on the first rows."""
     df = df.withColumn("tl_r", change(F.col("close")))
     for name, part in (("tl_day", F.dayofmonth("date")), ("tl_month", F.month("date"))):
-        df = df.withColumn(name, F.avg("tl_r").over(Window.partitionBy("symbol", part).orderBy("date").rowsBetween(Window.unboundedPreceding, -1)))
+        df = df.withColumn(name, F.avg("tl_r").over(Window.partitionBy("symbol", part).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)))
     mean = (F.coalesce("tl_day", F.lit(0.0)) + F.coalesce("tl_month", F.lit(0.0))) / 2
-    return df.withColumn("season", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 100 * mean))).drop("tl_r", "tl_day", "tl_month")
+    return df.withColumn("season", F.when(F.row_number().over(series()) >= least_rows, mean).otherwise(0.0)).drop("tl_r", "tl_day", "tl_month")
 
 
 def efficiency(df: DataFrame, n: int = 10) -> DataFrame:
@@ -153,9 +153,9 @@ def efficiency(df: DataFrame, n: int = 10) -> DataFrame:
 
 
 def kama_values(close: np.ndarray, er: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
-    """Kaufman's mean: it starts at index n - 1 with the close; the smoothing follows the efficiency ratio."""
+    """Kaufman's mean: it starts at index n - 1 with the close; the smoothing follows the efficiency ratio. None for n bars or fewer."""
     out = np.full(len(close), np.nan)
-    if len(close) < n:
+    if len(close) <= n:
         return out
     quick, late = 2 / (fast + 1), 2 / (slow + 1)
     out[n - 1] = close[n - 1]
@@ -176,7 +176,7 @@ def kama(df: DataFrame, n: int = 10, fast: int = 2, slow: int = 30) -> DataFrame
         return pdf.assign(kama=kama_values(pdf["close"].to_numpy(float), pdf["er"].to_numpy(float), n, fast, slow))
 
     df = df.groupBy("symbol").applyInPandas(each, schema).withColumn("kama", F.when(~F.isnan("kama"), F.col("kama")))
-    return df.withColumn("kama_slope", change(F.col("kama")))
+    return df.withColumn("kama_slope", F.col("kama") - F.lag("kama").over(series()))
 
 
 def safe_ratio(x: Column, y: Column) -> Column:
@@ -184,38 +184,42 @@ def safe_ratio(x: Column, y: Column) -> Column:
     return x / F.when(y.isNull() | (y == 0), 1.0).otherwise(y)
 
 
-def _cut(x: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
-
-
 def next_candle_score(df: DataFrame, least_rows: int = 30) -> DataFrame:
-    """score2, score3: weighted votes of trend, momentum and participation in -1 .. 1; NULL on the first rows.
+    """score2, score3: weighted trend, swing and push in -1 .. 1; NULL on the first rows and where a part is missing.
 
-    The weights are fixed values: 0.4, 0.2, 0.2 and 0.35, 0.15, 0.15, 0.10, 0.10, 0.15.
+    Trend and push are in units of the ATR (seeded with the mean of the first 14 ranges) and count by the efficiency
+    ratio, the swing of RSI(2) by the rest. The weights are fixed values: 0.4, 0.2, 0.2, and 0.35, 0.15, 0.15, 0.10
+    (efficiency), 0.10 (volume breadth), 0.15 (season).
     """
-    df = volume_breadth(seasonality(atr_wilder(macd(rsi(kama(df), 2, "rsi2"), prefix="tl_macd"), 14, "tl_atr")))
-    trend = _cut(100 * F.coalesce("kama_slope", F.lit(0.0)))
-    swing = _cut((50 - F.coalesce("rsi2", F.lit(50.0))) / 50)
-    push = _cut(safe_ratio(F.coalesce("tl_macd_hist", F.lit(0.0)), F.col("tl_atr")))
-    er, breadth = F.coalesce("er", F.lit(0.0)), 2 * F.coalesce("vol_breadth", F.lit(0.5)) - 1
+    df = ewm(df.withColumn("tl_tr", true_range()), F.col("tl_tr"), "tl_atr", 1 / 14, "seeded", seed=14)
+    df = volume_breadth(seasonality(macd(rsi(kama(df), 2, "rsi2"), prefix="tl_macd")))
+    er = F.col("er")
+    trend, push = safe_ratio(F.col("kama_slope"), F.col("tl_atr")) * er, safe_ratio(F.col("tl_macd_hist"), F.col("tl_atr")) * er
+    swing = F.coalesce((F.col("rsi2") - 50) / 50, F.lit(0.0)) * (1 - er)
     enough = F.row_number().over(series()) >= least_rows
-    two = _cut(0.4 * trend * (0.5 + er / 2) + 0.2 * swing + 0.2 * push)
-    three = _cut(0.35 * trend + 0.15 * swing + 0.15 * push + 0.10 * er * F.signum(trend) + 0.10 * breadth + 0.15 * F.coalesce("season", F.lit(0.0)))
-    return df.withColumn("score2", F.when(enough, two)).withColumn("score3", F.when(enough, three)).drop("tl_macd_line", "tl_macd_signal", "tl_macd_hist", "tl_atr")
 
+    def cut(x: Column) -> Column:
+        return F.when(enough & x.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)))
 
-def sector_features(df: DataFrame, spans: tuple[int, ...] = (5, 20), z: int = 60) -> DataFrame:
-    """rel_sector_n, rel_market_n, and their z-scores: an n-day return less the mean of the sector's other symbols, and less that of all others on the date."""
-    for n in spans:
-        df = df.withColumn(f"tl_r{n}", change(F.col("close"), n))
-        x = F.col(f"tl_r{n}")
-        for name, group in (("sector", Window.partitionBy("date", "sector")), ("market", Window.partitionBy("date"))):
-            others = (F.sum(x).over(group) - x) / nonzero((F.count(x).over(group) - 1).cast("double"))
-            df = df.withColumn(f"rel_{name}_{n}", x - others)
+    two = 0.4 * trend + 0.2 * swing + 0.2 * push
+    three = 0.35 * trend + 0.15 * swing + 0.15 * push + 0.10 * er + 0.10 * (2 * F.col("vol_breadth") - 1) + 0.15 * 2 * F.col("season")
+    return df.withColumn("score2", cut(two)).withColumn("score3", cut(three)).drop("tl_macd_line", "tl_macd_signal", "tl_macd_hist", "tl_atr", "tl_tr")
+
+
+def sector_features(df: DataFrame, index: DataFrame | None = None, spans: tuple[int, ...] = (5, 20), z: int = 60) -> DataFrame:
+    """rel_market_n, rel_sector_n, rel_market_20_z: an n-day return less that of the index on the symbol's own dates, and less the mean of the sector's other symbols; NULL where no other has one.
+
+    ``index``: date, level; without one the date's mean close.
+    """
+    level = F.avg("close").over(Window.partitionBy("date"))
+    df = df.withColumn("tl_i", level) if index is None else df.join(index.select("date", F.col("level").alias("tl_i")), "date", "left")
+    peers = Window.partitionBy("date", "sector")
     for n in spans:
-        for name in ("sector", "market"):
-            df = df.withColumn(f"rel_{name}_{n}_z", zscore(F.col(f"rel_{name}_{n}"), z))
-    return df.drop(*[f"tl_r{n}" for n in spans])
+        df = df.withColumn(f"tl_r{n}", change(F.col("close"), n)).withColumn(f"rel_market_{n}", F.col(f"tl_r{n}") - change(F.col("tl_i"), n))
+        own = F.coalesce(F.col(f"tl_r{n}"), F.lit(0.0))
+        others = (F.sum(f"tl_r{n}").over(peers) - own) / nonzero((F.count(f"tl_r{n}").over(peers) - F.col(f"tl_r{n}").isNotNull().cast("int")).cast("double"))
+        df = df.withColumn(f"rel_sector_{n}", F.col(f"tl_r{n}") - others)
+    return df.withColumn("rel_market_20_z", zscore(F.col("rel_market_20"), z)).drop("tl_i", *[f"tl_r{n}" for n in spans])
 
 
 def long_term_features(df: DataFrame) -> DataFrame:
@@ -232,13 +236,13 @@ def rsi_features(df: DataFrame) -> DataFrame:
     r = F.col("rsi")
     low_c, low_r = extreme_before(F.min, F.col("close"), 10), extreme_before(F.min, r, 10)
     high_c, high_r = extreme_before(F.max, F.col("close"), 10), extreme_before(F.max, r, 10)
-    lo, hi = rolling(F.min, r, 60), rolling(F.max, r, 60)
+    lo, hi = rolling(F.min, r, 10), rolling(F.max, r, 10)
     return df.withColumns(
         {
             "rsi_d1": r - F.lag(r, 1).over(series()), "rsi_d5": r - F.lag(r, 5).over(series()), "rsi_z30": zscore(r, 30), "rsi_z60": zscore(r, 60),
-            "rsi_range": rolling(F.avg, F.when(r.isNotNull(), ((r >= 40) & (r <= 80)).cast("double")), 20),
-            "rsi_above60": F.coalesce(r > 60, F.lit(False)).cast("double"), "rsi_below40": F.coalesce(r < 40, F.lit(False)).cast("double"),
-            "rsi_place": (r - lo) / nonzero(hi - lo),
+            # 1 while 20 bars stay at 40 or above, -1 while they stay at 60 or below (which decides where both hold)
+            "rsi_range": F.when(rolling(F.max, r, 20) <= 60, -1.0).when(rolling(F.min, r, 20) >= 40, 1.0).when(rolling(F.min, r, 20).isNotNull(), 0.0),
+            "rsi_above60": (r > 60).cast("double"), "rsi_below40": (r < 40).cast("double"), "rsi_place": (r - lo) / nonzero(hi - lo),
             # comparisons with what is missing are false here, not missing
             "rsi_bull_div": F.coalesce((F.col("close") < low_c) & (r > low_r), F.lit(False)).cast("double"),
             "rsi_bear_div": F.coalesce((F.col("close") > high_c) & (r < high_r), F.lit(False)).cast("double"),
@@ -248,15 +252,13 @@ def rsi_features(df: DataFrame) -> DataFrame:
 
 
 def baseline_inputs(df: DataFrame) -> DataFrame:
-    """Eight inputs of the baseline models: return, volume change, RSI, MACD line, two mean ratios, OBV step, range."""
-    df = macd(rsi(df, 14, "b_rsi"), prefix="tl_b", mode="weighted")
-    df = ewm(ewm(df, F.col("close"), "tl_e12", 2 / 13, "weighted"), F.col("close"), "tl_e26", 2 / 27, "weighted")
+    """Eight inputs of the baseline models: log return, RSI(14), MACD line, ATR(14), Bollinger width, OBV from 0, SMA(14), volume; and b_y, the next log return."""
+    c = F.col("close")
+    df = obv(atr_mean(macd(rsi(df, 14, "b_rsi"), prefix="tl_b", mode="weighted"), 14, "b_atr"))
+    df = df.withColumn("b_ret", F.log(c) - F.log(F.lag(c).over(series())))
     return df.withColumns(
-        {
-            "b_ret": change(F.col("close")), "b_vol": change(F.col("volume")), "b_macd": F.col("tl_b_line") / nonzero(F.col("close")), "b_e12": F.col("close") / nonzero(F.col("tl_e12")) - 1, "b_e26": F.col("close") / nonzero(F.col("tl_e26")) - 1,
-            "b_obv": F.sum(F.coalesce(F.signum(F.col("close") - F.lag("close").over(series())), F.lit(0.0)) * F.col("volume")).over(so_far()), "b_range": (F.col("high") - F.col("low")) / nonzero(F.col("close")),
-        }
-    ).drop("tl_b_line", "tl_b_signal", "tl_b_hist", "tl_e12", "tl_e26")
+        {"b_macd": F.col("tl_b_line"), "b_width": 4 * rolling(F.stddev_samp, c, 20) / nonzero(rolling(F.avg, c, 20)), "b_obv": F.col("obv_zero"), "b_sma": rolling(F.avg, c, 14), "b_volume": F.col("volume"), "b_y": F.lead("b_ret").over(series())}
+    ).drop("tl_b_line", "tl_b_signal", "tl_b_hist", "obv", "obv_zero", "obv_ema")
 
 
 def minmax_scaled(df: DataFrame, columns: list[str], train: Column) -> DataFrame:
@@ -290,8 +292,8 @@ def votes(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "vote_rsi": vote(c("v_r") < 30, c("v_r") > 70), "vote_stoch": vote(c("stoch_k") < 20, c("stoch_k") > 80), "vote_cci": vote(c("cci") < -100, c("cci") > 100), "vote_willr": vote(c("willr") < -80, c("willr") > -20),
-            "vote_ema": vote(c("v_e20") > c("v_e50"), c("v_e20") < c("v_e50")), "vote_adx": vote((c("adx") > 25) & (c("plus_di") > c("minus_di")), (c("adx") > 25) & (c("plus_di") < c("minus_di"))), "vote_macd": vote(c("v_m_line") > c("v_m_signal"), c("v_m_line") < c("v_m_signal")),
-            "vote_bb": vote(F.col("close") < c("bb_low"), F.col("close") > c("bb_up")), "vote_kc": vote(F.col("close") > c("kc_up"), F.col("close") < c("kc_low")), "vote_vol": vote(c("v_rank") >= 0.75),
+            "vote_ema": vote(c("v_e20") > c("v_e50"), c("v_e20") < c("v_e50")), "vote_adx": vote(c("adx") > 25), "vote_macd": vote(c("v_m_line") > c("v_m_signal"), c("v_m_line") < c("v_m_signal")),
+            "vote_bb": vote(F.col("close") < c("bb_low"), F.col("close") > c("bb_up")), "vote_kc": vote(F.col("close") > c("kc_up"), F.col("close") < c("kc_low")), "vote_vol": vote(c("v_rank") > 0.75),
             "vote_obv": vote(c("obv") > c("obv_ema"), c("obv") < c("obv_ema")), "vote_ad": vote(c("ad") > c("v_ad"), c("ad") < c("v_ad")), "vote_vwpm": vote(c("v_w") > 0, c("v_w") < 0),
         }
     ).drop("v_r", "v_e20", "v_e50", "v_m_line", "v_m_signal", "v_m_hist", "v_a", "v_w", "v_rank", "v_ad")
@@ -308,3 +310,17 @@ def index_momentum(section: DataFrame, long: str, short: str, sigma: str) -> Dat
         df = df.withColumn(f"tl_z{k}", section_zscore(F.col(f"tl_z{k}")))
     df = df.withColumn("tl_m", (F.col("tl_z0") + F.col("tl_z1")) / 2)
     return df.withColumn("idx_mom", F.coalesce("tl_m", F.percentile("tl_m", F.lit(0.5)).over(Window.partitionBy("date")))).drop("tl_z0", "tl_z1", "tl_m")
+
+
+def feature_table(df: DataFrame) -> DataFrame:
+    """The frozen table: symbol, date, 22 continuous features and 13 votes."""
+    out = votes(df)
+    out = rsi(ema(ema(macd(atr_seeded(out, 14, "atr14"), prefix="macd"), 20, "ema20"), 50, "ema50"), 14, "rsi14", "seeded")
+    out = volume_weighted_move(out, 20, "vwpm20").withColumn("atr_pct", F.col("atr14") / nonzero(F.col("close")))
+    return out.select("symbol", "date", *CONTINUOUS, *[f"vote_{v}" for v in VOTES])
+
+
+CONTINUOUS = (
+    "rsi14", "stoch_k", "stoch_d", "cci", "willr", "ema20", "ema50", "adx", "macd_line", "macd_signal", "atr14", "atr_pct",
+    "bb_up", "bb_mid", "bb_low", "kc_up", "kc_mid", "kc_low", "obv", "obv_ema", "ad", "vwpm20",
+)

@@ -146,7 +146,7 @@ def _(spark, d):
     with_bars(f"""a AS (SELECT symbol, date, row_number() {_W} - 1 AS i, volume, CASE WHEN lag(close) {_W} IS NULL THEN 0 ELSE sign(close - lag(close) {_W}) * volume END AS s,
   CASE WHEN high > low THEN (2 * close - low - high) / (high - low) ELSE 0 END * volume AS mf, (close / lag(close) {_W} - 1) * volume AS rv FROM bars),
 b AS (SELECT *, sum(CASE WHEN i = 0 THEN volume ELSE s END) {_W} AS obv, sum(s) {_W} AS obv_zero, sum(mf) {_W} AS ad, {_roll('sum', 'rv', 20)} / nullif({_roll('sum', 'volume', 20)}, 0) AS vwpm FROM a)
-SELECT symbol, date, round(obv, 4) AS obv, round(obv_zero, 4) AS obv_zero, round({sql_ewm_seeded('obv', 2 / 21, 20)}, 4) AS obv_ema, round(ad, 4) AS ad, round(vwpm, 6) AS vwpm FROM b"""),
+SELECT symbol, date, round(obv, 4) AS obv, round(obv_zero, 4) AS obv_zero, round(CASE WHEN i >= 19 THEN {sql_ewm('obv', 2 / 21)} END, 4) AS obv_ema, round(ad, 4) AS ad, round(vwpm, 6) AS vwpm FROM b"""),
 )
 def _(spark, d):
     df = ind.volume_weighted_move(ind.accumulation(ind.obv(trade_bars(spark, d)))).withColumn("vwpm", F.round("vwpm", 6))
@@ -155,14 +155,13 @@ def _(spark, d):
 
 @query(
     "ind16_sector_relative",
-    with_bars(f"""a AS (SELECT symbol, sector, date, {', '.join(f'close / lag(close, {n}) {_W} - 1 AS r{n}' for n in (5, 20))} FROM bars),
-b AS (SELECT symbol, date, {', '.join(f'r{n} - (sum(r{n}) OVER ({p}) - r{n}) / nullif(count(r{n}) OVER ({p}) - 1, 0) AS rel_{k}_{n}' for n in (5, 20) for k, p in (('sector', 'PARTITION BY date, sector'), ('market', 'PARTITION BY date')))} FROM a)
-SELECT symbol, date, {', '.join(f'round(rel_{k}_{n}, 6) AS rel_{k}_{n}, round((rel_{k}_{n} - {_roll('avg', f'rel_{k}_{n}', 60)}) / nullif({_roll('stddev_samp', f'rel_{k}_{n}', 60)}, 0), 5) AS rel_{k}_{n}_z' for n in (5, 20) for k in ('sector', 'market'))} FROM b"""),
+    with_bars(f"""x AS (SELECT *, avg(close) OVER (PARTITION BY date) AS lvl FROM bars), a AS (SELECT symbol, sector, date, {', '.join(f'close / lag(close, {n}) {_W} - 1 AS r{n}, lvl / lag(lvl, {n}) {_W} - 1 AS m{n}' for n in (5, 20))} FROM x),
+b AS (SELECT symbol, date, {', '.join(f'r{n} - m{n} AS rel_market_{n}, r{n} - (sum(r{n}) OVER (PARTITION BY date, sector) - r{n}) / nullif(count(r{n}) OVER (PARTITION BY date, sector) - 1, 0) AS rel_sector_{n}' for n in (5, 20))} FROM a)
+SELECT symbol, date, {', '.join(f'round(rel_{k}_{n}, 6) AS rel_{k}_{n}' for n in (5, 20) for k in ('sector', 'market'))}, round((rel_market_20 - {_roll('avg', 'rel_market_20', 60)}) / nullif({_roll('stddev_samp', 'rel_market_20', 60)}, 0), 5) AS rel_market_20_z FROM b"""),
 )
 def _(spark, d):
     names = [f"rel_{k}_{n}" for n in (5, 20) for k in ("sector", "market")]
-    df = ind.sector_features(trade_bars(spark, d))
-    return df.select("symbol", "date", *[F.round(c, 6).alias(c) for c in names], *[F.round(f"{c}_z", 5).alias(f"{c}_z") for c in names])
+    return ind.sector_features(trade_bars(spark, d)).select("symbol", "date", *[F.round(c, 6).alias(c) for c in names], F.round("rel_market_20_z", 5).alias("rel_market_20_z"))
 
 
 @query(
@@ -188,9 +187,9 @@ def _z(x: str, n: int) -> str:
 @query(
     "ind18_rsi_family",
     with_bars(f"""{_R14}, x AS (SELECT *, CASE WHEN count(close) {_B10} = 10 THEN min(close) {_B10} END AS lc, CASE WHEN count(close) {_B10} = 10 THEN max(close) {_B10} END AS hc,
-  CASE WHEN count(rsi) {_B10} = 10 THEN min(rsi) {_B10} END AS lr, CASE WHEN count(rsi) {_B10} = 10 THEN max(rsi) {_B10} END AS hr, CASE WHEN rsi IS NOT NULL THEN CAST(rsi >= 40 AND rsi <= 80 AS DOUBLE) END AS inr FROM r)
-SELECT symbol, date, round(rsi - lag(rsi, 1) {_W}, 5) AS rsi_d1, round(rsi - lag(rsi, 5) {_W}, 5) AS rsi_d5, round({_z('rsi', 30)}, 5) AS rsi_z30, round({_z('rsi', 60)}, 5) AS rsi_z60, round({_roll('avg', 'inr', 20)}, 5) AS rsi_range,
-  CAST(coalesce(rsi > 60, false) AS DOUBLE) AS rsi_above60, CAST(coalesce(rsi < 40, false) AS DOUBLE) AS rsi_below40, round((rsi - {_roll('min', 'rsi', 60)}) / nullif({_roll('max', 'rsi', 60)} - {_roll('min', 'rsi', 60)}, 0), 5) AS rsi_place,
+  CASE WHEN count(rsi) {_B10} = 10 THEN min(rsi) {_B10} END AS lr, CASE WHEN count(rsi) {_B10} = 10 THEN max(rsi) {_B10} END AS hr FROM r)
+SELECT symbol, date, round(rsi - lag(rsi, 1) {_W}, 5) AS rsi_d1, round(rsi - lag(rsi, 5) {_W}, 5) AS rsi_d5, round({_z('rsi', 30)}, 5) AS rsi_z30, round({_z('rsi', 60)}, 5) AS rsi_z60, CAST(CASE WHEN {_roll('max', 'rsi', 20)} <= 60 THEN -1 WHEN {_roll('min', 'rsi', 20)} >= 40 THEN 1 WHEN {_roll('min', 'rsi', 20)} IS NOT NULL THEN 0 END AS DOUBLE) AS rsi_range,
+  CAST(rsi > 60 AS DOUBLE) AS rsi_above60, CAST(rsi < 40 AS DOUBLE) AS rsi_below40, round((rsi - {_roll('min', 'rsi', 10)}) / nullif({_roll('max', 'rsi', 10)} - {_roll('min', 'rsi', 10)}, 0), 5) AS rsi_place,
   CAST(coalesce(close < lc AND rsi > lr, false) AS DOUBLE) AS rsi_bull_div, CAST(coalesce(close > hc AND rsi < hr, false) AS DOUBLE) AS rsi_bear_div, round(close / e20 - 1, 5) AS dist_ema20, round(close / e50 - 1, 5) AS dist_ema50 FROM x"""),
 )
 def _(spark, d):
@@ -201,14 +200,14 @@ def _(spark, d):
 @query(
     "ind21_baseline_inputs",
     with_bars(f"""{_N}, {_RSI}, m AS (SELECT symbol, date, i, {sql_ewm('u', 1 / 14)} AS u, {sql_ewm('n', 1 / 14)} AS n FROM g),
-e AS (SELECT symbol, date, i, close, high, low, volume, {sql_ewm_weighted('close', 2 / 13)} AS a, {sql_ewm_weighted('close', 2 / 27)} AS b,
-  CASE WHEN lag(close) {_W} IS NULL THEN 0 ELSE sign(close - lag(close) {_W}) * volume END AS s FROM n)
-SELECT e.symbol, e.date, round(close / lag(close) OVER w - 1, 5) AS b_ret, round(volume / lag(volume) OVER w - 1, 5) AS b_vol, round(CASE WHEN m.i >= 13 THEN {_rsi_sql('u', 'n')} END, 5) AS b_rsi,
-  round(CASE WHEN e.i >= 25 THEN (a - b) / close END, 5) AS b_macd, round(close / a - 1, 5) AS b_e12, round(close / b - 1, 5) AS b_e26, round(sum(s) OVER w, 5) AS b_obv, round((high - low) / close, 5) AS b_range
-FROM e LEFT JOIN m ON e.symbol = m.symbol AND e.date = m.date WINDOW w AS (PARTITION BY e.symbol ORDER BY e.date)"""),
+e AS (SELECT symbol, date, i, close, volume, {sql_ewm_weighted('close', 2 / 13)} AS a, {sql_ewm_weighted('close', 2 / 27)} AS b, ln(close) - ln(lag(close) {_W}) AS lr, CASE WHEN i = 0 THEN high - low ELSE {_TR} END AS tr,
+  CASE WHEN i = 0 THEN 0 ELSE sign(close - lag(close) {_W}) * volume END AS s FROM n),
+f AS (SELECT *, {_roll('avg', 'tr', 14)} AS atr, 4 * {_roll('stddev_samp', 'close', 20)} / nullif({_roll('avg', 'close', 20)}, 0) AS width, {_roll('avg', 'close', 14)} AS sma, sum(s) {_W} AS obv, lead(lr) {_W} AS y FROM e)
+SELECT f.symbol, f.date, round(lr, 5) AS b_ret, round(CASE WHEN m.i >= 13 THEN {_rsi_sql('u', 'n')} END, 5) AS b_rsi, round(CASE WHEN f.i >= 25 THEN a - b END, 5) AS b_macd, round(atr, 5) AS b_atr, round(width, 5) AS b_width, round(obv, 5) AS b_obv, round(sma, 5) AS b_sma, round(volume, 5) AS b_volume, round(y, 5) AS b_y
+FROM f LEFT JOIN m ON f.symbol = m.symbol AND f.date = m.date"""),
 )
 def _(spark, d):
-    return rounded(ind.baseline_inputs(trade_bars(spark, d)), ["symbol", "date", "b_ret", "b_vol", "b_rsi", "b_macd", "b_e12", "b_e26", "b_obv", "b_range"], 5)
+    return rounded(ind.baseline_inputs(trade_bars(spark, d)), ["symbol", "date", "b_ret", "b_rsi", "b_macd", "b_atr", "b_width", "b_obv", "b_sma", "b_volume", "b_y"], 5)
 
 
 @query(
@@ -241,15 +240,12 @@ def _(spark, d):
 
 @query(
     "ind23_breadth_seasonality",
-    with_bars(f"""a AS (SELECT symbol, date, volume, close / lag(close) {_W} - 1 AS x, {_roll('avg', 'volume', 20)} AS m FROM bars),
-b AS (SELECT symbol, date, CASE WHEN m IS NOT NULL THEN CAST(volume > m AS DOUBLE) END AS above,
-  avg(x) OVER (PARTITION BY symbol, day(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dm, avg(x) OVER (PARTITION BY symbol, month(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mm FROM a)
-SELECT symbol, date, round({_roll('avg', 'above', 20)}, 6) AS vol_breadth, round(greatest(-1.0, least(1.0, 100 * (coalesce(dm, 0) + coalesce(mm, 0)) / 2)), 5) AS season FROM b"""),
+    with_bars(f"""a AS (SELECT symbol, date, volume, row_number() {_W} AS i, close / lag(close) {_W} - 1 AS x, {_roll('avg', 'volume', 20)} AS m FROM bars),
+b AS (SELECT symbol, date, i, CAST(coalesce(volume > m, false) AS DOUBLE) AS above, avg(x) OVER (PARTITION BY symbol, day(date) ORDER BY date) AS dm, avg(x) OVER (PARTITION BY symbol, month(date) ORDER BY date) AS mm FROM a)
+SELECT symbol, date, round(avg(above) {_frame(20)}, 6) AS vol_breadth, round(CASE WHEN i >= 30 THEN (coalesce(dm, 0) + coalesce(mm, 0)) / 2 ELSE 0 END, 6) AS season FROM b"""),
 )
 def _(spark, d):
-    return rounded(ind.seasonality(ind.volume_breadth(trade_bars(spark, d))), ["symbol", "date", "vol_breadth"]).join(
-        rounded(ind.seasonality(trade_bars(spark, d)), ["symbol", "date", "season"], 5), ["symbol", "date"]
-    )
+    return rounded(ind.seasonality(ind.volume_breadth(trade_bars(spark, d))), ["symbol", "date", "vol_breadth", "season"])
 
 
 @query("ind24_composite_scores")
@@ -259,7 +255,7 @@ def _(spark, d):
 
 @query("ind25_26_votes_and_features")
 def _(spark, d):
-    return ind.votes(trade_bars(spark, d)).select("symbol", "date", *[f"vote_{v}" for v in ind.VOTES])
+    return rounded(ind.feature_table(trade_bars(spark, d)), ["symbol", "date", *ind.CONTINUOUS, *[f"vote_{v}" for v in ind.VOTES]], 5)
 
 
 @query(

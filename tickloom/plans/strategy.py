@@ -91,7 +91,7 @@ def _(spark, d):
     return signals.simple_rules(trade_bars(spark, d)).select("symbol", "date", "sig_hold", "sig_mom252", "sig_ema_cross", "sig_vwpm")
 
 
-@query("sig02_03_oscillator_rules", with_bars(f"{_RSI_SIGNAL} SELECT symbol, date, {_state('rsi < 30', 'rsi > 50', 'rsi IS NOT NULL')} AS sig_rsi_30_50, {_state('rsi < 30', 'rsi > 70', 'rsi IS NOT NULL')} AS sig_rsi_30_70, {_state('rsi > 60', 'rsi < 40', 'rsi IS NOT NULL')} AS sig_rsi_60_40 FROM rr"))
+@query("sig02_03_oscillator_rules", with_bars(f"{_R14}, rr AS (SELECT * FROM r) SELECT symbol, date, {_state('rsi < 30', 'rsi > 50', 'rsi IS NOT NULL')} AS sig_rsi_30_50, {_state('rsi < 30', 'rsi > 70', 'rsi IS NOT NULL')} AS sig_rsi_30_70, {_state('rsi > 60', 'rsi < 40', 'rsi IS NOT NULL')} AS sig_rsi_60_40 FROM rr"))
 def _(spark, d):
     return signals.oscillator_rules(trade_bars(spark, d)).select("symbol", "date", "sig_rsi_30_50", "sig_rsi_30_70", "sig_rsi_60_40")
 
@@ -101,13 +101,13 @@ def _(spark, d):
     return signals.oscillator_rules(trade_bars(spark, d)).select("symbol", "date", "sig_stoch_20_50", "sig_cci_100_0", "sig_willr_80_50")
 
 
-@query("sig04_band_rules", with_bars(f"""b AS (SELECT symbol, date, close, {_roll('avg', 'close', 20)} AS m, {_roll('avg', 'close', 20)} - 2 * {_roll('stddev_pop', 'close', 20)} AS lo FROM bars), c AS (SELECT *, lag(close) {_W} < lag(lo) {_W} AND close >= lo AND close < m AS back FROM b)
-SELECT symbol, date, {_state('back', 'close >= m', 'm IS NOT NULL')} AS sig_bb FROM c"""))
+@query("sig04_band_rules", with_bars(f"""b AS (SELECT symbol, date, close, {_roll('avg', 'close', 20)} AS m, {_roll('avg', 'close', 20)} - 2 * {_roll('stddev_pop', 'close', 20)} AS lo FROM bars)
+SELECT symbol, date, {_state('close < lo', 'close > m', 'm IS NOT NULL')} AS sig_bb FROM b"""))
 def _(spark, d):
     return signals.band_rules(trade_bars(spark, d)).select("symbol", "date", "sig_bb")
 
 
-@query("sig06_rsi_rules", with_bars(f"""{_RSI_SIGNAL} SELECT symbol, date, CAST(coalesce(rsi > 50, false) AS INTEGER) AS sig_rsi50, CAST(coalesce(rsi >= 40, false) AS INTEGER) AS sig_rsi40, CAST(coalesce(rsi - lag(rsi, 5) {_W} > 0, false) AS INTEGER) AS sig_velocity, CAST(coalesce({_z('rsi', 60)} > 0, false) AS INTEGER) AS sig_rsi_z FROM rr"""))
+@query("sig06_rsi_rules", with_bars(f"""{_R14}, rr AS (SELECT * FROM r) SELECT symbol, date, CAST(coalesce(rsi > 50, false) AS INTEGER) AS sig_rsi50, CAST(coalesce(rsi >= 40, false) AS INTEGER) AS sig_rsi40, CAST(coalesce(rsi - lag(rsi, 5) {_W} > 0 AND rsi > 50, false) AS INTEGER) AS sig_velocity, CAST(coalesce({_z('rsi', 60)} > 0, false) AS INTEGER) AS sig_rsi_z FROM rr"""))
 def _(spark, d):
     return signals.rsi_rules(trade_bars(spark, d)).select("symbol", "date", "sig_rsi50", "sig_rsi40", "sig_velocity", "sig_rsi_z")
 
@@ -134,7 +134,7 @@ def _(spark, d):
 
 @query("sig11_bkt09_score_strategy")
 def _(spark, d):
-    df = ind.next_candle_score(trade_bars(spark, d)).withColumn("p", signals.score_positions(F.col("score3"), 0.1, True))
+    df = ind.next_candle_score(trade_bars(spark, d)).withColumn("p", F.when(F.row_number().over(series()) > 30, signals.score_positions(F.col("score3"), 0.1, True)).otherwise(0))
     return rounded(bt.close_to_close(df, "p"), ["symbol", "n_active", "hit_rate", "mean_ret", "sharpe"], 5)
 
 
@@ -145,7 +145,7 @@ def _(spark, d):
     return rounded(bt.close_to_close(df, "p"), ["symbol", "n_active", "hit_rate", "mean_ret", "sharpe"], 5)
 
 
-GRID = [(f"rsi{n}_e{e}_{a:g}_{f:g}", a, f, n, e) for n in (7, 14) for e in (20, 50) for a in (50.0, 60.0) for f in (40.0,)]
+GRID = [(f"rsi{n}_e{e}_{a:g}_{f:g}_{k}", a, f, n, e, k) for n in (7, 14) for e in (20, 50) for a in (50.0, 60.0) for f in (40.0,) for k in (True, False)]
 
 
 @query(
@@ -154,13 +154,13 @@ GRID = [(f"rsi{n}_e{e}_{a:g}_{f:g}", a, f, n, e) for n in (7, 14) for e in (20,
         f"{_RSI}, mm AS (SELECT symbol, date, {', '.join(f'{sql_ewm_seeded(x, 1 / n, n)} AS {x}{n}' for n in (7, 14) for x in 'un')} FROM g), {_N}, e AS (SELECT symbol, date, open, high, low, close, volume, {', '.join(f'{sql_ewm_seeded('close', 2 / (k + 1), k)} AS e{k}' for k in (20, 50))} FROM n), "
         f"j AS (SELECT e.*, {', '.join(f'{_rsi_sql(f'u{n}', f'n{n}')} AS r{n}' for n in (7, 14))} FROM e LEFT JOIN mm ON e.symbol = mm.symbol AND e.date = mm.date), "
         + "x AS ("
-        + " UNION ALL ".join(f"SELECT symbol, date, open, high, low, close, volume, '{name}' AS rule, {n} AS n_rsi, {k} AS n_ema, CASE WHEN r{n} IS NULL THEN 0 WHEN r{n} > {a} AND close > e{k} THEN 1 WHEN r{n} < {f} THEN 0 END AS ev FROM j" for name, a, f, n, k in GRID)
+        + " UNION ALL ".join(f"SELECT symbol, date, open, high, low, close, volume, '{name}' AS rule, {n} AS n_rsi, {k} AS n_ema, CASE WHEN r{n} IS NULL THEN 0 WHEN r{n} > {a} AND (NOT {confirm} OR close > e{k}) THEN 1 WHEN r{n} < {f} THEN 0 END AS ev FROM j" for name, a, f, n, k, confirm in GRID)
         + f"), sg AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (PARTITION BY symbol, rule ORDER BY date), 0) AS signal FROM x), {_backtest_sql(part='symbol, rule')}, "
         + f"met AS ({_metrics_sql('symbol, rule, n_rsi, n_ema')}) SELECT rule, n_rsi, n_ema, round(avg(sharpe), 4) AS sharpe, count(*) AS n FROM met GROUP BY GROUPING SETS ((rule), (n_rsi), (n_ema))"
     ),
 )
 def _(spark, d):
-    params = spark.createDataFrame(GRID, "rule string, entry double, exit_floor double, n_rsi int, n_ema int")
+    params = spark.createDataFrame(GRID, "rule string, entry double, exit_floor double, n_rsi int, n_ema int, confirm boolean")
     run = bt.backtest(signals.grid_rule(trade_bars(spark, d), params), keys=("symbol", "rule"))
     m = bt.metrics(run, keys=("symbol", "rule")).withColumn("sharpe", F.round("sharpe", 5)).join(F.broadcast(params.select("rule", "n_rsi", "n_ema")), "rule")
     m.createOrReplaceTempView("tickloom_grid")
@@ -201,12 +201,25 @@ def _(spark, d):
     return rounded(bt.rebalanced(b, "score"), ["date", "formed", "strat", "bench", "turnover"], 5)
 
 
-@query("bkt07_08_rank_portfolio", with_bars(f"""s AS (SELECT symbol, date, close, close / lag(close, 5) {_W} - 1 AS x FROM bars), k AS (SELECT *, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY x NULLS LAST) END AS k FROM s),
-w AS (SELECT *, coalesce(k / sum(k) OVER (PARTITION BY date), 0) AS w FROM k), t AS (SELECT *, coalesce(lead(close) {_W} / close - 1, 0) AS r, abs(w - coalesce(lag(w) {_W}, 0)) AS t FROM w)
-SELECT date, round(sum(w * r) - sum(t) * 0.001, 5) AS ret, round(sum(t), 5) AS turnover FROM t GROUP BY date"""))
+@query("bkt07_rank_portfolio", with_bars(f"""s AS (SELECT symbol, date, close, close / lag(close, 5) {_W} - 1 AS x FROM bars), k AS (SELECT *, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY x NULLS LAST) + (count(x) OVER (PARTITION BY date, x) - 1) / 2.0 END AS k FROM s),
+w AS (SELECT *, coalesce(k / sum(k) OVER (PARTITION BY date), 0) AS w, coalesce(lead(close) {_W} / close - 1, 0) AS r FROM k), q AS (SELECT *, coalesce(w * (1 + r) / nullif(sum(w * (1 + r)) OVER (PARTITION BY date), 0), 0) AS dr FROM w),
+t AS (SELECT *, abs(w - coalesce(lag(dr) {_W}, 0)) AS t FROM q) SELECT date, round(sum(w * r), 5) AS gross, round(sum(t), 5) AS turnover, round((1 - sum(t) * 0.001) * (1 + sum(w * r)) - 1, 5) AS net FROM t GROUP BY date"""))
 def _(spark, d):
     b = trade_bars(spark, d).withColumn("x", change(F.col("close"), 5))
-    return rounded(bt.rank_portfolio(b, "x", 0, 0.001), ["date", "ret", "turnover"], 5)
+    return rounded(bt.rank_portfolio(b, "x", 0, 0.001), ["date", "gross", "turnover", "net"], 5)
+
+
+@query("bkt06_period_backtest")
+def _(spark, d):
+    b = trade_bars(spark, d).withColumn("x", change(F.col("close"), 20)).withColumn("r", F.lead("close", 20).over(series()) / F.col("close") - 1)
+    steps = splits.date_blocks(b).where("step % 20 = 0").select("date", (F.col("step") / 20).cast("int").alias("step")).where("step % 7 <> 3")
+    return rounded(bt.period_backtest(b.join(F.broadcast(steps), "date"), "x", "r"), ["step", "segment", "strat", "bench", "traded"], 5)
+
+
+@query("agg32_benchmark_bundle")
+def _(spark, d):
+    b = trade_bars(spark, d)
+    return rounded(bt.benchmark_bundle(b, b.groupBy("date").agg(F.avg("close").alias("level"))), ["name", "vol", "sharpe", "max_dd", "n"], 5)
 
 
 @query("bkt08_smoothed")
@@ -219,7 +232,7 @@ def _(spark, d):
 def _(spark, d):
     """A forecast under three settings: no lag and no cost, cost, cost and a day's lag; direction accuracy without zero returns."""
     b = trade_bars(spark, d).withColumn("x", change(F.col("close"), 5))
-    runs = [bt.rank_portfolio(b, "x", lag, cost).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ret"), 6).alias("mean")).select(F.lit(name).alias("setting"), "n", "mean") for name, lag, cost in (("free", 0, 0.0), ("cost", 0, 0.001), ("cost_lag", 1, 0.001))]
+    runs = [bt.rank_portfolio(b, "x", lag, cost).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("net"), 6).alias("mean")).select(F.lit(name).alias("setting"), "n", "mean") for name, lag, cost in (("free", 0, 0.0), ("cost", 0, 0.001), ("cost_lag", 1, 0.001))]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
@@ -356,7 +369,7 @@ def _(spark, d):
 def _(spark, d):
     c = F.col("close")
     df = trade_bars(spark, d).withColumn("r12", change(c, 252)).withColumn("r6", change(c, 126))
-    df = df.withColumn("x", change(c)).withColumn("sd", rolling(F.stddev_samp, F.col("x"), 252))
+    df = df.withColumn("x", F.log(c) - F.log(F.lag(c).over(series()))).withColumn("sd", rolling(F.stddev_samp, F.col("x"), 252) * 252**0.5)
     return rounded(ind.index_momentum(df, "r12", "r6", "sd"), ["symbol", "date", "idx_mom"], 5)
 
 
@@ -364,18 +377,21 @@ def _atr_panel(spark, d):
     return ind.atr_wilder(trade_bars(spark, d), 14, "atr")
 
 
-_ATR = f"""t AS (SELECT *, CASE WHEN lag(close) {_W} IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) {_W}), abs(low - lag(close) {_W})) END AS tr, row_number() {_W} - 1 AS i FROM bars), a AS (SELECT *, {sql_ewm('tr', 1 / 14)} AS atr FROM t),
-l AS (SELECT *, lag(open) {_W} AS po, lag(close) {_W} AS pc, lag(open, 2) {_W} AS qo, lag(close, 2) {_W} AS qc, lag(close, 6) {_W} AS c6, abs(close - open) AS body, high - low AS size, high - greatest(open, close) AS up, least(open, close) - low AS lw FROM a)"""
+_ATR = f"""t AS (SELECT *, CASE WHEN lag(close) {_W} IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) {_W}), abs(low - lag(close) {_W})) END AS tr, row_number() {_W} - 1 AS i FROM bars),
+a AS (SELECT *, {sql_ewm('tr', 1 / 14)} AS atr, {_roll('avg', 'close', 20)} AS m, abs(close - open) AS body, high - low AS size, high - greatest(open, close) AS up, least(open, close) - low AS lo FROM t),
+x AS (SELECT *, coalesce(close < lag(close, 5) {_W} AND close < m, false) AS dn, coalesce(close > lag(close, 5) {_W} AND close > m, false) AS rs FROM a),
+l AS (SELECT *, coalesce(size > 0 AND size >= 0.5 * lag(atr) {_W}, false) AS f, lag(open) {_W} AS o1, lag(close) {_W} AS c1, lag(body) {_W} AS b1, lag(open, 2) {_W} AS o2, lag(close, 2) {_W} AS c2, lag(body, 2) {_W} AS b2, lag(atr, 3) {_W} AS a3,
+  {', '.join(f'lag(dn, {k}) {_W} AS dn{k}, lag(rs, {k}) {_W} AS up{k}' for k in (1, 2, 3))} FROM x)"""
+_PIN, _STAR = "f AND lo >= 2 * body AND lo >= 0.6 * size AND up <= 0.1 * size", "f AND up >= 2 * body AND up >= 0.6 * size AND lo <= 0.1 * size"
 _CANDLE_SQL = {
-    "hammer": "pc < c6 AND lw >= 2 * body AND up <= 0.25 * size AND size >= 0.5 * atr", "shooting_star": "pc > c6 AND up >= 2 * body AND lw <= 0.25 * size AND size >= 0.5 * atr",
-    "bull_engulf": "pc < c6 AND pc < po AND close > open AND close >= po AND open <= pc AND body >= 0.5 * atr", "bear_engulf": "pc > c6 AND pc > po AND close < open AND close <= po AND open >= pc AND body >= 0.5 * atr",
-    "piercing": "pc < c6 AND pc < po AND close > open AND open < pc AND close > (po + pc) / 2 AND close < po", "dark_cloud": "pc > c6 AND pc > po AND close < open AND open > pc AND close < (po + pc) / 2 AND close > po",
-    "morning_star": "pc < c6 AND qc < qo AND abs(qc - qo) >= 0.5 * atr AND abs(pc - po) <= 0.3 * atr AND close > open AND close > (qo + qc) / 2", "evening_star": "pc > c6 AND qc > qo AND abs(qc - qo) >= 0.5 * atr AND abs(pc - po) <= 0.3 * atr AND close < open AND close < (qo + qc) / 2",
-    "three_white": "close > open AND pc > po AND qc > qo AND close > pc AND pc > qc AND body >= 0.3 * atr", "three_black": "close < open AND pc < po AND qc < qo AND close < pc AND pc < qc AND body >= 0.3 * atr",
+    "Doji after uptrend": "f AND body <= 0.1 * size AND up1", "Doji after downtrend": "f AND body <= 0.1 * size AND dn1", "Hammer": f"{_PIN} AND dn1", "Hanging Man": f"{_PIN} AND up1", "Shooting Star": f"{_STAR} AND up1", "Inverted Hammer": f"{_STAR} AND dn1",
+    "Bullish Engulfing": "c1 < o1 AND close > open AND open <= c1 AND close >= o1 AND body > b1 AND dn2", "Bearish Engulfing": "c1 > o1 AND close < open AND open >= c1 AND close <= o1 AND body > b1 AND up2",
+    "Morning Star": "c2 < o2 AND b2 >= 0.6 * a3 AND b1 <= 0.3 * b2 AND greatest(o1, c1) < c2 AND close > open AND close > (o2 + c2) / 2 AND dn3",
+    "Evening Star": "c2 > o2 AND b2 >= 0.6 * a3 AND b1 <= 0.3 * b2 AND least(o1, c1) > c2 AND close < open AND close < (o2 + c2) / 2 AND up3",
 }
 
 
-@query("pat06_candles", with_bars(f"{_ATR} " + " UNION ALL ".join(f"SELECT symbol, date, '{k}' AS pattern, {patterns.CANDLES[k]} AS dir FROM l WHERE {v}" for k, v in _CANDLE_SQL.items())).replace("SELECT symbol, date, 'hammer'", "SELECT symbol, date, 'hammer'"))
+@query("pat06_candles", with_bars(f"{_ATR} " + " UNION ALL ".join(f"SELECT symbol, date, '{k}' AS pattern, {patterns.CANDLES[k]} AS dir FROM l WHERE {v}" for k, v in _CANDLE_SQL.items())))
 def _(spark, d):
     return patterns.candle_events(patterns.candle_signals(_atr_panel(spark, d)))
 
@@ -387,7 +403,7 @@ def _(spark, d):
 
 @query("pat05_flags")
 def _(spark, d):
-    return patterns.flag_events(_atr_panel(spark, d))
+    return rounded(patterns.flag_events(_atr_panel(spark, d)), ["symbol", "pattern", "date", "dir", "trigger", "stop", "target", "length"], 5)
 
 
 @query("lab05_pat07_agg25_measured_moves")
