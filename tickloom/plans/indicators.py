@@ -324,11 +324,11 @@ def _(spark, d):
 
 @query(
     "win14_forward_fill",
-    with_bars(f"""a AS (SELECT symbol, date, CASE WHEN day(date) % 7 = 1 THEN close END AS x FROM bars)
+    with_bars(f"""a AS (SELECT symbol, date, CASE WHEN close > open THEN close END AS x FROM bars)
 SELECT symbol, date, round(last_value(x IGNORE NULLS) {_W}, 6) AS ffill, round(last_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) AS ffill5 FROM a"""),
 )
 def _(spark, d):
-    df = trade_bars(spark, d).withColumn("x", F.when(F.dayofmonth("date") % 7 == 1, F.col("close")))
+    df = trade_bars(spark, d).withColumn("x", F.when(F.col("close") > F.col("open"), F.col("close")))
     return df.select("symbol", "date", F.round(r.filled(F.col("x")), 6).alias("ffill"), F.round(r.filled(F.col("x"), 5), 6).alias("ffill5"))
 
 

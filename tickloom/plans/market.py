@@ -132,10 +132,10 @@ def _(spark, d):
     return df.select("symbol", "date", kind.alias("kind"), F.round(F.log(safe_ratio(F.col("close"), F.col("volume"))), 6).alias("safe"), F.size("w").alias("n"), F.round(F.aggregate("w", F.lit(0.0), lambda a, x: a + x["close"]), 4).alias("total"))
 
 
-@query("prj05_flag_dates", with_bars("""x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 50 = 0), d AS (SELECT DISTINCT date FROM bars)
+@query("prj05_flag_dates", with_bars("""x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'), d AS (SELECT DISTINCT date FROM bars)
 SELECT 'flagged' AS kind, date FROM d WHERE date IN (SELECT date FROM x) UNION ALL SELECT 'missing', date FROM x WHERE date NOT IN (SELECT date FROM d)"""))
 def _(spark, d):
-    x = src.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.to_date("o_orderdate").alias("date"))
+    x = src.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.to_date("o_orderdate").alias("date"))
     dates, missing = calendar.flagged(trade_bars(spark, d).select("date").distinct(), x, "on")
     return dates.where("on = 1").select(F.lit("flagged").alias("kind"), "date").unionByName(missing.select(F.lit("missing").alias("kind"), "date"))
 
@@ -152,12 +152,12 @@ def _(spark, d):
     return adjust.anchored(trade_bars(spark, d), actions(spark).select("symbol", "ex_date", "action_type"))
 
 
-@query("joi11_asof_backward", with_bars("""q AS (SELECT symbol, CAST(date + 1 AS DATE) AS date FROM bars), v AS (SELECT symbol, date, close AS px FROM bars WHERE day(date) % 9 = 0)
+@query("joi11_asof_backward", with_bars("""q AS (SELECT symbol, CAST(date + 1 AS DATE) AS date FROM bars), v AS (SELECT symbol, date, close AS px FROM bars WHERE close > open)
 SELECT q.symbol, q.date, round(CASE WHEN q.date - v.date <= 30 THEN v.px END, 6) AS px FROM q ASOF LEFT JOIN v ON q.symbol = v.symbol AND q.date >= v.date"""))
 def _(spark, d):
     b = trade_bars(spark, d)
     q = b.select("symbol", F.date_add("date", 1).alias("date"))
-    v = b.where(F.dayofmonth("date") % 9 == 0).select("symbol", "date", F.col("close").alias("px"))
+    v = b.where("close > open").select("symbol", "date", F.col("close").alias("px"))
     return adjust.as_of_backward(q, v, "px", 30).select("symbol", "date", F.round("px", 6).alias("px"))
 
 

@@ -24,7 +24,7 @@ def _(spark, d):
 
 @query("snk05_dashboard_json")
 def _(spark, d):
-    return sinks.dashboard_json(rounded(trade_bars(spark, d).where("symbol = 'NATION_1'"), ["symbol", "date", "open", "close", "volume"]))
+    return sinks.dashboard_json(rounded(trade_bars(spark, d), ["symbol", "date", "open", "close", "volume"]))
 
 
 @query("snk03_input_digests")
