@@ -78,7 +78,7 @@ class _Pack:
             bucket, doc, key, start, n_words = (np.concatenate(c) for c in zip(*self.columns))
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            packer = zstandard.ZstdCompressor(level=3)
+            packer = zstandard.ZstdCompressor(level=6)
             for part in np.split(order, cuts):
                 seen: dict[bytes, int] = {}
                 ids = np.array([seen.setdefault(self.texts[i], len(seen)) for i in part.tolist()], np.uint32)
@@ -211,10 +211,12 @@ def _bucket_reader(window: int):
 def repeated_spans(docs: DataFrame, window: int = 13, run: int = 3, bucket_bytes: int = 4 << 20) -> DataFrame:
     """doc, key, spans (begin, stop in words): what of each document is in a window that a smaller doc_id has too.
 
-    ``doc`` is the doc_id, LAST for null; ``key`` tells apart rows with one doc_id.
+    ``doc`` is the doc_id, LAST for null; ``key`` tells apart rows with one doc_id, and is 0 where no doc_id comes twice.
     """
     texts = _keyed(docs)
     size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        texts = texts.withColumn("key", F.lit(0).cast("long"))  # doc_ids suffice, and zeros take no room in a block
     buckets = max(16, int(size // bucket_bytes))
     blocks = texts.select("doc", "key", "text").mapInArrow(_packed(window, run, buckets), "bucket long, block binary")
     dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
@@ -226,7 +228,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        row_key(F.col("text")).bitwiseAND(F.lit((1 << 32) - 1)).alias("key"),
+        F.greatest(row_key(F.col("text")).bitwiseAND(F.lit((1 << 32) - 1)), F.lit(1).cast("long")).alias("key"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
@@ -256,7 +258,7 @@ def _cleaned(with_text: bool):
 def _joined(docs: DataFrame, window: int) -> DataFrame:
     spans = repeated_spans(docs, window).select(F.col("doc").alias("d"), F.col("key").alias("k"), "spans").hint("shuffle_hash")
     texts = _keyed(docs)
-    return texts.join(spans, (texts.doc == F.col("d")) & (texts.key == F.col("k")), "left").select("doc_id", "text", "spans")
+    return texts.join(spans, (texts.doc == F.col("d")) & ((F.col("k") == 0) | (texts.key == F.col("k"))), "left").select("doc_id", "text", "spans")
 
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
