@@ -31,18 +31,20 @@ def trade_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     First and last trades of a day go by a full key, so ties cannot change a bar.
     """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    nations = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     places = (
-        table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-        .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region").select("r_regionkey", "r_name"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("s_suppkey", F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
+        table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("symbol"), "n_regionkey")
+        .join(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("sector")), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("n_nationkey", "symbol", "sector")
     )
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    trades = items.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select("symbol", "sector", F.to_date("l_shipdate").alias("date"), price.alias("price"), "l_quantity", key.alias("key"))
-    return trades.groupBy("symbol", "sector", "date").agg(
+    trades = items.join(nations, F.col("l_suppkey") == F.col("s_suppkey")).select("s_nationkey", F.to_date("l_shipdate").alias("date"), price.alias("price"), "l_quantity", key.alias("key"))
+    # grouped by numbers; names come to the bars, which are far fewer than trades
+    bars = trades.groupBy("s_nationkey", "date").agg(
         F.min_by("price", "key").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "key").alias("close"), F.sum("l_quantity").alias("volume")
     )
+    return bars.join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("symbol", "sector", "date", "open", "high", "low", "close", "volume")
 
 
 def tick_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
