@@ -449,12 +449,46 @@ def test_large_nodes_are_dealt_to_parts(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+@pytest.mark.parametrize("n, part", [(240, 20), (60, 7)])
+def test_pairs_in_a_crowd_below_the_threshold(spark, n, part):
+    """A crowd at similarity 0.8 does not part and is like no pivot; its planted pairs at 0.865 are all linked, once among distinct tails and once where blocks of a common shingle meet."""
+    rng = random.Random(2)
+    core, rows = [f"c{i}" for i in range(164)], []
+    for i in range(n):
+        tail = [f"t{i // 2}_{k}" for k in range(7)] if i < 40 else [f"u{i}_{k}" for k in range(7)]
+        rows.append((i, " ".join(core + tail + [f"x{i}_{k}" for k in range(13)]), None, None, None))
+    rng.shuffle(rows)
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = near_dedup.near_dedup_digests(docs, 85, leaf=8, depth=3, part=part, pivots=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 2 if i < 40 else i for i in range(n)} and len(got) == n + 3
+
+
+def test_blocks_of_a_common_shingle_all_meet(spark):
+    """Every pair of two components with an indexed class shares a node, and no node holds more than two blocks."""
+    rng = random.Random(3)
+    rows = [(7, bytes([i // 256, i % 256]), 9, 0, 0, b"L" if i < 60 else bytes([i]), b"L" if i < 60 else None, rng.random() < 0.5) for i in range(130)]
+    members = spark.createDataFrame(rows, "token long, digest binary, n_shingles long, sk1 long, sk2 long, component binary, label binary, indexed boolean")
+    nodes = defaultdict(set)
+    for r in near_dedup._met(members, 10, 10).collect():
+        nodes[r.node].add(bytes(r.digest))
+    met = {(a, b) for of in nodes.values() for a in of for b in of}
+    assert all((a[1], b[1]) in met for a in rows for b in rows if a[5] != b[5] and (a[7] or b[7])) and max(map(len, nodes.values())) < 60
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (7, 7)]
     got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 150: 100}
 
 
+def test_components_of_more_links_than_the_driver_takes(spark):
+    rng = random.Random(4)
+    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "a long, b long")
+    found = [{(r.node, r.root) for r in near_dedup.components(links, few=few).collect()} for few in (0, 1000)]
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_near_odd(spark):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_dedup_digests(odd(spark)).collect())
     assert got == [("1", 1, 1, True)] * 3 + [("5", 0, 5, True)] * 2 + [("None", 0, None, True), ("None", 1, 1, False)]

@@ -14,7 +14,13 @@ compared once.
 
 A node that is still larger at the deepest level holds classes that are like each other. It is dealt
 to parts of ``part`` classes, another deal in each tree, each part with the node's ``pivots`` in it,
-so no task holds more than ``part + pivots`` classes of a node and whatever is like a pivot is linked.
+so whatever is like a pivot is linked. What that leaves apart is then joined exactly, by prefix filters
+over the full sets of all classes in such nodes: with shingles in order of rarity, the smaller set of a
+linked pair has one of its first shingles among the first of the larger. Classes that meet at a shingle
+are compared unless links connect them already; more than ``leaf`` of them go as pairs of blocks of about
+``part``, each pair of blocks a group of its own, so none is left out and no task holds many more than
+``2 * part``; shingles of one crowd are taken together, so its classes meet once and not at each. A crowd whose pairs lie below the threshold has its first shingles to itself, so it costs
+few comparisons.
 
 Recall: a pair at the threshold meets in a tree with probability 0.87 (one level) to 0.6 (five), so
 ten trees lose at most one such pair in ten thousand; pairs above it are lost far less often.
@@ -141,7 +147,7 @@ _LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 
 def _clusters(percent: int):
-    """Of a node's classes, the groups that sketches and sizes leave connected."""
+    """Of a node's classes, the groups that sketches and sizes leave connected. Where rows tell their component and whether they are indexed, only pairs of two components with an indexed class count."""
 
     def handle(rows: list[tuple]) -> list[tuple]:
         seen = {r[1]: r for r in rows}
@@ -151,9 +157,16 @@ def _clusters(percent: int):
         n = np.array([r[2] for r in rows], np.int64)
         sk1, sk2 = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (3, 4))
         label = np.arange(len(rows))
+        exact = len(rows[0]) > 5
+        if exact:
+            component = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1].reshape(-1)
+            indexed = np.array([r[6] for r in rows], bool)
         for i in range(1, len(rows)):
             near = (_far(sk1, sk2, i) <= _FAR) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             near[i + 1 :] = False
+            if exact:
+                near &= (component != component[i]) & (indexed | indexed[i])
+            near[i] = True
             for x in np.unique(label[near]):
                 label[label == x] = i
         out = []
@@ -196,8 +209,8 @@ def _linked(percent: int, shingle: int):
     return handle
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root for each end of a link: the least node of its component. Large-star and small-star steps in turn, each kept in the checkpoint folder.
+def components(links: DataFrame, most_rounds: int = 60, few: int = 20_000) -> DataFrame:
+    """node, root for each end of a link: the least node of its component. Large-star and small-star steps in turn, each kept in the checkpoint folder; at most ``few`` links are united on the driver.
 
     A node with very many neighbours is a group of rows that only minima and skew joins see.
     """
@@ -207,6 +220,19 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     before = mark(edges)
+    if before[0] <= few:
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for a, b in (tuple(bytes(x) if isinstance(x, bytearray) else x for x in row) for row in edges.collect()):
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        kind = edges.schema["u"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([(x, find(x)) for x in root], f"node {kind}, root {kind}")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -228,7 +254,7 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shi
 
     ``classes``: digest, n_shingles, sk1, sk2, tokens, and doc, key of one document; ``texts``: doc, key, text.
     """
-    threshold, nodes = percent / 100, []
+    threshold, nodes, crowded = percent / 100, [], None
     columns = ["node", "digest", "n_shingles", "sk1", "sk2"]
     now = classes.select("digest", "n_shingles", "sk1", "sk2", F.explode(_children(threshold, trees, None)).alias("node")).select(columns)
     for level in range(1, depth + 1):
@@ -242,17 +268,103 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shi
             tokens = classes.select(F.col("digest").alias("c"), "tokens")
             now = large.join(tokens, F.col("digest") == F.col("c")).withColumn("node", F.explode(_children(threshold, trees, F.col("node")))).select(columns).distinct()
         else:
+            crowded = checkpointed(large.select(F.col("digest").alias("crowded")).distinct())
             # which classes are a node's pivots is a matter of their rank by a hash, found with partial aggregates
             seeded = large.withColumn("h", F.xxhash64("node", "digest")).withColumn("parts", F.ceil(F.col("size") / part).cast("long"))
             cut = F.col("h").cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * pivots / F.col("size")
             copies = F.when(cut & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), F.col("parts"))))
             nodes.append(seeded.withColumn("p", F.explode(copies)).withColumn("node", F.xxhash64("node", "p")).select(columns))
-    dealt = reduce(DataFrame.unionByName, nodes).repartition("node").sortWithinPartitions("node")
-    clusters = checkpointed(dealt.mapInArrow(_by_key(_clusters(percent), _CLUSTER), "cluster binary, digest binary, sk1 long, sk2 long").dropDuplicates(["cluster", "digest"]))
-    places = classes.select(F.col("digest").alias("c"), F.col("doc").alias("d"), F.col("key").alias("k"))
-    wanted = clusters.join(places, F.col("digest") == F.col("c")).select("cluster", "digest", "sk1", "sk2", "d", "k").hint("shuffle_hash")
-    held = texts.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cluster", "digest", "sk1", "sk2", "text")
-    return held.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_by_key(_linked(percent, shingle), _LINK), "a binary, b binary")
+
+    def confirmed(nodes: DataFrame) -> DataFrame:
+        dealt = nodes.repartition("node").sortWithinPartitions("node")
+        clusters = checkpointed(dealt.mapInArrow(_by_key(_clusters(percent), _CLUSTER), "cluster binary, digest binary, sk1 long, sk2 long").dropDuplicates(["cluster", "digest"]))
+        places = classes.select(F.col("digest").alias("c"), F.col("doc").alias("d"), F.col("key").alias("k"))
+        wanted = clusters.join(places, F.col("digest") == F.col("c")).select("cluster", "digest", "sk1", "sk2", "d", "k").hint("shuffle_hash")
+        held = texts.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cluster", "digest", "sk1", "sk2", "text")
+        return held.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_by_key(_linked(percent, shingle), _LINK), "a binary, b binary")
+
+    links = confirmed(reduce(DataFrame.unionByName, nodes))
+    if crowded is None:
+        return links
+    links = checkpointed(links)
+    roots = checkpointed(components(links))
+    members = _prefixed(classes.join(crowded, F.col("digest") == F.col("crowded"), "left_semi"), texts, roots, percent, shingle, part)
+    return links.unionByName(confirmed(_met(_crowds(members), leaf, part)))
+
+
+def _tokens(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in text_chunks(batch.column(1)):
+                sets = shingle_sets(Words(data, offsets, lower=True), shingle)
+                begins = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(begins), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], ["digest", "tokens"])
+        released()
+
+    return run
+
+
+def _prefixed(classes: DataFrame, texts: DataFrame, roots: DataFrame, percent: int, shingle: int, part: int) -> DataFrame:
+    """token, digest, n_shingles, sk1, sk2, component, label, indexed: the first shingles of each class that another class has too, rarest first.
+
+    Of a linked pair, the smaller set shares at least 2 p / (100 + p) of its shingles and the larger p / 100, so one of
+    the first shingles of the smaller (``indexed``) is among the first of the larger. ``label`` is the component where
+    that has more than ``part`` classes, else null.
+    """
+    at = classes.select("digest", F.col("doc").alias("d"), F.col("key").alias("k")).hint("shuffle_hash")
+    held = texts.join(at, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("digest", "text")
+    tokens = checkpointed(held.mapInArrow(_tokens(shingle), "digest binary, tokens array<long>")).select("digest", F.explode("tokens").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    common = tokens.join(counts, "token").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("often", "token"))).alias("common"))
+    about = classes.select(F.col("digest").alias("c"), "n_shingles", "sk1", "sk2").join(roots, F.col("c") == F.col("node"), "left").withColumn("component", F.coalesce("root", "c"))
+    large = about.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > part).select(F.col("component").alias("label"))
+    about = about.join(large, F.col("component") == F.col("label"), "left").select("c", "n_shingles", "sk1", "sk2", "component", "label")
+    n = F.col("n_shingles")
+    first = n - F.expr(f"(2 * {percent} * n_shingles + {99 + percent}) div {100 + percent}") + 1
+    probe = n - F.expr(f"({percent} * n_shingles + 99) div 100") + 1
+    own = n - F.size("common")  # shingles of no other class come first
+    rows = common.join(about, F.col("digest") == F.col("c")).withColumns({"own": own, "first": first, "probe": probe})
+    rows = rows.select("digest", "n_shingles", "sk1", "sk2", "component", "label", "own", "first", "probe", F.posexplode("common").alias("place", "of"))
+    rows = rows.withColumn("rank", F.col("own") + F.col("place")).where("rank < probe")
+    return checkpointed(rows.select(F.col("of.token").alias("token"), "digest", "n_shingles", "sk1", "sk2", "component", "label", (F.col("rank") < F.col("first")).alias("indexed")))
+
+
+def _crowds(members: DataFrame, few: int = 30) -> DataFrame:
+    """``members``, with the shingles of more than ``few`` classes that occur together named alike, where comparing all their classes once is less than doing so at each shingle."""
+    sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.max("indexed").alias("any")).where(F.col("any") & (F.col("size") > few))
+    sizes = checkpointed(sizes.select(F.col("token").alias("hot"), "size"))
+    if sizes.isEmpty():
+        return members
+    held = checkpointed(members.join(sizes, F.col("token") == F.col("hot")).select("digest", "token", "size"))
+    first = held.groupBy(F.col("digest").alias("c")).agg(F.min("token").alias("a"))
+    roots = components(held.join(first, F.col("digest") == F.col("c")).select("a", F.col("token").alias("b")).distinct())
+    named = checkpointed(sizes.join(roots, F.col("hot") == F.col("node"), "left").select("hot", "size", F.xxhash64(F.lit("crowd"), F.coalesce("root", "hot")).alias("crowd")))
+    once = held.join(named.select("hot", "crowd"), F.col("token") == F.col("hot")).select("crowd", "digest").distinct().groupBy("crowd").agg(F.count(F.lit(1)).cast("double").alias("all"))
+    each = named.groupBy(F.col("crowd").alias("g")).agg(F.sum(F.pow("size", F.lit(2))).alias("each"))
+    less = once.join(each, F.col("crowd") == F.col("g")).where("all * all < each").select("g")
+    named = named.join(less, F.col("crowd") == F.col("g")).select("hot", "crowd")
+    rows = members.join(named, F.col("token") == F.col("hot"), "left").withColumn("token", F.coalesce("crowd", "token"))
+    return checkpointed(rows.groupBy("token", "digest").agg(*[F.first(c).alias(c) for c in ("n_shingles", "sk1", "sk2", "component", "label")], F.max("indexed").alias("indexed")))
+
+
+def _met(members: DataFrame, leaf: int, part: int) -> DataFrame:
+    """node, digest, n_shingles, sk1, sk2, component, indexed: classes that meet at a shingle, in pairs of blocks where they are many."""
+    kinds = members.groupBy("token", "label", "indexed").agg(F.count(F.lit(1)).alias("size"))
+    kinds = kinds.groupBy(F.col("token").alias("t")).agg(
+        F.sum("size").alias("total"), F.max("indexed").alias("any"), F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"), F.count("label").alias("labelled"),
+        F.collect_list(F.struct("label", "indexed", F.ceil(F.col("size") / part).cast("long").alias("blocks"))).alias("kinds"),
+    )
+    kinds = kinds.where("any and total > 1 and not (labels = 1 and labelled = n)").select("t", "total", "kinds")
+    rows = members.join(kinds, F.col("token") == F.col("t"))
+    block = lambda label, indexed, p: F.xxhash64(label, indexed, p)
+    mine = F.filter("kinds", lambda k: k["label"].eqNullSafe(F.col("label")) & (k["indexed"] == F.col("indexed")))[0]["blocks"]
+    rows = rows.withColumn("block", block(F.col("label"), F.col("indexed"), F.pmod(F.xxhash64("digest"), mine)))
+    others = F.filter("kinds", lambda k: (k["indexed"] | F.col("indexed")) & ~F.coalesce(k["label"] == F.col("label"), F.lit(False)))
+    other = F.flatten(F.transform(others, lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["blocks"] - 1), lambda p: block(k["label"], k["indexed"], p))))
+    pairs = F.transform(other, lambda b: F.xxhash64(F.col("token"), F.least(b, F.col("block")), F.greatest(b, F.col("block"))))
+    nodes = F.when(F.col("total") <= leaf, F.array(F.xxhash64("token"))).otherwise(pairs)
+    return rows.withColumn("node", F.explode(nodes)).select("node", "digest", "n_shingles", "sk1", "sk2", "component", "indexed")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = 5, **parameters) -> DataFrame:
