@@ -369,6 +369,39 @@ def test_substring_dedup(docs, rows, window):
     assert got == brute_substrings(rows, window)
 
 
+def test_a_frequent_run_is_spread(spark, docs, rows, monkeypatch):
+    """The minimisers of a stock phrase with differing neighbours, and of a passage in every document, leave the buckets; results stay."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    some = [" ".join(rng.choice(["red", "blue", "green"]) for _ in range(9)) for _ in range(8)]
+    more = [(1000 + i, f"{rng.choice(some)} of the party {rng.choice(some)} u{i} {passage}", None, None, None) for i in range(300)]
+    both = spark.createDataFrame(rows + more, DOCS)
+    plain = {(r.doc, r.key): r.spans for r in substring_dedup.repeated_spans(both).collect()}
+    covered = lambda spans: {w for s in spans for w in range(s["begin"], s["stop"])}
+    spread = {(r.doc, r.key): r.spans for r in substring_dedup.repeated_spans(both, most=100).collect()}
+    assert {k: covered(s) for k, s in plain.items()} == {k: covered(s) for k, s in spread.items()}
+    wide = substring_dedup.repeated_spans
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda d, window: wide(d, window, most=100))
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup_digests(both).collect()}
+    assert got == brute_substrings(rows + more, 13)
+
+
+def test_windows_of_a_hot_minimiser_are_in_no_block():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [f"a{i} b{i} c{i} d{i} e{i} f{i} g{i} h{i} of the party i{i} j{i} k{i} l{i} m{i} n{i} o{i}" for i in range(50)]
+    words = substring_dedup.Words(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    least = substring_dedup.super_kmers(words, 13, 3)[3]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50), pa.int64()), pa.array([0] * 50, pa.int64()), pa.array(texts)], ["doc", "key", "text"])
+    counts = {m: n for b in substring_dedup._heavy(13, 3, 1)([batch.select(["text"])]) for m, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert sum(counts.values()) == 50 * (18 - 13 + 1) and set(counts) == set(least.view(np.int64).tolist())
+    hot = np.unique(least)[::2]
+    single = sum(b.num_rows for b in substring_dedup._single(13, 3, hot)([batch]))
+    blocks = [substring_dedup._unpacked([x.as_py() for x in b.column(1)]) for b in substring_dedup._packed(13, 3, 1, hot)([batch])]
+    assert 0 < single == sum(counts[int(m)] for m in hot.view(np.int64)) and single + sum(int((b[4] - 12)[b[0]].sum()) for b in blocks) == 300
+
+
 def test_equal_hashes_are_told_apart(monkeypatch):
     import numpy as np
 

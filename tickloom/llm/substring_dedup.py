@@ -7,9 +7,12 @@ bucket go once, with a list of their places, and a bucket's strings travel as on
 In a bucket, windows are sorted; equal neighbours are compared word by word, so a count is exact
 whatever the hashes. Places, not texts, come back to the documents.
 
-The number of buckets follows the bytes of text, so a bucket's strings fit a task at any size. A
-passage that a third of all documents share is one string for each packing, and a place of about
-ten bytes for each document.
+The number of buckets follows the bytes of text. A minimiser is a run of few words, so a frequent run can
+gather more windows than a task holds: minimisers of more than ``most`` windows are counted first, and
+their windows go one by one, each by a 128-bit digest of its own words. Spark's aggregates take the least
+doc_id of each digest before anything is shuffled, and a join that streams brings it back to the places, so
+neither the contexts of a frequent run nor the places of a passage that very many documents share are held
+in one task's memory. The counts only choose the way that windows go; results are the same by either.
 
 Defined results: null text has no words. A null doc_id counts as larger than all others. Repeated rows
 have equal doc_ids, and so are no earlier documents for each other. An empty table gives an empty
@@ -90,7 +93,59 @@ class _Pack:
         self.__init__()
 
 
-def _packed(window: int, run: int, buckets: int):
+def _heavy(window: int, run: int, least_count: int):
+    """How many windows a task has for each minimiser; those of fewer than ``least_count`` are left to the buckets."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        for batch in batches:
+            for low, high, data, offsets in text_chunks(batch.column(0)):
+                start, end, row, least = super_kmers(Words(data, offsets), window, run)
+                waiting.append((least, end - start - window + 1))
+                held += len(least)
+                if held > len(known) + (1 << 19):
+                    known, counts, waiting, held = *_added(known, counts, waiting), [], 0
+        known, counts = _added(known, counts, waiting)
+        of = counts >= least_count
+        if of.any():
+            yield pa.RecordBatch.from_arrays([pa.array(known[of].view(np.int64)), pa.array(counts[of])], ["minimiser", "n"])
+        released()
+
+    return each
+
+
+def _added(known: np.ndarray, counts: np.ndarray, more: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    every, which = np.unique(np.concatenate([known, *[m[0] for m in more]]), return_inverse=True)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, which.reshape(-1), np.concatenate([counts, *[m[1] for m in more]]))
+    return every, total
+
+
+def _single(window: int, run: int, hot: np.ndarray):
+    """digest, doc, key, begin of each window whose minimiser is hot."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for low, high, data, offsets in text_chunks(batch.column(2)):
+                words = Words(data, offsets)
+                start, end, row, least = super_kmers(words, window, run)
+                of = np.isin(least, hot)
+                if not of.any():
+                    continue
+                start, n, row = start[of], (end - start)[of] - window + 1, row[of]
+                text, at = spaced(words)
+                which = np.repeat(np.arange(len(n)), n)
+                first = start[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                digests = [hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(at[first].tolist(), at[first + window].tolist())]
+                row = row[which]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(docs[low + row].astype(np.int64)), pa.array(keys[low + row].astype(np.int64)), pa.array((first - words.first[row]).astype(np.int32))], ["digest", "doc", "key", "begin"])
+        released()
+
+    return each
+
+
+def _packed(window: int, run: int, buckets: int, hot: np.ndarray):
     def batch_of(pack: _Pack) -> pa.RecordBatch | None:
         rows = list(pack.blocks())
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block"]) if rows else None
@@ -102,6 +157,9 @@ def _packed(window: int, run: int, buckets: int):
             for low, high, data, offsets in text_chunks(batch.column(2)):
                 words = Words(data, offsets)
                 start, end, row, least = super_kmers(words, window, run)
+                if len(hot):
+                    cold = ~np.isin(least, hot)
+                    start, end, row, least = start[cold], end[cold], row[cold], least[cold]
                 if not len(start):
                     continue
                 text, at = spaced(words)
@@ -208,7 +266,7 @@ def _bucket_reader(window: int):
     return each
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, run: int = 3, bucket_bytes: int = 4 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 13, run: int = 3, bucket_bytes: int = 4 << 20, most: int = 500_000) -> DataFrame:
     """doc, key, spans (begin, stop in words): what of each document is in a window that a smaller doc_id has too.
 
     ``doc`` is the doc_id, LAST for null; ``key`` tells apart rows with one doc_id, and is 0 where no doc_id comes twice.
@@ -218,9 +276,18 @@ def repeated_spans(docs: DataFrame, window: int = 13, run: int = 3, bucket_bytes
     if texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         texts = texts.withColumn("key", F.lit(0).cast("long"))  # doc_ids suffice, and zeros take no room in a block
     buckets = max(16, int(size // bucket_bytes))
-    blocks = texts.select("doc", "key", "text").mapInArrow(_packed(window, run, buckets), "bucket long, block binary")
+    # what all tasks leave out of a minimiser's count comes to most / 2 at the worst; at most two minimisers for ``most`` windows reach the driver
+    heavy = texts.select("text")
+    heavy = heavy.mapInArrow(_heavy(window, run, max(1, most // (2 * max(1, heavy.rdd.getNumPartitions())))), "minimiser long, n long")
+    hot = np.array([r.minimiser for r in heavy.groupBy("minimiser").agg(F.sum("n").alias("n")).where(F.col("n") > most // 2).collect()], np.int64).view(np.uint64)
+    blocks = texts.select("doc", "key", "text").mapInArrow(_packed(window, run, buckets, hot), "bucket long, block binary")
     dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(_bucket_reader(window), "doc long, key long, begin int, stop int")
+    if len(hot):
+        single = texts.select("doc", "key", "text").mapInArrow(_single(window, run, hot), "digest binary, doc long, key long, begin int")
+        least = single.groupBy(F.col("digest").alias("d")).agg(F.min("doc").alias("least"), F.max("doc").alias("last")).where("least < last").select("d", "least").hint("merge")
+        again = single.join(least, F.col("digest") == F.col("d")).where("least < doc")
+        found = found.unionByName(again.select("doc", "key", "begin", (F.col("begin") + window).cast("int").alias("stop")))
     return found.groupBy("doc", "key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
 
 
