@@ -36,7 +36,36 @@ def test_ids_and_decoded(both):
         want = library.encode(text, add_special_tokens=False).ids
         got = np.frombuffer(own.encode(text), "<u4").tolist()
         assert got == want, text[:50]
-        assert own.joined_tokens(got) == library.decode(want, skip_special_tokens=False)
+        decoder = own.joined_decoder()
+        assert "".join(decoder.feed([i]) for i in got) == library.decode(want, skip_special_tokens=False)
+
+
+def test_segments_and_forgetting_change_nothing(both):
+    library = both[0]
+    with open(PATH, "rb") as file:
+        own = bpe.Tokenizer(file.read(), most_remembered=5)
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdeé日'1<|>") for _ in range(rng.randint(1, 9))) + rng.choice(["", "\n", "\t<|endoftext|>"]) for _ in range(40_000)) + "x" * 200_000 + " end"
+    parts = list(bpe.segments(text))
+    assert "".join(parts) == text and len(parts) > 3 and max(map(len, parts[:-2])) <= 1 << 16
+    want, decoder = library.encode(text, add_special_tokens=False).ids, own.joined_decoder()
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.stream(text)]
+    assert sum(got, []) == want and "".join(map(decoder.feed, got)) == library.decode(want, skip_special_tokens=False)
+    assert len(own._young) <= 5 and len(own._old) <= 5
+
+
+def test_digests_of_the_whole_table(spark, both):
+    """Each column of the query against the library, text by text."""
+    library = both[0]
+    rows = [(i, t) for i, t in enumerate(texts(1)[:300])] + [(1000, None)]
+    rows += [(r.doc_id + 2000, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in bpe.bpe_digests(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        r = got[i]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_stable_tokens_leave_early(both):

@@ -9,8 +9,12 @@ the sufficient lookahead. As soon as the encodings of all prefixes that a later
 their first tokens in common, those tokens are stable and leave the transducer, so its memory does not
 grow with the piece.
 
-Decoding is a state machine as well: bytes of tokens go through an incremental UTF-8 decoder, which
-holds an unfinished character until its last byte comes.
+Decoding is a state machine as well, fed id by id. What a file without a decoder asks for is the tokens with
+a space between each two: the machine's state is whether a token went before. For readable text the bytes of
+tokens go through an incremental UTF-8 decoder, which holds an unfinished character until its last byte comes.
+
+A text is cut at spaces into segments, since no piece holds one, and each segment's tokens go straight on to
+the decoder and the digests: beside the text itself, what is held is one segment, or one run without spaces.
 
 The tokenizer file's path is a parameter; the driver reads it and broadcasts it (about 2 MB).
 
@@ -25,6 +29,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,6 +45,8 @@ SUFFIX = "</w>"
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 _ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _NEVER = 1 << 30
+#: Pieces of more characters are not remembered.
+_SHORT = 48
 
 
 def byte_symbols() -> list[str]:
@@ -59,6 +66,7 @@ class MergeList:
         self.tokens: list[str] = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in (vocab | self.special).items():
             self.tokens[i] = token
+        self.spaced = [" " + token for token in self.tokens]
         self.pairs: dict[tuple[int, int], int] = {}
         self.rank, self.left, self.right = {}, {}, {}
         for rank, pair in enumerate(file["model"]["merges"]):
@@ -92,9 +100,6 @@ class MergeList:
             else:  # of two equal merges the left one comes first
                 limit, b = rb + 1, self.left[b]
 
-    def forget(self) -> None:
-        self._fits.clear()
-
     def fits(self, a: int, b: int) -> bool:
         """Whether the merge list makes tokens a, b of their joint text."""
         key = (a, b)
@@ -106,11 +111,30 @@ class MergeList:
         return known
 
     def encode_piece(self, symbols: str) -> list[int]:
-        """The tokens of one piece, given as byte symbols."""
-        out: list[int] = []
-        for stable in self.stream_piece(symbols):
-            out += stable
-        return out
+        """The tokens of one piece, given as byte symbols. A short piece goes through the transducer's steps without leaving any token early."""
+        n = len(symbols)
+        if n >= 8 * self.lookahead:
+            return [token for stable in self.stream_piece(symbols) for token in stable]
+        whole = self.final.get(symbols)
+        if whole is not None:
+            return [whole]
+        seen, last, reach = self._fits.get, [-1], self.inner_lookahead
+        find = self.inner.get
+        for end in range(1, n + 1):
+            if end == n:
+                find, reach = self.final.get, self.final_lookahead
+            for begin in range(max(0, end - reach), end):
+                token = find(symbols[begin:end])
+                if token is not None:
+                    if not begin:
+                        break
+                    known = seen((last[begin], token))
+                    if self.fits(last[begin], token) if known is None else known:
+                        break
+            else:
+                raise ValueError(f"the vocabulary has no token for {symbols!r}")
+            last.append(token)
+        return self._back(last, n)
 
     def stream_piece(self, symbols: Iterable[str]) -> Iterator[list[int]]:
         """Yields tokens once they are stable. ``symbols`` can be any iterator of single symbols; what is held does not grow with it."""
@@ -165,60 +189,91 @@ class MergeList:
 
 
 class Tokenizer:
-    """A merge list with the normalisation, the pieces and the special tokens of its file. Pieces are remembered, up to a bound."""
+    """A merge list with the normalisation, the pieces and the special tokens of its file.
+
+    Short pieces are remembered in two generations of at most ``most_remembered``, so what is held is bounded in bytes too.
+    """
 
-    def __init__(self, content: bytes, most_remembered: int = 250_000):
+    def __init__(self, content: bytes, most_remembered: int = 300_000):
         self.merges = MergeList(content)
         self._symbols = dict(enumerate(byte_symbols()))
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
-        self._remembered: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._most = most_remembered
 
-    def forget(self) -> None:
-        """Drops what was remembered: a worker that is used again for other work should not hold it."""
-        self._remembered.clear()
-        self.merges.forget()
-
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return _ASCII_PIECES.findall(text.lower())
         return _PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        known = self._remembered
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > self._most:
-            known.clear()
-            new = list(pieces)
-        for p in new:
-            symbols = p if p.isascii() and p.isalnum() else p.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._symbols)
-            known[p] = np.array(self.merges.encode_piece(symbols), "<u4").tobytes()
-        return known
+    def _ids(self, piece: str) -> bytes:
+        """The ids of a piece that is not among the young ones."""
+        ids = self._old.get(piece)
+        if ids is None:
+            symbols = piece if piece.isascii() and piece.isalnum() else piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._symbols)
+            ids = array("I", self.merges.encode_piece(symbols)).tobytes()
+        if len(piece) <= _SHORT:
+            if len(self._young) >= self._most:
+                self._old, self._young = self._young, {}
+            self._young[piece] = ids
+        return ids
+
+    def stream(self, text: str) -> Iterator[bytes]:
+        """The ids as little-endian unsigned 32-bit integers, segment by segment."""
+        for segment in segments(text):
+            if self._special is None or "<|" not in segment:
+                yield self._plain(segment)
+                continue
+            for i, part in enumerate(self._special.split(segment)):
+                yield array("I", [self.merges.special[part]]).tobytes() if i % 2 else self._plain(part)
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if self._special is None or "<|" not in text:
-            return self._plain(text)
-        parts = self._special.split(text)
-        return b"".join(np.uint32(self.merges.special[x]).astype("<u4").tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts))
+        """All ids of a text."""
+        return b"".join(self.stream(text))
 
     def _plain(self, text: str) -> bytes:
-        pieces = self._pieces(text)
-        known = self._remembered
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            known = self._learn(set(pieces))
-            return b"".join([known[p] for p in pieces])
-
-    def joined_tokens(self, ids: Iterable[int]) -> str:
-        """The tokens with a space between each two: what a file without a decoder asks for."""
-        return " ".join(map(self.merges.tokens.__getitem__, ids))
+        young, ids = self._young, self._ids
+        return b"".join([young.get(p) or ids(p) for p in self._pieces(text)])
+
+    def joined_decoder(self) -> "JoinedDecoder":
+        return JoinedDecoder(self.merges)
 
     def text_decoder(self) -> "TextDecoder":
         return TextDecoder(self.merges)
 
 
+def segments(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, each ended by a space or line feed or by the text's end."""
+    start = 0
+    while len(text) - start > size:
+        end = max(text.rfind(" ", start, start + size), text.rfind("\n", start, start + size))
+        if end < 0:  # a long run without spaces stays whole
+            later = [x for x in (text.find(" ", start + size), text.find("\n", start + size)) if x >= 0]
+            end = min(later, default=len(text) - 1)
+        yield text[start : end + 1]
+        start = end + 1
+    if start < len(text):
+        yield text[start:]
+
+
+class JoinedDecoder:
+    """Ids to the tokens with a space between each two. The state is whether a token went before; each id is one step through a table."""
+
+    def __init__(self, merges: MergeList):
+        self._begun, self._first, self._later = False, merges.tokens, merges.spaced
+
+    def feed(self, ids: Iterable[int]) -> str:
+        """What the ids add to the text."""
+        out = ""
+        if not self._begun:
+            ids = iter(ids)
+            for token_id in ids:
+                self._begun, out = True, self._first[token_id]
+                break
+        return out + "".join(map(self._later.__getitem__, ids))
+
+
 class TextDecoder:
     """Ids to text, one by one: token bytes go through an incremental UTF-8 decoder, a word's end gives a space, special tokens stand for themselves."""
 
@@ -268,7 +323,6 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
-        tokenizer.forget()
         released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
@@ -299,12 +353,15 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             sizes, shas, texts = [], [], []
             for text in batch.column(1):
-                ids = tokenizer.encode(text.as_py() or "")
-                sizes.append(len(ids) // 4)
-                shas.append(hashlib.sha256(ids).hexdigest())
-                texts.append(hashlib.sha256(tokenizer.joined_tokens(np.frombuffer(ids, "<u4").tolist()).encode()).hexdigest())
+                size, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), tokenizer.joined_decoder()
+                for ids in tokenizer.stream(text.as_py() or ""):
+                    size += len(ids) // 4
+                    of_ids.update(ids)
+                    of_text.update(decoder.feed(memoryview(ids).cast("I")).encode())
+                sizes.append(size)
+                shas.append(of_ids.hexdigest())
+                texts.append(of_text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        tokenizer.forget()
         released()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
