@@ -288,6 +288,67 @@ def test_language_id(spark):
     assert language_id.identify_languages(odd(spark)).count() == 7 and language_id.identify_languages(empty(spark)).count() == 0
 
 
+def brute_languages(rows, size=4, least_share=2e-5):
+    """The same rule with sets in place of filters."""
+    import zlib
+
+    fold = lambda t: bytes(0x20 if b in (*range(9, 14), 32) else b + 32 if 65 <= b <= 90 else b for b in t.encode())
+
+    def grams(t):
+        b = fold(t)
+        return [b[i : i + size] for i in range(len(b) - size + 1)]
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in rows}
+    counts: dict = defaultdict(Counter)
+    for i, t, lang, *_ in rows:
+        if lang is not None and t is not None and not held[i]:
+            counts[lang].update(grams(t))
+    sets = {k: {g for g, n in c.items() if n >= least_share * sum(c.values())} for k, c in counts.items()}
+    out = {}
+    for i, t, *_ in rows:
+        of = Counter()
+        for g in grams(t or ""):
+            w = sum(g in s for s in sets.values())
+            for k, s in sets.items():
+                of[k] += (1 - (w - 1) / max(len(sets), 2)) * (g in s)
+        n = max(len(t.encode()) - size + 1, 1) if t else 1
+        scores = {k: of[k] / n for k in sorted(sets)}
+        out[i] = (held[i], scores if any(c.isalpha() for c in t or "") else None)
+    return out
+
+
+def test_language_id_against_sets(spark, docs, rows):
+    table = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(80).collect()]
+    for df, part in ((docs, rows), (spark.createDataFrame(table, "doc_id long, text string, lang string"), table)):
+        want = brute_languages(part)
+        got = language_id.identify_languages(df).collect()
+        assert len(got) == len(part)
+        for r in got:
+            held, scores = want[r.doc_id]
+            assert r.held_out == held
+            if scores is None:
+                assert (r.lang_pred, r.score) == ("und", 0.0)
+            else:
+                assert abs(r.score - scores[r.lang_pred]) < 0.01 and scores[r.lang_pred] >= max(scores.values()) - 0.01
+
+
+def test_a_hundred_languages_and_rare_ones(spark):
+    """More languages than bits of one word; every tenth language has two learning rows."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows, truth = [], {}
+    for k in range(100):
+        said = ["".join(rng.choice(letters) for _ in range(5)) for _ in range(30)]
+        for n in range(3 if k % 10 == 0 else 12):
+            i = len(rows)
+            rows.append((i, " ".join(rng.choice(said) for _ in range(60)), f"l{k:03}", None, None))
+            truth[i] = f"l{k:03}"
+    got = {r.doc_id: r for r in language_id.identify_languages(spark.createDataFrame(rows, DOCS)).collect()}
+    learned = {r[2] for r in rows if not got[r[0]].held_out}
+    known = [i for i in truth if truth[i] in learned]
+    assert len(learned) > 64 and sum(got[i].lang_pred == truth[i] for i in known) == len(known)
+
+
 # 8
 
 

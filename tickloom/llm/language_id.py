@@ -2,10 +2,11 @@
 
 Learning counts the n-grams (runs of ``size`` bytes of lower-cased text) of each language over all
 learning rows: each task adds up what it reads, so a language or source that holds a third of the
-rows adds no more rows to the shuffle than another. A language keeps the n-grams that make up at
-least ``least_share`` of its own and at least ``stray`` times the share they have in any other, so it has at most 1 / ``least_share`` of them, whatever the corpus;
-that is what bounds the model. The filters lie side by side: each slot is one integer with a bit for
-each language, and the AND of an n-gram's slots is the set of all languages that contain it.
+rows adds no more rows to the shuffle than another. A language contains the n-grams that make up at
+least ``least_share`` of its own, so it has at most 1 / ``least_share`` of them, whatever the corpus; that
+is what bounds the model, and a rare language loses nothing to a frequent one. The filters lie side by side: each
+slot has a bit for each language, in as many 64-bit words as there are languages for, and the AND of an n-gram's
+slots is the set of all languages that contain it.
 
 A text's languages are told by popcounts: the share of its n-grams that a language's filter contains,
 corrected for the share that the filter would show by chance, (hits - false) / (1 - false), and what
@@ -31,8 +32,6 @@ from .runtime import checkpointed, released, small_batches
 from .wordvec import SPACE, mix, text_chunks
 
 UNKNOWN = "und"
-#: Bits of a slot's integer.
-MOST_LANGUAGES = 63
 _LETTER = regex.compile(r"\p{L}")
 _HASHES = 3
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -88,18 +87,20 @@ def _counter(size: int):
 
 
 class GramFilters:
-    """Bit-sliced Bloom filters: ``slots[i]`` has bit l where a kept n-gram of language l goes to slot i."""
+    """Bit-sliced Bloom filters: ``slots[i]`` has bit l, in word l // 64, where an n-gram of language l goes to slot i."""
 
     def __init__(self, languages: list[str], grams: list[np.ndarray], slots_log2: int = 20):
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         self.languages, self.shift = languages, np.uint64(64 - slots_log2)
-        self.slots = np.zeros(1 << slots_log2, np.uint64)
+        self.slots = np.zeros((1 << slots_log2, max(1, -(-len(languages) // 64))), np.uint64)
         for k, of in enumerate(grams):
             for at in self._slots(of):
-                np.bitwise_or.at(self.slots, at, np.uint64(1 << k))
+                np.bitwise_or.at(self.slots[:, k // 64], at, np.uint64(1 << k % 64))
         #: The share of n-grams that a language's filter would contain by chance.
-        self.false = np.array([float(((self.slots >> np.uint64(k)) & np.uint64(1)).mean()) ** _HASHES for k in range(len(languages))])
+        self.false = np.array([float(self._bit(self.slots, k).mean()) ** _HASHES for k in range(len(languages))])
+
+    @staticmethod
+    def _bit(masks: np.ndarray, k: int) -> np.ndarray:
+        return (masks[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1)
 
     def _slots(self, grams: np.ndarray) -> Iterator[np.ndarray]:
         h = mix(grams.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
@@ -108,8 +109,8 @@ class GramFilters:
             h = h * np.uint64(0xD6E8FEB86659FD93 + 2 * k) + np.uint64(k + 1)
 
     def members(self, grams: np.ndarray) -> np.ndarray:
-        """For each n-gram the bit mask of all languages that contain it."""
-        out = np.full(len(grams), np.uint64(0xFFFFFFFFFFFFFFFF))
+        """For each n-gram the bit masks of all languages that contain it."""
+        out = np.full((len(grams), self.slots.shape[1]), np.uint64(0xFFFFFFFFFFFFFFFF))
         for at in self._slots(grams):
             out &= self.slots[at]
         return out
@@ -119,17 +120,17 @@ class GramFilters:
         rows, langs = len(offsets) - 1, len(self.languages)
         grams, row = row_grams(data, offsets, size)
         masks = self.members(grams)
-        bits = [((masks >> np.uint64(k)) & np.uint64(1)).astype(np.float64) for k in range(langs)]
-        known = np.bitwise_count(masks).astype(np.float64)
+        known = np.bitwise_count(masks).sum(axis=1, dtype=np.float64)
         # an n-gram that w of L languages contain counts as 1 - (w - 1) / L
         weight = np.where(known > 0, 1 - (known - 1) / max(langs, 2), 0)
-        total = np.bincount(row, minlength=rows).astype(np.float64)
-        hits = np.stack([np.bincount(row, b * weight, rows) for b in bits], axis=1) if langs else np.zeros((rows, 0))
-        share = hits / np.maximum(total, 1)[:, None]
-        return np.clip((share - self.false) / (1 - self.false), 0, 1)
+        total = np.maximum(np.bincount(row, minlength=rows), 1).astype(np.float64)
+        hits = np.zeros((rows, langs))
+        for k in range(langs):
+            hits[:, k] = np.bincount(row, self._bit(masks, k) * weight, rows)
+        return np.clip((hits / total[:, None] - self.false) / (1 - self.false), 0, 1)
 
 
-def learn_filters(docs: DataFrame, size: int = 4, least_share: float = 2e-5, stray: float = 0.1, slots_log2: int = 20) -> GramFilters:
+def learn_filters(docs: DataFrame, size: int = 4, least_share: float = 2e-5, slots_log2: int = 20) -> GramFilters:
     """Filters from the text and lang of all rows of ``docs`` that have both and are not held out."""
     rows = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counts = rows.mapInArrow(_counter(size), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -139,12 +140,9 @@ def learn_filters(docs: DataFrame, size: int = 4, least_share: float = 2e-5, str
     if not totals:
         return GramFilters([], [], slots_log2)
     languages = sorted(totals)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    total = F.element_at(F.create_map(*[x for name in languages for x in (F.lit(name), F.lit(float(totals[name])))]), F.col("lang"))
-    # an n-gram has at most one entry a language; stray words of another language are far rarer than there
-    each = counts.withColumn("share", F.col("n") / total).groupBy("gram").agg(F.max("share").alias("most"), F.collect_list(F.struct("lang", "share")).alias("of"))
-    each = each.where(F.col("most") >= least_share).select("gram", "most", F.inline("of")).where((F.col("share") >= least_share) & (F.col("share") >= stray * F.col("most")))
+    # a row a language beside the counts
+    sums = F.broadcast(docs.sparkSession.createDataFrame(list(totals.items()), "of string, total long"))
+    each = counts.join(sums, F.col("lang") == F.col("of")).where(F.col("n") >= least_share * F.col("total"))
     kept = each.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most 1 / least_share a language
     by = {r["lang"]: np.array(sorted(r["grams"]), np.int64).astype(np.uint64) for r in kept}
     return GramFilters(languages, [by.get(name, np.zeros(0, np.uint64)) for name in languages], slots_log2)
