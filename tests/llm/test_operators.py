@@ -392,6 +392,53 @@ def test_mixing(spark):
         assert abs(target[s] - t) < 1e-6 and abs(taken[s] - t) <= max(64, 0.02 * t)
 
 
+def brute_mix(spark, rows, block, shard_words, border, weights=(1, 2, 3), most=3, seed=17):
+    """The words that blocks take, one by one; only the seeded hashes are Spark's."""
+    df = spark.createDataFrame(rows, DOCS).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))))).withColumn("g", F.xxhash64("h", F.lit(1)))
+    hashes = {r.doc_id: (r.h, r.g) for r in df.collect()}
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    sources = sorted({r[3] for r in rows}, key=lambda x: (x is None, x or ""))
+    sums = [sum(size[r[0]] for r in rows if r[3] == s) for s in sources]
+    targets = mixing.capped_targets(sums, [weights[i % len(weights)] for i in range(len(sums))], most)
+    blocks = mixing.sainte_lague(targets, sum(sums) // block, [-(-most * n // block) for n in sums])
+    taken = {}
+    for s, n, b in zip(sources, sums, blocks):
+        shards = defaultdict(list)
+        for r in rows:
+            if r[3] == s:
+                shards[hashes[r[0]][1] % max(1, -(-n // shard_words))].append((hashes[r[0]][0], r[0]))
+        keys = sorted(shards)
+        of = [sum(size[i] for _, i in shards[k]) for k in keys]
+        for k, words, q in zip(keys, of, mixing.sainte_lague(of, b, [-(-most * w // block) for w in of])):
+            quota = min(q * block, most * words)
+            rounds, rest = divmod(quota, words) if words else (0, 0)
+            first = spark.sql(f"select xxhash64({seed}, {'cast(null as string)' if s is None else repr(s)}, {k}L)").first()[0] % max(1, -(-words // block)) * block
+            chosen, at = {(first + x) % words for x in range(rest)}, 0
+            for _, i in sorted(shards[k]):
+                part = sum(x in chosen for x in range(at, at + size[i]))
+                at += size[i]
+                if min(part, size[i] - part) <= border * quota:
+                    part = size[i] if 2 * part >= size[i] else 0
+                taken[i] = rounds * size[i] + part
+    return taken
+
+
+@pytest.mark.parametrize("block, shard_words, border", [(8, 700, 0.01), (1, 300, 0.0), (16, 1_000_000, 0.01)])
+def test_taken_by_document(spark, block, shard_words, border):
+    rng = random.Random(block)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 90)) if i % 17 else None, None, s, None) for i, s in enumerate(rng.choice(["a", "b", "b", "b", "é", None]) for _ in range(400))]
+    got = {r.doc_id: r.taken for r in mixing.mix_digests(spark.createDataFrame(rows, DOCS), block_words=block, shard_words=shard_words, border=border).collect()}
+    assert got == brute_mix(spark, rows, block, shard_words, border)
+
+
+@pytest.mark.parametrize("sizes", [(4, 5), (1, 1), (1, 20), (3, 2, 17, 6), (20, 19, 18), (5, 3000), tuple(range(1, 21))])
+def test_small_sources_do_not_starve(spark, sizes):
+    rows = [(i, " ".join(["w"] * n), None, f"s{i:02}", None) for i, n in enumerate(sizes)]
+    got = sorted(mixing.mix_digests(spark.createDataFrame(rows, DOCS)).collect(), key=lambda r: r.doc_id)
+    assert all(abs(r.taken - r.target) <= max(1, 0.02 * r.target) and r.taken <= 3 * r.size for r in got)
+    assert all(r.taken > 0 for r in got if r.target >= 1)
+
+
 def test_mix_is_applied(spark):
     df = spark.createDataFrame([(i, f"one two\nthree {i} five", None, "a" if i % 4 else "b", None) for i in range(80)], DOCS)
     want = {r.doc_id: r.taken for r in mixing.mix_digests(df, block_words=1).collect()}
@@ -402,6 +449,15 @@ def test_mix_is_applied(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_repeated_rows_come_whole(spark):
+    """Forty rows are the same; what they take does not divide by forty, yet only one copy may be cut."""
+    rows = [(7, "a b c d e f g h i j", None, "a", None)] * 40 + [(100 + i, "u v w x y z " * 3, None, "b", None) for i in range(11)]
+    df = spark.createDataFrame(rows, DOCS)
+    taken = sum(r.taken for r in mixing.mix_digests(df).where("doc_id = 7").collect())
+    texts = [r.text for r in mixing.apply_mix(df).where("doc_id = 7").collect()]
+    assert sum(len(t.split()) for t in texts) == taken > 0 and sum(t != "a b c d e f g h i j" for t in texts) <= 1
+
+
 def test_mixing_odd(spark):
     assert mixing.mix_digests(odd(spark)).count() == 7 and mixing.mix_digests(empty(spark)).count() == 0
     assert mixing.apply_mix(odd(spark)).columns == odd(spark).columns and mixing.apply_mix(empty(spark)).count() == 0

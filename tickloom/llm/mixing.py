@@ -1,13 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 The budget of words is cut into blocks of equal size. Highest quotients (votes / 1, / 3, / 5 ...) give
-each source an integer number of blocks, and within the source each shard an integer quota, so quotas
-add up exactly. A shard is a seeded hash bucket of a source's documents, about ``shard_words`` words;
-within it documents stand in seeded order, and the quota's blocks are taken from the front of that
-order, going round as often as the quota asks. Reruns agree, whatever the partitioning.
+each source an integer number of blocks, and within the source each group of shards and each shard an integer
+quota, so quotas add up exactly. A shard is a seeded hash bucket of a source's documents, about ``shard_words`` words.
+Its documents stand in seeded order, and its blocks are numbered along that order. A quota takes all blocks as often
+as it can, and of the rest a run of numbers that begins at a seeded block and goes on over the end. So a shard has at most
+two documents of which blocks take a part; such a document goes whole or not at all, whichever is nearer, where that moves
+the shard by ``border`` of its quota or less. Reruns agree, whatever the partitioning.
 
-What is collected to the driver is one row for each source and shard: with 16 million words to a
-shard, a corpus of 10^13 words has about 600,000 of them (``max_shards`` is checked). No text is shuffled.
+Blocks have ``block_words`` words, or fewer (a power of two, down to 1) where the smallest target has fewer than 64 such
+blocks, so no source starves by rounding. What is collected to the driver is one row for each source and
+each group of a thousand shards; the shards of a group are apportioned in a task. No text is shuffled.
 
 Defined results: null text has size 0 and takes 0. A null source is a source and comes last. Sources
 without words have target 0. Repeated rows are documents of their own; ties of the seeded hash go by
@@ -20,13 +23,14 @@ import heapq
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import WORD_PATTERN, checkpointed, packed, unpacked
 
 
-def sainte_lague(votes: Sequence[int], seats: int, caps: Sequence[int] | None = None) -> list[int]:
+def sainte_lague(votes: Sequence[float], seats: int, caps: Sequence[int] | None = None) -> list[int]:
     """Seats by highest quotients vote / (2 * seats so far + 1); ties go to the earlier party; no party goes above its cap.
 
     The common divisor is found by bisection, so time does not grow with the number of seats; the
@@ -74,7 +78,34 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], most: float =
     return targets
 
 
-def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, block_words: int = 16, shard_words: int = 16_000_000, seed: int = 17, max_shards: int = 5_000_000) -> DataFrame:
+#: Shards whose quotas are found in one task.
+GROUP = 1000
+
+
+def block_size(targets: Sequence[float], most: int) -> int:
+    """The largest power of two, ``most`` at most, of which the smallest target that is not 0 has 64."""
+    least, size = min((t for t in targets if t > 0), default=0), 1
+    while size * 2 <= most and size * 2 * 64 <= least:
+        size *= 2
+    return size
+
+
+def _shard_quotas(most: int, block: int):
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("shard")
+        n = pdf["shard_size"].tolist()
+        seats = sainte_lague(n, int(pdf["blocks"].iloc[0]), [-(-most * x // block) for x in n])
+        return pd.DataFrame({"src": pdf["source"], "shard": pdf["shard"], "shard_size": n, "quota": [min(q * block, most * x) for q, x in zip(seats, n)]})
+
+    return each
+
+
+def _within(begin: Column, size: Column, low: Column, high: Column) -> Column:
+    """How many of the words begin .. begin + size are in low .. high."""
+    return F.greatest(F.least(begin + size, high) - F.greatest(begin, low), F.lit(0))
+
+
+def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3, block_words: int = 16, shard_words: int = 1_000_000, seed: int = 17, border: float = 0.01) -> DataFrame:
     """doc_id, source, tl_row, size, source_size, target, taken: one row for each row of ``docs``.
 
     ``weights`` go round over the sources in order of code points, null last. ``tl_row`` is a hash of the
@@ -89,32 +120,40 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: int = 3,
     if not by_source:
         return rows.selectExpr("doc_id", "source", "tl_row", "size", "size as source_size", "0D as target", "0L as taken")
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
+    block = block_size(targets, block_words)
     # as many blocks as the targets make, so that no source exceeds its cap by more than rounding
-    blocks = sainte_lague([int(round(t)) for t in targets], sum(sizes) // block_words, [most * s // block_words for s in sizes])
-    spec = [(r["source"], s, t, max(1, -(-s // shard_words)), b) for r, s, t, b in zip(by_source, sizes, targets, blocks)]
-    if sum(x[3] for x in spec) > max_shards:
-        raise ValueError("too many shards for the driver; raise shard_words")
+    blocks = sainte_lague(targets, sum(sizes) // block, [-(-most * s // block) for s in sizes])
+    spec = [(r["source"], s, t, max(1, -(-s // shard_words))) for r, s, t in zip(by_source, sizes, targets)]
     spark = docs.sparkSession
     # one row a source: this side's size is known here, on the driver
-    sources = F.broadcast(spark.createDataFrame([x[:4] for x in spec], "src string, source_size long, target double, shards long"))
+    sources = F.broadcast(spark.createDataFrame(spec, "src string, source_size long, target double, shards long"))
     rows = rows.join(sources, F.col("source").eqNullSafe(F.col("src"))).drop("src").withColumn("tl_shard", F.pmod(F.xxhash64("tl_seeded", F.lit(1)), F.col("shards")))
+    shards = rows.groupBy("source", F.col("tl_shard").alias("shard")).agg(F.sum("size").alias("shard_size")).withColumn("group", F.floor(F.col("shard") / GROUP))
+    shards = checkpointed(shards)
     held: dict = {}
-    for r in rows.groupBy("source", "tl_shard").agg(F.sum("size").alias("n")).collect():  # one row a shard
-        held.setdefault(r["source"], []).append((r["tl_shard"], int(r["n"])))
-    quotas = []
-    for source, *_, b in spec:
-        shards = sorted(held.get(source, []))
-        caps = [most * n // block_words for _, n in shards]
-        quotas += [(source, k, n, q * block_words) for (k, n), q in zip(shards, sainte_lague([n for _, n in shards], b, caps))]
-    shards = spark.createDataFrame(quotas, "src string, shard long, shard_size long, quota long")
-    rows = rows.join(shards if len(quotas) > 100_000 else F.broadcast(shards), F.col("source").eqNullSafe(F.col("src")) & (F.col("tl_shard") == F.col("shard")))
+    for r in shards.groupBy("source", "group").agg(F.sum("shard_size").alias("n")).collect():  # one row for a thousand shards
+        held.setdefault(r["source"], []).append((r["group"], int(r["n"])))
+    given = []
+    for (source, *_), b in zip(spec, blocks):
+        groups = sorted(held.get(source, []))
+        given += [(source, k, q) for (k, _), q in zip(groups, sainte_lague([n for _, n in groups], b, [-(-most * n // block) for _, n in groups]))]
+    given = F.broadcast(spark.createDataFrame(given, "s string, g long, blocks long"))
+    quotas = shards.join(given, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g")))
+    quotas = quotas.groupBy("source", "group").applyInPandas(_shard_quotas(most, block), "src string, shard long, shard_size long, quota long")
+    few = sum(x[3] for x in spec) <= 100_000
+    rows = rows.join(F.broadcast(quotas) if few else quotas, F.col("source").eqNullSafe(F.col("src")) & (F.col("tl_shard") == F.col("shard")))
     order = Window.partitionBy("source", "tl_shard").orderBy("tl_seeded", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = F.sum("size").over(order) - F.col("size")
-    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("quota") - F.col("tl_rounds") * F.col("shard_size")
-    part = F.least(F.greatest(rest - F.col("tl_before"), F.lit(0)), F.col("size"))
-    rows = rows.withColumn("tl_before", before).withColumn("tl_rounds", rounds)
-    return rows.select("doc_id", "source", "tl_row", "size", "source_size", "target", (F.col("tl_rounds") * F.col("size") + part).cast("long").alias("taken"))
+    n, quota = F.col("shard_size"), F.col("quota")
+    rows = rows.withColumns({"tl_at": F.sum("size").over(order) - F.col("size"), "tl_rounds": F.when(n > 0, F.floor(quota / n)).otherwise(F.lit(0)).cast("long")})
+    numbered = F.greatest(F.ceil(n / block), F.lit(1))
+    rows = rows.withColumns({"tl_low": F.pmod(F.xxhash64(F.lit(seed), "source", "tl_shard"), numbered) * block, "tl_rest": quota - F.col("tl_rounds") * n})
+    at, s, high = F.col("tl_at"), F.col("size"), F.col("tl_low") + F.col("tl_rest")
+    part = _within(at, s, F.col("tl_low"), F.least(high, n)) + _within(at, s, F.lit(0), high - n)
+    rows = rows.withColumn("tl_part", part)
+    part = F.col("tl_part")
+    near = F.least(part, s - part) <= border * quota
+    part = F.when(near, F.when(2 * part >= s, s).otherwise(F.lit(0))).otherwise(part)
+    return rows.select("doc_id", "source", "tl_row", "size", "source_size", "target", (F.col("tl_rounds") * s + part).cast("long").alias("taken"))
 
 
 def mix_digests(docs: DataFrame, **parameters) -> DataFrame:
@@ -125,17 +164,21 @@ def mix_digests(docs: DataFrame, **parameters) -> DataFrame:
 def apply_mix(docs: DataFrame, **parameters) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: a document comes as often as it was taken whole, and once more with its first words where a part is taken.
 
-    The part keeps the text up to its last word; what was not taken goes.
+    The part keeps the text up to its last word; what was not taken goes. Rows with one doc_id, source and text are
+    taken together: each comes equally often, and one of them for what that leaves over.
     """
     take = mixed(docs, **parameters).groupBy("doc_id", "source", "tl_row").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     take = take.where(F.col("taken") > 0).select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("tl_row").alias("k"), "taken", "size", "rows").hint("shuffle_hash")
     same = F.col("tl_doc").eqNullSafe(F.col("d")) & F.col("tl_row.source").cast("string").eqNullSafe(F.col("s")) & (F.col("tl_key") == F.col("k"))
-    # repeated rows share what they take in equal parts
-    share = F.floor(F.col("taken") / F.col("rows")).cast("long")
-    whole = F.floor(share / F.col("size")).cast("int")
-    rest = (share - whole * F.col("size")).cast("int")
-    parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    both = packed(docs).join(take, same).select("tl_row", F.explode(parts).alias("part"))
+    whole = F.floor(F.col("taken") / F.col("size"))
+    rest = (F.col("taken") - whole * F.col("size")).cast("int")
+    each, over = F.floor(whole / F.col("rows")).cast("int"), (whole % F.col("rows")).cast("int")
+    left = F.concat(F.array_repeat(F.lit(-1), over), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    both = packed(docs).join(take, same).select("tl_row", "d", "s", "k", "rows", F.array_repeat(F.lit(-1), each).alias("each"), left.alias("left"))
+    alone = both.select("tl_row", F.explode(F.when(F.col("rows") == 1, F.concat("each", "left")).otherwise(F.col("each"))).alias("part"))
+    # of repeated rows one stands for what does not divide; first() is aggregated before anything moves
+    shared = both.where((F.col("rows") > 1) & (F.size("left") > 0)).groupBy("d", "s", "k").agg(F.first("tl_row").alias("tl_row"), F.first("left").alias("left"))
+    both = alone.unionByName(shared.select("tl_row", F.explode("left").alias("part")))
     # cut by the words' places: a bounded pattern would have to be compiled for each length
     text = F.col("tl_row.text")
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
