@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
@@ -27,9 +29,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .secret_scan import secret_digests
+    from .runtime import ensure_checkpoint_dir
+    from .secret_scan import secret_digests_over_history
 
-    return secret_digests(_table(spark, sf_dir, "documents"))
+    return secret_digests_over_history(_table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

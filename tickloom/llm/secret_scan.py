@@ -3,9 +3,11 @@
 Each historical version of a document is addressed by the SHA-256 of its content. The ledger holds
 what was found for every pair of blob and rule version that was ever scanned; a scan reads only the
 texts of pairs that it lacks, one text for each blob, and joins findings back to every path that
-holds the blob. All of it is DataFrame operations.
+holds the blob. All of it is DataFrame operations. A stored ledger is a folder of Parquet files that each scan adds to
+(``read_ledger``, ``append_ledger``).
 
-The text of a blob travels once, dealt by (blob, doc_id), so a blob that a third of all paths hold
+Which pairs are unseen is settled by digests alone. Where they are at most ``FEW``, they go to the texts; where there is none,
+no text is read again; else the texts of unseen blobs travel once, dealt by (blob, doc_id), so a blob that a third of all paths hold
 does not meet in one task. Spans are found without a UDF: ``split`` gives what lies between the
 matches of a pattern and ``regexp_extract_all`` the matches, so their running lengths are positions.
 
@@ -18,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .runtime import checkpointed
@@ -42,6 +44,8 @@ RULES = (
     Rule("hex", 1, r"[0-9a-f]{24,}"),
 )
 
+#: Unseen blobs that may be broadcast; a row has about 100 bytes.
+FEW = 50_000
 _FINDINGS = "array<struct<begin:int,stop:int>>"
 
 
@@ -79,7 +83,11 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequenc
     else:
         current = ledger.where(" or ".join(f"(kind = '{k}' and version = {v})" for k, v in kinds) or "false").groupBy("blob").agg(F.collect_set("kind").alias("seen"))
         wanted = reps.join(current, "blob", "left").withColumn("wanted", F.array_except(F.array(*[F.lit(k) for k, _ in kinds]), F.coalesce("seen", F.array().cast("array<string>"))))
-    wanted = wanted.where(F.size("wanted") > 0).select(F.col("blob").alias("b"), "rep", "wanted").hint("shuffle_hash")
+    wanted = checkpointed(wanted.where(F.size("wanted") > 0).select(F.col("blob").alias("b"), "rep", "wanted"))
+    n = wanted.count()
+    if not n:
+        return docs.sparkSession.createDataFrame([], LEDGER)
+    wanted = F.broadcast(wanted) if n <= FEW else wanted.hint("shuffle_hash")
     texts = paths.join(wanted, (paths.blob == F.col("b")) & paths.doc_id.eqNullSafe(F.col("rep"))).select("blob", "text", "wanted")
     none = F.array().cast(_FINDINGS)
     per_rule = [
@@ -91,6 +99,19 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequenc
     return checkpointed(rows)
 
 
+LEDGER = f"blob string, kind string, version int, found {_FINDINGS}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a stored ledger."""
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """Adds a scan's rows to a stored ledger."""
+    rows.write.mode("append").parquet(path)
+
+
 def secret_findings(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, new ledger rows). findings: doc_id, blob, kind, version, begin, stop for each path and span."""
     new = scan_unseen(docs, ledger, rules)
@@ -105,6 +126,20 @@ def secret_digests(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequ
     """One row for each row of ``docs``: doc_id, n_<kind> for each rule, base_sha256, spans (kind:start:end by start, then rule)."""
     new = scan_unseen(docs, ledger, rules)
     known = new if ledger is None else ledger.select(new.columns).unionByName(new)
+    return _digests(docs, known, rules)
+
+
+def secret_digests_over_history(docs: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``secret_digests`` by two scans over the ledger stored at ``path``: the first commits the blobs in the lower
+    half of digests, the second all of them, and so scans those of the upper half only."""
+    spark = docs.sparkSession
+    first = docs.where(F.substring(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256), 1, 1) < "8")
+    append_ledger(scan_unseen(first, None, rules), path)
+    append_ledger(scan_unseen(docs, read_ledger(spark, path), rules), path)
+    return _digests(docs, read_ledger(spark, path), rules)
+
+
+def _digests(docs: DataFrame, known: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     order = {r.kind: i for i, r in enumerate(rules)}
     versions = {r.kind: r.version for r in rules}
     known = known.where(F.size("found") > 0).where(" or ".join(f"(kind = '{k}' and version = {v})" for k, v in versions.items()))
