@@ -159,6 +159,31 @@ def test_secret_ledger_is_incremental(docs, spark):
     assert again.count() == findings.count() + 1
 
 
+def test_secret_ledger_is_stored(docs, spark, tmp_path):
+    """Two scans over one folder: the second adds the pairs that the first lacks, each pair is there once, and findings are those of one scan. Then two newer rule versions."""
+    path = str(tmp_path / "ledger")
+    got = {tuple(r) for r in secret_scan.secret_digests_over_history(docs, path).collect()}
+    assert got == {tuple(r) for r in secret_scan.secret_digests(docs).collect()}
+    ledger = secret_scan.read_ledger(spark, path)
+    blobs = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256)).distinct().count()
+    assert ledger.count() == ledger.select("blob", "kind", "version").distinct().count() == 3 * blobs
+    assert secret_scan.scan_unseen(docs, ledger).count() == 0
+    for version, pattern in ((2, "[0-9a-f]{28,}"), (3, "[0-9a-f]{33,}")):
+        rules = (*secret_scan.RULES[:2], secret_scan.Rule("hex", version, pattern))
+        new = secret_scan.scan_unseen(docs, secret_scan.read_ledger(spark, path), rules)
+        assert new.count() == blobs and {(r.kind, r.version) for r in new.select("kind", "version").distinct().collect()} == {("hex", version)}
+        secret_scan.append_ledger(new, path)
+    findings, _ = secret_scan.secret_findings(docs, secret_scan.read_ledger(spark, path), rules)
+    assert findings.where("kind = 'hex'").count() == 0 and findings.where("kind = 'assign'").count() > 0
+    assert secret_scan.secret_findings(docs, secret_scan.read_ledger(spark, path))[0].where("kind = 'hex'").count() > 0
+
+
+def test_many_unseen_blobs_are_joined(docs, monkeypatch):
+    few = {tuple(r) for r in secret_scan.secret_digests(docs).collect()}
+    monkeypatch.setattr(secret_scan, "FEW", 0)
+    assert {tuple(r) for r in secret_scan.secret_digests(docs).collect()} == few
+
+
 def test_secret_odd(spark):
     assert secret_scan.secret_digests(odd(spark)).count() == 7
     assert secret_scan.secret_digests(empty(spark)).count() == 0
@@ -632,11 +657,67 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 150: 100}
 
 
-def test_components_of_more_links_than_the_driver_takes(spark):
+def test_components_of_random_links(spark):
     rng = random.Random(4)
-    links = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(200)], "a long, b long")
-    found = [{(r.node, r.root) for r in near_dedup.components(links, few=few).collect()} for few in (0, 1000)]
-    assert found[0] == found[1] and len(found[0]) > 100
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    root = {i: i for i in range(300)}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: find(i) for a, b in pairs if a != b for i in (a, b)}
+    assert near_dedup.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [50, 60, 70, 80, 85, 95])
+def test_pairs_just_above_a_threshold(spark, percent):
+    """150 pairs, each alone, one shingle above the threshold: at least 95 in a hundred are linked, and pairs one step below are not."""
+    n, rows = 400, []
+    shared = next(k for k in range(n) if 100 * (k - 4) >= percent * (2 * (n - 4) - (k - 4)))
+    for i in range(300):
+        k = shared if i < 150 else shared - 1
+        head = [f"p{i}_{x}" for x in range(k)]
+        rows += [(2 * i + side, " ".join(head + [f"q{i}_{side}_{x}" for x in range(n - k)]), None, None, None) for side in (0, 1)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup_digests(spark.createDataFrame(rows, DOCS), percent).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(150)) >= 143 and all(got[2 * i + 1] == 2 * i + 1 for i in range(150, 300))
+
+
+def test_thresholds_that_trees_cannot_carry(spark):
+    with pytest.raises(ValueError):
+        near_dedup.near_dedup_digests(spark.createDataFrame([(1, "a b", None, None, None)], DOCS), 40)
+
+
+def test_intersections():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    for columns in (7, 4096):
+        got = near_dedup.intersections(sets, columns)
+        assert all(got[i, j] == want[i][j] for i in range(40) for j in range(40) if i != j)
+
+
+def test_boilerplate_under_the_threshold(spark):
+    """2,000 documents share most of their words and lie below the threshold; forty pairs lie above it."""
+    import time
+
+    rng = random.Random(8)
+    core, rows = [f"c{i}" for i in range(148)], []
+    for i in range(2000):
+        tail = [f"t{i // 2}_{k}" for k in range(12)] if i < 80 else [f"u{i}_{k}" for k in range(12)]
+        rows.append((i, " ".join(core + tail + [f"x{i}_{k}" for k in range(10)]), None, None, None))
+    rng.shuffle(rows)
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup_digests(spark.createDataFrame(rows, DOCS).repartition(4), 85).collect()}
+    print("seconds:", time.time() - began)
+    assert got == {i: i - i % 2 if i < 80 else i for i in range(2000)}
 
 
 def test_near_odd(spark):

@@ -33,6 +33,7 @@ doc_ids each give a row. An empty table gives an empty result. Other columns are
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -46,7 +47,7 @@ from .wordvec import Words, mix, text_chunks, window_hashes
 
 _TOKENS = 64  # minwise tokens for a sketch; two bits of each
 _BRANCH = 32  # of them, tokens that nodes can choose
-_FAR = 22  # sketches of a pair at similarity 0.8 differ in more places once in a hundred thousand pairs
+_LOST = 1e-5  # share of the pairs at the threshold whose sketches may be taken for far ones
 _SEEDS = mix(np.arange(1, 2 * _TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SKETCH = "doc_id long, key long, n_shingles long, digest binary, sk1 long, sk2 long, tokens array<int>"
 
@@ -109,6 +110,16 @@ def _children(threshold: float, trees: int, node: Column | None) -> Column:
     return F.array(*first, *more)
 
 
+def far_places(percent: int) -> int:
+    """The most places in which sketches of a pair at the threshold differ, but for one pair in a hundred thousand: a place differs with probability 3/4 of what the sets do not share."""
+    p, tail = 0.75 * (1 - percent / 100), 0.0
+    for k in range(_TOKENS, 0, -1):
+        tail += math.comb(_TOKENS, k) * p**k * (1 - p) ** (_TOKENS - k)
+        if tail > _LOST:
+            return k
+    return 0
+
+
 def _far(sk1: np.ndarray, sk2: np.ndarray, i: int) -> np.ndarray:
     """In how many of the sketch's places each row differs from row i."""
     odd = np.uint64(0x5555555555555555)
@@ -149,6 +160,8 @@ _LINK = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 def _clusters(percent: int):
     """Of a node's classes, the groups that sketches and sizes leave connected. Where rows tell their component and whether they are indexed, only pairs of two components with an indexed class count."""
 
+    most = far_places(percent)
+
     def handle(rows: list[tuple]) -> list[tuple]:
         seen = {r[1]: r for r in rows}
         if len(seen) < 2:
@@ -162,7 +175,7 @@ def _clusters(percent: int):
             component = np.unique(np.array([r[5].hex() for r in rows]), return_inverse=True)[1].reshape(-1)
             indexed = np.array([r[6] for r in rows], bool)
         for i in range(1, len(rows)):
-            near = (_far(sk1, sk2, i) <= _FAR) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            near = (_far(sk1, sk2, i) <= most) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             near[i + 1 :] = False
             if exact:
                 near &= (component != component[i]) & (indexed | indexed[i])
@@ -180,6 +193,25 @@ def _clusters(percent: int):
     return handle
 
 
+def intersections(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each two of the sets share: products of the incidence of shingles that more than one set has, some columns at a time."""
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shingles, which, often = np.unique(every, return_inverse=True, return_counts=True)
+    which = which.reshape(-1)
+    shared = often[which] > 1
+    place = np.cumsum(often > 1) - 1
+    owner, column = owner[shared], place[which[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        of = slice(*np.searchsorted(column, (low, low + columns)))
+        there = np.zeros((len(sets), columns), np.float32)
+        there[owner[of], column[of] - low] = 1
+        out += (there @ there.T).astype(np.int64)  # at most ``columns``, so exact
+    return out
+
+
 def _linked(percent: int, shingle: int):
     """Links of a cluster, confirmed on full sets: at most one a class."""
 
@@ -189,28 +221,21 @@ def _linked(percent: int, shingle: int):
         for low, high, data, offsets in text_chunks(pa.array([r[4] for r in rows], pa.large_string())):
             sets += shingle_sets(Words(data, offsets, lower=True), shingle)
         n = np.array([len(s) for s in sets], np.int64)
-        sk1, sk2 = (np.array([r[k] for r in rows], np.int64).view(np.uint64) for k in (2, 3))
+        both = intersections(sets)
+        like = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         label, links = np.arange(len(rows)), []
         for i in range(1, len(rows)):
-            far = _far(sk1, sk2, i)
-            left = np.flatnonzero((far[:i] <= _FAR) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i])))
-            left = left[np.argsort(far[left], kind="stable")]
-            while len(left):
-                j, a, b = left[0], sets[left[0]], sets[i]
-                both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    links.append((rows[j][1], rows[i][1]))
-                    label[label == label[j]] = label[i]
-                    left = left[label[left] != label[i]]
-                else:
-                    left = left[1:]
+            near = np.flatnonzero(like[i, :i])
+            for j in near[np.unique(label[near], return_index=True)[1]].tolist():  # one of each component so far
+                links.append((rows[j][1], rows[i][1]))
+                label[label == label[j]] = i
         return links
 
     return handle
 
 
-def components(links: DataFrame, most_rounds: int = 60, few: int = 20_000) -> DataFrame:
-    """node, root for each end of a link: the least node of its component. Large-star and small-star steps in turn, each kept in the checkpoint folder; at most ``few`` links are united on the driver.
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root for each end of a link: the least node of its component. Large-star and small-star steps in turn, each kept in the checkpoint folder.
 
     A node with very many neighbours is a group of rows that only minima and skew joins see.
     """
@@ -220,19 +245,8 @@ def components(links: DataFrame, most_rounds: int = 60, few: int = 20_000) -> Da
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     before = mark(edges)
-    if before[0] <= few:
-        root: dict = {}
-
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
-
-        for a, b in (tuple(bytes(x) if isinstance(x, bytearray) else x for x in row) for row in edges.collect()):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        kind = edges.schema["u"].dataType.simpleString()
-        return edges.sparkSession.createDataFrame([(x, find(x)) for x in root], f"node {kind}, root {kind}")
+    if not before[0]:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -254,6 +268,8 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shi
 
     ``classes``: digest, n_shingles, sk1, sk2, tokens, and doc, key of one document; ``texts``: doc, key, text.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("thresholds are from 50 to 100 percent: below, a node would have to choose more than two tokens")
     threshold, nodes, crowded = percent / 100, [], None
     columns = ["node", "digest", "n_shingles", "sk1", "sk2"]
     now = classes.select("digest", "n_shingles", "sk1", "sk2", F.explode(_children(threshold, trees, None)).alias("node")).select(columns)
