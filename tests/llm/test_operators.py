@@ -222,26 +222,100 @@ def test_quality_outliers_go_and_clean_stay(spark):
     assert kept.count() == len(clean) and kept.columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+def brute_mcd(q, share=0.75):
+    """(log determinant, center, covariance) of the best start."""
+    import numpy as np
+
+    floors = np.diag(np.array(quality_rules.FLOORS) ** 2.0)
+
+    def log_det(cov):
+        return np.linalg.slogdet(cov)[1]
+
+    med = np.median(q, 0)
+    d = np.sqrt((1.4826 * np.median(abs(q - med), 0)) ** 2 + np.diag(floors))
+    t = np.round(1000 * np.tanh((q - med) / d))
+    with np.errstate(all="ignore"):
+        rho = np.nan_to_num(np.atleast_2d(np.corrcoef(t.T)))
+    bent = 0.95 * rho * np.outer(d, d)
+    np.fill_diagonal(bent, d**2)
+    ends = []
+    for start, (center, cov) in enumerate(((med, np.diag(d**2)), (med, bent), (q.mean(0), q.T @ q / len(q) - np.outer(q.mean(0), q.mean(0)) + floors))):
+        was = None
+        while True:
+            x = q - center
+            bins = np.minimum(np.floor(10 * np.einsum("ij,jk,ik->i", x, np.linalg.inv(cov), x)), quality_rules._BINS)
+            cut = next(b for b in np.unique(bins) if (bins <= b).sum() >= share * len(q))
+            near = q[bins <= cut]
+            new = near.mean(0), quality_rules.CONSISTENCY * (near.T @ near / len(near) - np.outer(near.mean(0), near.mean(0))) + floors
+            if was is not None and not log_det(new[1]) < was - 1e-3:
+                break
+            (center, cov), was = new, log_det(new[1])
+        ends.append((was, start, center, cov))
+    return min(ends, key=lambda e: (round(e[0], 9), e[1]))
+
+
 def test_mcd_against_numpy(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    q = np.round(rng.normal([170, 50, 20], [12, 60, 80], (400, 3))).astype(int)
-    q[:60] += 500
-    df = spark.createDataFrame([("en", "s", False, *map(int, x)) for x in q], "lang string, source string, base_failed boolean, q1 int, q2 int, q3 int")
+    q = np.round(rng.normal([170, 30, 20, 0, 0], [12, 20, 15, 9, 12], (400, 5))).astype(int)
+    q[:, 2] += q[:, 1] // 2
+    q[:60] += 400
+    df = spark.createDataFrame([("en", "s", False, *map(int, x)) for x in q], "lang string, source string, base_failed boolean, " + ", ".join(f"q{i} int" for i in range(1, 6)))
     got = quality_rules.mcd_estimates(df).where("group like '%\"level\":0%'").first()
-    center, cov = np.median(q, 0), np.diag((1.4826 * np.median(abs(q - np.median(q, 0)), 0)) ** 2 + np.array(quality_rules.FLOORS) ** 2.0)
-    for _ in range(3):
-        d = q - center
-        d2 = np.minimum(np.floor(10 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)), 100_000)
-        near = q[d2 <= np.percentile(d2, 75)]
-        center = near.mean(0)
-        cov = quality_rules.CONSISTENCY * (near.T @ near / len(near) - np.outer(center, center)) + np.diag(np.array(quality_rules.FLOORS) ** 2.0)
-    assert np.allclose([got[f"m{i}"] for i in range(3)], center)
-    assert np.allclose([got[f"s{k}"] for k in range(6)], [cov[i, j] for i, j in quality_rules._PAIRS])
+    det, start, center, cov = brute_mcd(q.astype(float))
+    assert abs(got.log_det - det) < 1e-6 and np.allclose([got[f"m{i}"] for i in range(5)], center)
+    assert np.allclose([got[f"s{i}{j}"] for i, j in quality_rules._PAIRS], [cov[i, j] for i, j in quality_rules._PAIRS])
     assert center[0] < 200  # the outliers did not pull it
 
 
+def test_verdicts_against_numpy(spark):
+    """Every column of the query, text by text, over a whole table."""
+    import math
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
+    got = {r.doc_id: r for r in quality_rules.quality_digests(docs).collect()}
+    half = lambda x: math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1)
+    vectors, groups = {}, defaultdict(list)
+    for i, t, lang, source in rows:
+        n, chars, symbols, dups, repeats = brute_quality(t)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dups, repeats, n < 20 or 100 * repeats > 30 * n)
+        if r.base_failed:
+            assert not r.kept
+            continue
+        w = WORD.findall(t)
+        lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+        share = lambda x, of, more: half(20 * math.log1p(100 * x / (of + more)))
+        doubled = sum(a == b for a, b in zip(w, w[1:]))
+        vectors[i] = np.array([half(100 * math.log((chars + 150) / (n + 30))), share(symbols, n, 20), share(doubled, n, 20), share(dups, lines, 5), share(repeats, n, 20)], float)
+        groups[lang, source].append(i)
+        groups[lang, None, "all"].append(i)
+    found = {k: brute_mcd(np.array([vectors[i] for i in of])) for k, of in groups.items()}
+    for k, of in groups.items():
+        if len(k) == 2:
+            own, wide, n = found[k], found[k[0], None, "all"], len(of)
+            center, cov = ((n * own[x] + 200 * wide[x]) / (n + 200) for x in (2, 3))
+            for i in of:
+                d2 = (vectors[i] - center) @ np.linalg.inv(cov) @ (vectors[i] - center)
+                assert abs(d2 - quality_rules.CUTOFF) < 1e-6 or got[i].kept == (d2 <= quality_rules.CUTOFF)
+    assert sum(r.kept for r in got.values()) > 100
+
+
+def test_repeated_lines_are_judged(spark):
+    """Copies of short lines between unique ones: no eight words come twice, so only the vector tells."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    clean = [(i, "\n".join(say(rng.randint(6, 12)) for _ in range(rng.randint(8, 20))), "en", "s", None) for i in range(200)]
+    bad = [(1000 + i, "\n".join(f"{say(9)}\n{'buy it now' if k % 3 else 'click here'}" for k in range(15)), "en", "s", None) for i in range(15)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_digests(spark.createDataFrame(clean + bad, DOCS)).collect()}
+    assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in bad)
+
+
 def test_quality_odd(spark):
     assert quality_rules.quality_digests(odd(spark)).count() == 7
     assert quality_rules.quality_digests(empty(spark)).count() == 0

@@ -1,12 +1,15 @@
 """Quality rules with robust multivariate outliers.
 
-Plain rules come first (few words, much repetition). Of what they keep, three transformed statistics
-(mean word length, symbols, words like the one before) go to minimum-covariance-determinant estimates for each
-language and source, and for each language: from medians and median deviations, concentration steps
-keep the ``share`` of documents with the least Mahalanobis distances and take their mean and
-covariance again. A source's estimate leans on its language's as if that were ``prior`` more
-documents, so a small source has an estimate like any other. A document whose squared distance is
-over ``cutoff`` is rejected; deviations have floors, so a statistic that hardly varies rejects nothing near.
+Plain rules come first (few words, much repetition). Of what they keep, five transformed statistics
+(mean word length, symbols, words like the one before, lines like an earlier one, words in repeated windows) go to
+minimum-covariance-determinant estimates for each language and source, and for each language. Concentration steps take the
+mean and covariance of the ``share`` of documents with the least Mahalanobis distances, from three starts: medians and median
+deviations; the same with correlations of hyperbolic tangents of robust scores; mean and covariance of all. Steps go on while
+the logarithm of the determinant falls by more than ``settled``, and of the starts the one that ends with the least determinant is the estimate.
+A source's estimate leans on its language's as if that were ``prior`` more documents, so a small source has an estimate like
+any other. A document whose squared distance is over ``cutoff`` is rejected. The default is what one in a million has under
+chi-square with five degrees, since a corpus has many millions of clean documents. Deviations have floors, so a statistic
+that hardly varies rejects nothing near.
 
 Statistics are rounded to integers and documents with equal ones are counted together before
 anything is shuffled: a hot source is a few thousand counted cells, all sums are exact, and reruns agree.
@@ -19,22 +22,28 @@ Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import WORD_PATTERN, checkpointed, packed, row_key, unpacked
 
 #: n_words below this fail.
 LEAST_WORDS = 20
-#: Floors of standard deviations of the transformed statistics, in hundredths.
-FLOORS = (6, 40, 50)
-#: What makes the covariance of the nearest 75 % of a three-dimensional normal distribution that of the whole (fixed value).
-CONSISTENCY = 1.61
+#: Floors of standard deviations of the transformed statistics, in their units.
+FLOORS = (6, 8, 10, 10, 10)
+#: What makes the covariance of the nearest 75 % of a five-dimensional normal distribution that of the whole (fixed value).
+CONSISTENCY = 1.412
+#: What chi-square with five degrees exceeds once in a million (fixed value).
+CUTOFF = 35.89
+#: Distances are compared in tenths, up to this many.
+_BINS = 5000
 _LONG = "long"
 
 
 def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
-    """doc_id, key, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_doubled, base_failed for each row of ``docs``."""
+    """``window`` is a power of two. Gives doc_id, key, lang, source, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_doubled, base_failed for each row of ``docs``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast(_LONG).alias("doc_id"), row_key(F.col("text")).alias("key"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -46,8 +55,11 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
         F.char_length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast(_LONG).alias("word_chars"),
         (F.char_length("text") - F.char_length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast(_LONG).alias("n_symbols"),
     )
-    at = F.sequence(F.lit(1), F.size("words") - (window - 1))
-    rows = rows.withColumn("windows", F.when(F.size("words") >= window, F.transform(at, lambda i: F.xxhash64(F.slice("words", i, window)))).otherwise(F.array().cast("array<long>")))
+    # a window's hash is one of two halves' hashes: windows of 2, 4 and 8 words, one pass each
+    rows = rows.withColumn("windows", F.col("words"))
+    for half in (window >> k for k in range(window.bit_length() - 1, 0, -1)):
+        left = F.greatest(F.size("windows") - half, F.lit(0))
+        rows = rows.withColumn("windows", F.zip_with(F.slice("windows", 1, left), F.slice("windows", half + 1, left), lambda a, b: F.xxhash64(a, b)))
     # most texts have no window twice: only the others are sorted
     twice = F.size(F.array_distinct("windows")) < F.size("windows")
     rows = rows.withColumn("sorted", F.when(twice, F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
@@ -58,7 +70,7 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     rows = rows.select(
         "doc_id", "key", "lang", "source",
         F.size("words").cast(_LONG).alias("n_words"),
-        "word_chars", "n_symbols",
+        "word_chars", "n_symbols", F.size("lines").cast(_LONG).alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast(_LONG).alias("n_dup_lines"),
         F.when(F.col("sorted").isNull(), F.lit(0)).otherwise(covered).cast(_LONG).alias("n_repeat_words"),
         F.size(F.filter("words", lambda w, j: F.coalesce(F.get(F.col("words"), j - 1) == w, F.lit(False)))).cast(_LONG).alias("n_doubled"),
@@ -67,38 +79,63 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
 
 
 def transformed(stats: DataFrame) -> DataFrame:
-    """``stats`` with q1, q2, q3: logarithms in hundredths. Short texts lean on a few dozen words of five letters without symbols."""
-    hundredths = lambda x: F.round(100 * x).cast("int")
+    """``stats`` with q1 .. q5: logarithms in hundredths (q1) and twentieths. Short texts lean on a few dozen words of five letters without symbols or repeats."""
+    share = lambda x, of, more: F.round(20 * F.log1p(100 * F.col(x) / (F.col(of) + more))).cast("int")
     return stats.withColumns(
         {
-            "q1": hundredths(F.log((F.col("word_chars") + 30 * 5) / (F.col("n_words") + 30))),
-            "q2": hundredths(F.log1p(100 * F.col("n_symbols") / (F.col("n_words") + 20))),
-            "q3": hundredths(F.log1p(100 * F.col("n_doubled") / (F.col("n_words") + 20))),
+            "q1": F.round(100 * F.log((F.col("word_chars") + 30 * 5) / (F.col("n_words") + 30))).cast("int"),
+            "q2": share("n_symbols", "n_words", 20), "q3": share("n_doubled", "n_words", 20), "q4": share("n_dup_lines", "n_lines", 5), "q5": share("n_repeat_words", "n_words", 20),
         }
-    )
+    )
+
+
+_Q = ("q1", "q2", "q3", "q4", "q5")
+_P = len(_Q)
+_PAIRS = tuple((i, j) for i in range(_P) for j in range(i, _P))
+_M, _S = [f"m{i}" for i in range(_P)], [f"s{i}{j}" for i, j in _PAIRS]
+_W = [f"w{i}{j}" for i in range(_P) for j in range(i + 1)]
+
 
+def _whitened(estimates: DataFrame) -> DataFrame:
+    """``estimates`` (m, s) with the inverse of the covariance's Cholesky factor (w) and the logarithm of its determinant, entry by entry."""
+    df = estimates
+    less = lambda terms: "".join(f" - {t}" for t in terms)
+    for j in range(_P + 1):  # with column j of the factor, row j - 1 of its inverse
+        new = {}
+        if j < _P:
+            corner = f"sqrt(s{j}{j}{less(f'c{j}{k} * c{j}{k}' for k in range(j))})"
+            new[f"c{j}{j}"] = F.expr(corner)
+            new |= {f"c{i}{j}": F.expr(f"(s{j}{i}{less(f'c{i}{k} * c{j}{k}' for k in range(j))}) / {corner}") for i in range(j + 1, _P)}
+        if j:
+            i = j - 1
+            new[f"w{i}{i}"] = F.expr(f"1 / c{i}{i}")
+            new |= {f"w{i}{k}": F.expr(f"(0D{less(f'c{i}{x} * w{x}{k}' for x in range(k, i))}) / c{i}{i}") for k in range(i)}
+        df = df.withColumns(new)
+    ends = [c for c in df.columns if not (len(c) == 3 and c[0] == "c" and c[1:].isdigit())]
+    return df.select(*ends, F.expr(" + ".join(f"2 * ln(c{i}{i})" for i in range(_P))).alias("log_det"))
 
-_Q = ("q1", "q2", "q3")
-_PAIRS = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 
+def _distance() -> Column:
+    """The squared Mahalanobis distance of q1 .. q5 from m by w."""
+    rows = (" + ".join(f"w{i}{j} * (q{j + 1} - m{j})" for j in range(i + 1)) for i in range(_P))
+    return F.expr(" + ".join(f"({x}) * ({x})" for x in rows))
 
-def _distance(center: list[Column], cov: list[Column], x: list[Column]) -> Column:
-    """The squared Mahalanobis distance; ``cov`` is s11, s12, s13, s22, s23, s33."""
-    a, b, c, d, e, f = cov
-    minors = (d * f - e * e, c * e - b * f, b * e - c * d, a * f - c * c, b * c - a * e, a * d - b * b)
-    det = a * minors[0] + b * minors[1] + c * minors[2]
-    y = [v.cast("double") - m for v, m in zip(x, center)]
-    total = F.lit(0.0)
-    for (i, j), m in zip(_PAIRS, minors):
-        total = total + (1 if i == j else 2) * m * y[i] * y[j]
-    return total / det
 
+def _sums(weight: str, x: list[str]) -> list[Column]:
+    """Weight, weighted sums (a) and sums of products (p) of integers: exact, whatever the order."""
+    one = [F.expr(f"sum(cast({x[i]} as long) * {weight})").alias(f"a{i}") for i in range(_P)]
+    return [F.sum(weight).alias("h"), *one, *[F.expr(f"sum(cast({x[i]} as long) * {x[j]} * {weight})").alias(f"p{i}{j}") for i, j in _PAIRS]]
 
-def _moments(weight: Column) -> list[Column]:
-    n = F.sum(weight)
-    mean = [F.sum(F.col(q).cast(_LONG) * weight) / n for q in _Q]
-    second = [F.sum(F.col(_Q[i]).cast(_LONG) * F.col(_Q[j]) * weight) / n for i, j in _PAIRS]
-    return [*[m.alias(f"m{i}") for i, m in enumerate(mean)], *[s.alias(f"e{k}") for k, s in enumerate(second)]]
+
+def _moments(factor: float) -> list[Column]:
+    """m and s, with floors, from the sums."""
+    cov = [F.expr(f"{factor}D * (p{i}{j} / h - a{i} / h * (a{j} / h)) + {float(FLOORS[i] ** 2) if i == j else 0.0}D").alias(n) for (i, j), n in zip(_PAIRS, _S)]
+    return [*[F.expr(f"a{i} / h").alias(n) for i, n in enumerate(_M)], *cov]
+
+
+def _beside(cells: DataFrame, small: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The join of cells with a table of ``n`` rows, which is broadcast up to 20,000 (about 400 bytes each)."""
+    return cells.join(F.broadcast(small) if n <= 20_000 else small, keys)
 
 
 def _group(lang: Column | str, source: Column | str, level: int) -> Column:
@@ -106,42 +143,65 @@ def _group(lang: Column | str, source: Column | str, level: int) -> Column:
     return F.to_json(F.struct(F.lit(level).alias("level"), F.col(lang).alias("lang") if isinstance(lang, str) else lang, (F.col(source) if isinstance(source, str) else source).alias("source")))
 
 
-def mcd_estimates(stats: DataFrame, share: float = 0.75, steps: int = 3) -> DataFrame:
-    """group, n, m0..m2, s0..s5: an estimate for each language and source (level 0) and each language (level 1)."""
+def _starts(cells: DataFrame) -> DataFrame:
+    """group, start, n, m, s: three estimates to begin from."""
+    # exact percentiles of integers with counts: what they hold is bounded by the range of the statistics
+    middle = checkpointed(cells.groupBy("group").agg(*[F.percentile(q, F.lit(0.5), F.col("w")).alias(m) for q, m in zip(_Q, _M)], F.sum("w").alias("n")))
+    groups = middle.count()
+    deviations = [F.expr(f"1.4826D * percentile(abs({q} - {m}), 0.5D, w)").alias(f"d{i}") for i, (q, m) in enumerate(zip(_Q, _M))]
+    spread = _beside(cells, middle, ["group"], groups).groupBy("group").agg(F.max("n").alias("n"), *[F.max(m).alias(m) for m in _M], *deviations)
+    spread = checkpointed(spread.withColumns({f"d{i}": F.expr(f"sqrt(d{i} * d{i} + {float(FLOORS[i] ** 2)}D)") for i in range(_P)}))
+    plain = spread.select("group", F.lit(0).alias("start"), "n", *_M, *[F.expr(f"d{i} * d{i}" if i == j else "0D").alias(f"s{i}{j}") for i, j in _PAIRS])
+    scores = [F.expr(f"cast(round(1000 * tanh(({q} - {m}) / d{i})) as long)").alias(f"t{i}") for i, (q, m) in enumerate(zip(_Q, _M))]
+    sums = _beside(cells, spread, ["group"], groups).select("group", "w", *scores).groupBy("group").agg(*_sums("w", [f"t{i}" for i in range(_P)]))
+    sums = sums.withColumns({f"v{i}{j}": F.expr(f"p{i}{j} / h - a{i} / h * (a{j} / h)") for i, j in _PAIRS})
+    rho = lambda i, j: f"coalesce(0.95D * d{i} * d{j} * v{i}{j} / nullif(sqrt(greatest(v{i}{i}, 0D) * greatest(v{j}{j}, 0D)), 0D), 0D)"
+    bent = spread.join(sums, "group").select("group", F.lit(1).alias("start"), "n", *_M, *[F.expr(f"d{i} * d{i}" if i == j else rho(i, j)).alias(f"s{i}{j}") for i, j in _PAIRS])
+    every = cells.groupBy("group").agg(*_sums("w", list(_Q))).select("group", F.lit(2).alias("start"), F.col("h").alias("n"), *_moments(1.0))
+    return plain.unionByName(bent).unionByName(every)
+
+
+def mcd_estimates(stats: DataFrame, share: float = 0.75, settled: float = 1e-3, most_steps: int = 40) -> DataFrame:
+    """group, start, n, m, s, log_det: the estimate with the least determinant for each language and source (level 0) and each language (level 1)."""
     cells = stats.where("not base_failed").groupBy("lang", "source", *_Q).agg(F.count(F.lit(1)).alias("w"))
     cells = cells.withColumn("group", F.explode(F.array(_group("lang", "source", 0), _group("lang", "source", 1))))
     cells = checkpointed(cells.groupBy("group", *_Q).agg(F.sum("w").alias("w")))
-    # exact percentiles of integers with counts: what they hold is bounded by the range of the statistics
-    middle = cells.groupBy("group").agg(*[F.percentile(q, F.lit(0.5), F.col("w")).alias(f"m{i}") for i, q in enumerate(_Q)], F.sum("w").alias("n"))
-    spread = cells.join(middle, "group").groupBy("group").agg(
-        F.max("n").alias("n"), *[F.max(f"m{i}").alias(f"m{i}") for i in range(3)], *[(1.4826 * F.percentile(F.abs(F.col(q) - F.col(f"m{i}")), F.lit(0.5), F.col("w"))).alias(f"d{i}") for i, q in enumerate(_Q)]
-    )
-    zero = F.lit(0.0)
-    var = [F.pow(f"d{i}", F.lit(2)) + float(FLOORS[i] ** 2) for i in range(3)]
-    now = checkpointed(spread.select("group", "n", "m0", "m1", "m2", *[c.alias(f"s{k}") for k, c in enumerate((var[0], zero, zero, var[1], zero, var[2]))]))
-    for _ in range(steps):
-        d2 = _distance([F.col(f"m{i}") for i in range(3)], [F.col(f"s{k}") for k in range(6)], [F.col(q) for q in _Q])
-        placed = cells.join(now, "group").select("group", "n", *_Q, "w", F.least(F.floor(10 * d2), F.lit(100_000)).cast("int").alias("d2"))
-        cut = placed.groupBy("group").agg(F.percentile("d2", F.lit(share), F.col("w")).alias("cut"))
-        near = placed.join(cut, "group").where("d2 <= cut").groupBy("group").agg(F.max("n").alias("n"), *_moments(F.col("w")))
-        cov = [CONSISTENCY * (F.col(f"e{k}") - F.col(f"m{i}") * F.col(f"m{j}")) + (float(FLOORS[i] ** 2) if i == j else 0.0) for k, (i, j) in enumerate(_PAIRS)]
-        now = checkpointed(near.select("group", "n", "m0", "m1", "m2", *[c.alias(f"s{k}") for k, c in enumerate(cov)]))
-    return now
-
-
-def quality_verdicts(docs: DataFrame, cutoff: float = 36.0, share: float = 0.75, steps: int = 3, prior: float = 200.0) -> DataFrame:
+    now = checkpointed(_whitened(_starts(cells)))
+    keep = ["group", "start", "n", *_M, *_S, *_W, "log_det"]
+    ended, n = [], now.count()
+    for step in range(most_steps):
+        if not n:
+            break
+        placed = _beside(cells, now.select("group", "start", "n", *_M, *_W), ["group"], n).withColumn("bin", F.least(F.floor(10 * _distance()), F.lit(_BINS)).cast("int"))
+        bins = placed.groupBy("group", "start", "bin").agg(F.max("n").alias("n"), *_sums("w", list(_Q)))
+        before = F.sum("h").over(Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("h")
+        near = bins.withColumn("before", before).where(F.col("before") < share * F.col("n"))
+        total = [c for c in near.columns if c[0] in "hap" and c not in ("before",)]
+        new = near.groupBy("group", "start").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in total]).select("group", "start", "n", *_moments(CONSISTENCY))
+        old = now.select("group", "start", F.col("log_det").alias("was"), F.struct(*keep).alias("old"))
+        both = _whitened(new).join(old, ["group", "start"]).withColumn("falls", (F.col("log_det") < F.col("was") - settled) | F.lit(step == 0))
+        both = checkpointed(both.select("falls", "old", F.struct(*keep).alias("new")))
+        ended.append(both.where("not falls").select("old.*"))
+        now = both.where("falls").select("new.*")
+        n = now.count()
+    every = reduce(DataFrame.unionByName, ended, now.select(keep))
+    best = every.groupBy("group").agg(F.min_by(F.struct("start", "n", *_M, *_S, "log_det"), F.struct("log_det", "start")).alias("best"))
+    return checkpointed(best.select("group", "best.*"))
+
+
+def quality_verdicts(docs: DataFrame, cutoff: float = CUTOFF, share: float = 0.75, prior: float = 200.0) -> DataFrame:
     """One row for each row of ``docs``: doc_id, key, the statistics, base_failed, distance2 and kept."""
     stats = checkpointed(transformed(statistics(docs)))
-    found = mcd_estimates(stats, share, steps)
-    names = ["n", *[f"m{i}" for i in range(3)], *[f"s{k}" for k in range(6)]]
-    own = found.select("group", *[F.col(c).alias(f"own_{c}") for c in names])
+    found = mcd_estimates(stats, share)
+    names = [*_M, *_S]
+    own = found.select("group", *[F.col(c).alias(f"own_{c}") for c in ("n", *names)])
     wide = found.select(F.col("group").alias("of"), *[F.col(c).alias(f"all_{c}") for c in names])
     groups = stats.where("not base_failed").select("lang", "source").distinct().select(_group("lang", "source", 0).alias("group"), _group("lang", "source", 1).alias("of"))
-    lean = lambda c: (F.col("own_n") * F.col(f"own_{c}") + prior * F.col(f"all_{c}")) / (F.col("own_n") + prior)
-    estimates = checkpointed(groups.join(own, "group").join(wide, "of").select(F.col("group").alias("g"), *[lean(c).alias(c) for c in names[1:]]))
-    rows = stats.withColumn("group", _group("lang", "source", 0)).join(estimates, F.col("group") == F.col("g"), "left")
-    d2 = _distance([F.col(f"m{i}") for i in range(3)], [F.col(f"s{k}") for k in range(6)], [F.col(q) for q in _Q])
-    rows = rows.withColumn("distance2", d2)
+    lean = lambda c: F.expr(f"(own_n * own_{c} + {float(prior)}D * all_{c}) / (own_n + {float(prior)}D)")
+    leant = groups.join(own, "group").join(wide, "of").select("group", *[lean(c).alias(c) for c in names])
+    estimates = checkpointed(_whitened(leant).select(F.col("group").alias("g"), *_M, *_W))
+    small = F.broadcast(estimates) if estimates.count() <= 20_000 else estimates
+    rows = stats.withColumn("group", _group("lang", "source", 0)).join(small, F.col("group") == F.col("g"), "left").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(False))
     return rows.select("doc_id", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
 
