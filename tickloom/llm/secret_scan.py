@@ -45,7 +45,7 @@ RULES = (
 )
 
 #: Unseen blobs that may be broadcast; a row has about 100 bytes.
-FEW = 50_000
+FEW = 10_000
 _FINDINGS = "array<struct<begin:int,stop:int>>"
 
 
