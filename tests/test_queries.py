@@ -50,10 +50,47 @@ def test_oracle(spark, name):
     assert not unlike, unlike[:2]
 
 
-SLOW = ("mod01_11_prj04_predictions", "mod02_07_boosted_specialist", "mod03_calibrated", "mod06_regressors", "agg12_13_vote_clusters", "ind19_cross_section_features", "pat05_flags", "bkt11_13_family_gate")
+SLOW = ("mod01_11_prj04_predictions", "mod02_07_boosted_specialist", "mod06_regressors", "mod07_importance", "mod07_08_12_ablation", "ind19_cross_section_features", "bkt11_13_family_gate")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - set(SLOW)))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.columns and df.limit(5).collect() is not None
+
+
+def test_running_frames_are_linear(spark):
+    """One symbol of 200,000 bars: products after a bar and next bars on or after an event, against plain loops."""
+    import datetime
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tickloom.functions.rolling import product_after
+    from tickloom.operators import adjust
+
+    day = datetime.date(1600, 1, 1)
+    bars = spark.range(200_000).select(F.lit("A").alias("symbol"), F.date_add(F.lit(day), (F.col("id") * 2).cast("int")).alias("date"), F.when(F.col("id") % 50_000 == 7, 2.0).otherwise(1.0).alias("x"))
+    began = time.time()
+    got = bars.withColumn("p", product_after(F.col("x"))).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.p: r.n for r in got} == {16.0: 7, 8.0: 50_000, 4.0: 50_000, 2.0: 50_000, 1.0: 49_993}
+    events = spark.createDataFrame([("A", day + datetime.timedelta(days=k)) for k in (0, 1, 7, 100_000, 399_999)], "symbol string, ex_date date")
+    at = {(r.ex_date - day).days: None if r.anchor is None else (r.anchor - day).days for r in adjust.anchored(bars, events).collect()}
+    assert at == {0: 0, 1: 2, 7: 8, 100_000: 100_000, 399_999: None} and time.time() - began < 60
+
+
+def test_weights_change_a_boosted_model(spark):
+    """Nine of ten labels are Sideways whatever the feature says; only a weighted model finds the others."""
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from tickloom.operators import models
+
+    rows = [("S", datetime.date(2000, 1, 1) + datetime.timedelta(days=i), (2.0 if i % 10 == 0 else 1.0) if i % 2 == 0 else 1.0, float(i % 2)) for i in range(400)]
+    data = spark.createDataFrame(rows, "symbol string, date date, y double, f1 double").withColumn("f2", F.lit(0.5))
+    assigned = data.selectExpr("1 as fold", "case when date < date'2000-11-01' then 'train' else 'test' end as role", "symbol", "date")
+    guess = {w: {(r.f1, r.guess) for r in models.fold_predictions(data, assigned, ["f1", "f2"], "boosted", weighted=w, trees=3, depth=2).join(data.select("date", "f1"), "date").select("f1", "guess").distinct().collect()} for w in (False, True)}
+    assert guess[False] == {(0.0, 1.0), (1.0, 1.0)} and guess[True] == {(0.0, 2.0), (1.0, 1.0)}
+    shares = {r.feature: r.importance for r in models.fold_importance(data, assigned, ["f1", "f2"], "forest", trees=3, depth=2).collect()}
+    assert shares["f1"] > shares["f2"]

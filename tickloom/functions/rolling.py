@@ -20,11 +20,6 @@ def so_far(spec: WindowSpec | None = None) -> WindowSpec:
     return (spec or series()).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def later(spec: WindowSpec | None = None) -> WindowSpec:
-    """All rows after this one."""
-    return (spec or series()).rowsBetween(1, Window.unboundedFollowing)
-
-
 def over(agg: Column, x: Column, frame: WindowSpec, least: int) -> Column:
     """The aggregate over the frame where that has at least ``least`` values of x."""
     return F.when(F.count(x).over(frame) >= least, agg.over(frame))
@@ -102,9 +97,9 @@ def is_pivot(x: Column, k: int, high: bool) -> Column:
     return F.coalesce((F.count(x).over(frame) == 2 * k + 1) & (x == most), F.lit(False))
 
 
-def product_after(x: Column, spec: WindowSpec | None = None) -> Column:
-    """The product of x over all rows strictly after this one; 1 without any."""
-    return F.coalesce(F.product(x).over(later(spec)), F.lit(1.0))
+def product_after(x: Column) -> Column:
+    """The product of x over all rows strictly after this one; 1 without any. Read backwards it is a running product, in linear time."""
+    return F.coalesce(F.product(x).over(Window.partitionBy("symbol").orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
 
 
 def product_so_far(x: Column, spec: WindowSpec | None = None) -> Column:

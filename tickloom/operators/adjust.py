@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import later, nonzero, product_after, series, so_far
+from ..functions.rolling import nonzero, product_after, series, so_far
 
 STRUCTURAL = ("split", "bonus", "demerger", "rights")
 VOLUME_KINDS = ("split", "bonus")
@@ -53,8 +53,9 @@ def anchored(bars: DataFrame, events: DataFrame, on: str = "ex_date") -> DataFra
     b = bars.select("symbol", F.col("date").alias("tl_d"), F.lit(1).alias("tl_k"), F.lit(None).cast("string").alias("tl_e"))
     e = events.withColumn("tl_e", F.to_json(F.struct(*events.columns), {"ignoreNullFields": "false"}))
     keyed = e.select("symbol", F.col(on).alias("tl_d"), F.lit(0).alias("tl_k"), "tl_e").distinct()
-    s = Window.partitionBy("symbol").orderBy("tl_d", "tl_k").rowsBetween(0, Window.unboundedFollowing)
-    found = b.unionByName(keyed).withColumn("anchor", F.first(F.when(F.col("tl_k") == 1, F.col("tl_d")), ignorenulls=True).over(s)).where("tl_k = 0")
+    # backwards in time the next bar is the last one seen: a running frame, in linear time
+    s = Window.partitionBy("symbol").orderBy(F.desc("tl_d"), F.desc("tl_k")).rowsBetween(Window.unboundedPreceding, 0)
+    found = b.unionByName(keyed).withColumn("anchor", F.last(F.when(F.col("tl_k") == 1, F.col("tl_d")), ignorenulls=True).over(s)).where("tl_k = 0")
     return e.join(found.select("symbol", "tl_e", "anchor"), ["symbol", "tl_e"]).select(*events.columns, "anchor")
 
 

@@ -61,9 +61,10 @@ def flagged(df: DataFrame, dates: DataFrame, name: str) -> tuple[DataFrame, Data
 def index_audit(index: DataFrame, calendar: DataFrame) -> DataFrame:
     """For each index: rows, duplicates, missing closes, weekend days, sessions without a row."""
     span = index.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), (F.count("date") - F.countDistinct("date")).alias("duplicates"), F.sum(F.col("close").isNull().cast("long")).alias("missing_closes"), F.sum((F.weekday("date") >= 5).cast("long")).alias("weekends"))
-    names = index.select("symbol").distinct()
-    lacks = names.crossJoin(calendar.select("date")).join(index.select("symbol", "date"), ["symbol", "date"], "left_anti").groupBy("symbol").agg(F.count(F.lit(1)).alias("missing_sessions"))
-    return span.join(lacks, "symbol", "left").withColumn("missing_sessions", F.coalesce("missing_sessions", F.lit(0)))
+    met = index.select("symbol", "date").distinct().join(calendar.select("date").distinct(), "date").groupBy("symbol").agg(F.count(F.lit(1)).alias("tl_met"))
+    total = calendar.agg(F.countDistinct("date").alias("tl_total"))  # one row
+    out = span.join(met, "symbol", "left").crossJoin(F.broadcast(total))
+    return out.withColumn("missing_sessions", F.col("tl_total") - F.coalesce("tl_met", F.lit(0))).drop("tl_met", "tl_total")
 
 
 def identical_runs(bars: DataFrame, most: int = 3) -> DataFrame:

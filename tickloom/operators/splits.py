@@ -65,13 +65,12 @@ def combinatorial_plan(spark: SparkSession, symbols: list[str], blocks: int = 10
 
 def combinatorial_roles(samples: DataFrame, plan: DataFrame, held: DataFrame, dates: DataFrame, purge: int = 6) -> DataFrame:
     """path, role, symbol, date: test on test blocks' held-out symbols, train on other symbols and on steps at least ``purge`` away from any test block."""
-    spans = plan.join(dates, "block").groupBy("path", "block").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
     rows = samples.select("symbol", "date").join(dates.select("date", "step", "block"), "date")
-    test = rows.join(F.broadcast(plan), "block").join(F.broadcast(held), ["path", "symbol"]).select("path", F.lit("test").alias("role"), "symbol", "date")
-    paths = plan.select("path").distinct()
-    near = spans.select(F.col("path").alias("p"), (F.col("lo") - purge).alias("a"), (F.col("hi") + purge).alias("b"))
-    train = rows.crossJoin(F.broadcast(paths)).join(F.broadcast(near), (F.col("path") == F.col("p")) & F.col("step").between(F.col("a"), F.col("b")), "left_anti")
-    train = train.join(F.broadcast(held.withColumnRenamed("path", "hp").withColumnRenamed("symbol", "hs")), (F.col("path") == F.col("hp")) & (F.col("symbol") == F.col("hs")), "left_anti")
+    test = rows.join(plan, "block").join(held, ["path", "symbol"]).select("path", F.lit("test").alias("role"), "symbol", "date")
+    # which steps a path may train on is settled on dates alone, a row a path and date; the panel then joins by step
+    near = plan.join(dates, "block").select("path", F.explode(F.sequence(F.col("step") - purge, F.col("step") + purge)).alias("step")).distinct()
+    free = plan.select("path").distinct().crossJoin(dates.select("step")).join(near, ["path", "step"], "left_anti")
+    train = rows.join(free, "step").join(held, ["path", "symbol"], "left_anti")
     return test.unionByName(train.select("path", F.lit("train").alias("role"), "symbol", "date"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,28 +78,18 @@ def lift(df: DataFrame, keys: list[str], won: str, base: Column) -> DataFrame:
     return g.withColumn("lift", F.col("worked") - F.col("base")).withColumn("z", F.col("lift") / nonzero(F.sqrt(F.col("base") * (1 - F.col("base")) / nonzero(F.col("cases").cast("double")))))
 
 
-def block_draws(n: int, block: int, draws: int, seed: int = 0, circular: bool = True) -> np.ndarray:
-    """Places of each draw, ``draws`` rows of n: blocks of consecutive places, seeded."""
-    rng = np.random.default_rng(seed)
-    k = -(-n // block)
-    starts = rng.integers(0, n if circular else max(1, n - block + 1), (draws, k))
-    return ((starts[:, :, None] + np.arange(block)) % n).reshape(draws, -1)[:, :n]
-
-
 def bootstrap(daily: DataFrame, value: str, block: int = 21, draws: int = 400, seed: int = 0, statistic: str = "mean", level: float = 0.90, circular: bool = True) -> DataFrame:
     """One row: n, estimate, low, high of the mean or the Sharpe ratio of a series with one row a date.
 
-    Starts of blocks are drawn on the driver (a few numbers a draw); draws meet the series by place.
+    Starts of blocks are drawn by a seeded hash of the draw and the block; draws meet the series by place.
     """
     s = daily.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     n = s.count()
     spark = daily.sparkSession
     if n == 0:
         return spark.createDataFrame([], "n long, estimate double, low double, high double")
-    rng = np.random.default_rng(seed)
-    k = -(-n // block)
-    starts = rng.integers(0, n if circular else max(1, n - block + 1), (draws, k))
-    rows = spark.createDataFrame([(int(b), int(j), int(x)) for b, line in enumerate(starts) for j, x in enumerate(line)], "b int, j int, s long")
+    k, most = -(-n // block), n if circular else max(1, n - block + 1)
+    rows = spark.range(draws * k).select(F.expr(f"id div {k}").alias("b"), F.expr(f"id % {k}").alias("j"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(most)).alias("s"))
     places = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("j") * block + F.col("o") < n).select("b", ((F.col("s") + F.col("o")) % n).alias("i"))
     x = F.col(value)
     stat = F.avg(x) if statistic == "mean" else F.avg(x) / nonzero(F.stddev_samp(x)) * 252**0.5
@@ -125,10 +114,10 @@ def confusion_metrics(pred: DataFrame, truth: str, guess: str, keys: tuple[str,
     return df.groupBy(*keys).agg(F.sum("rows").alias("n"), (F.sum("hits") / F.sum("rows")).alias("accuracy"), F.avg(f1).alias("macro_f1"), (F.max("rows") / F.sum("rows")).alias("majority"))
 
 
-def log_loss(pred: DataFrame, truth: str, probabilities: dict[str, str], eps: float = 1e-9) -> DataFrame:
-    """One row: the mean of -ln of the true class's probability, clipped."""
+def log_loss_of(truth: str, probabilities: dict, eps: float = 1e-9) -> Column:
+    """The mean of -ln of the true class's probability, clipped. ``probabilities``: the column of each class."""
     p = F.coalesce(*[F.when(F.col(truth) == c, F.col(col)) for c, col in probabilities.items()])
-    return pred.agg(F.avg(-F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))).alias("log_loss"))
+    return F.avg(-F.log(F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))))
 
 
 def calibration_error(pred: DataFrame, confidence: str, correct: str, bins: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import adjust, calendar, labels, splits
 from ..operators.indicators import atr_wilder, safe_ratio
 from ..sources import bars as src
 from ..sources.bars import trade_bars
-from .base import ACTIONS, actions, query, rounded, with_bars
+from .base import ACTIONS, actions, query, rounded, sql_ewm, with_bars
 
 _W = "OVER (PARTITION BY symbol ORDER BY date)"
 _HOLD = src.HOLDOUT
@@ -361,7 +361,9 @@ def _(spark, d):
     return rounded(labels.triple_barrier(trade_bars(spark, d)), ["symbol", "date", "label", "touch_date", "atr", "upper_barrier", "lower_barrier", "dropped_reason"])
 
 
-@query("lab02_purged_labels")
+@query("lab02_purged_labels", with_bars(f"""{_LABELS}, {ACTIONS}, pw AS (SELECT DISTINCT symbol, CAST(ex_date - 18 AS DATE) AS start, ex_date AS stop FROM actions WHERE action_type <> 'dividend'), cu AS (SELECT symbol, ex_date AS cut FROM actions WHERE action_type = 'demerger'),
+en AS (SELECT symbol, date, lead(date, 10) {_W} AS stop FROM bars), z AS (SELECT lab.symbol, lab.date, reason, l, en.stop, cut, EXISTS (SELECT 1 FROM pw WHERE pw.symbol = lab.symbol AND lab.date BETWEEN pw.start AND pw.stop) AS p FROM lab JOIN en ON lab.symbol = en.symbol AND lab.date = en.date LEFT JOIN cu ON lab.symbol = cu.symbol),
+y AS (SELECT l, CASE WHEN date >= cut THEN 'post_truncate' WHEN p THEN 'purge_window' WHEN reason IS NOT NULL THEN reason WHEN stop >= cut THEN 'crosses_truncate' END AS why FROM z) SELECT why AS dropped_reason, CASE WHEN why IS NULL THEN l END AS label, count(*) AS n FROM y GROUP BY 1, 2"""))
 def _(spark, d):
     a = actions(spark)
     cut = a.where("action_type = 'demerger'").select("symbol", F.col("ex_date").alias("truncate_at"))
@@ -374,7 +376,9 @@ def _(spark, d):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 6))
 
 
-@query("lab03_panel_barrier")
+@query("lab03_panel_barrier", with_bars(f"""t AS (SELECT *, CASE WHEN lag(close) {_W} IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) {_W}), abs(low - lag(close) {_W})) END AS tr, row_number() {_W} - 1 AS i FROM bars), a AS (SELECT *, {sql_ewm('tr', 1 / 14)} AS atr FROM t),
+e AS (SELECT symbol, date, i, lead(open) {_W} + 2 * atr AS u, lead(open) {_W} - atr AS dn, lead(close, 10) {_W} AS c FROM a), h AS (SELECT e.symbol, e.date, min(b.i) AS k FROM e JOIN a b ON e.symbol = b.symbol AND b.i BETWEEN e.i + 1 AND e.i + 10 WHERE b.high >= e.u OR b.low <= e.dn GROUP BY e.symbol, e.date),
+l AS (SELECT e.symbol, CASE WHEN e.c IS NULL OR e.u IS NULL THEN NULL WHEN h.k IS NULL THEN 0 WHEN b.low <= e.dn THEN -1 ELSE 1 END AS lab FROM e LEFT JOIN h ON e.symbol = h.symbol AND e.date = h.date LEFT JOIN a b ON b.symbol = h.symbol AND b.i = h.k) SELECT symbol, lab, count(*) AS n FROM l GROUP BY symbol, lab"""))
 def _(spark, d):
     return labels.panel_barrier(atr_wilder(trade_bars(spark, d), 14, "atr")).groupBy("symbol", "lab").agg(F.count(F.lit(1)).alias("n"))
 
@@ -439,7 +443,8 @@ def _(spark, d):
     return splits.overlap(splits.folds(splits.with_window_end(labels.triple_barrier(b).where("dropped_reason is null"), cal), fold_ranges(spark), cal))
 
 
-@query("spl04_calibration_slice")
+@query("spl04_calibration_slice", with_bars(f"""{_KEPT}, u AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.8) AS c FROM (SELECT DISTINCT date FROM w)), v AS (SELECT CAST(DATE '1970-01-01' + CAST(floor(c) AS INTEGER) AS DATE) AS cut FROM u)
+SELECT CASE WHEN date > cut THEN 'calib' WHEN we <= cut THEN 'fit' END AS part, count(*) AS n, min(date) AS first, max(date) AS last FROM w, v GROUP BY 1"""))
 def _(spark, d):
     b = trade_bars(spark, d)
     kept = splits.with_window_end(labels.triple_barrier(b).where("dropped_reason is null"), calendar.trading_calendar(b))
@@ -482,11 +487,13 @@ def _(spark, d):
     return rounded(both.withColumn("n", F.row_number().over(Window.partitionBy("symbol", "date").orderBy("pri"))).where("n = 1"), ["symbol", "date", "close"])
 
 
-@query("set06_pivot", with_bars("SELECT date, round(max(close) FILTER (WHERE symbol = 'NATION_1'), 6) AS n1, round(max(close) FILTER (WHERE symbol = 'NATION_2'), 6) AS n2, round(max(close) FILTER (WHERE symbol = 'NATION_3'), 6) AS n3 FROM bars WHERE symbol IN ('NATION_1', 'NATION_2', 'NATION_3') GROUP BY date"))
+_PIVOTED = [f"NATION_{i}" for i in range(25)]
+
+
+@query("set06_pivot", with_bars("SELECT date, " + ", ".join(f"round(max(close) FILTER (WHERE symbol = '{x}'), 6) AS {x.lower()}" for x in _PIVOTED) + " FROM bars GROUP BY date"))
 def _(spark, d):
-    b = trade_bars(spark, d).where(F.col("symbol").isin("NATION_1", "NATION_2", "NATION_3"))
-    p = b.groupBy("date").pivot("symbol", ["NATION_1", "NATION_2", "NATION_3"]).agg(F.max("close"))
-    return p.select("date", *[F.round(f"NATION_{i}", 6).alias(f"n{i}") for i in (1, 2, 3)])
+    p = trade_bars(spark, d).groupBy("date").pivot("symbol", _PIVOTED).agg(F.max("close"))
+    return p.select("date", *[F.round(x, 6).alias(x.lower()) for x in _PIVOTED])
 
 
 @query("srt01_05_last_candles", with_bars("SELECT symbol, date, round(close, 6) AS close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM bars) WHERE n <= 20"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import kept
 from ..functions.rolling import change, rolling, series
 from ..operators import backtest as bt
 from ..operators import calendar, crosssection, labels, models, patterns, signals, splits, stats
 from ..operators import indicators as ind
 from ..sources.bars import trade_bars
-from .base import query, rounded, sql_ewm, sql_ewm_seeded, with_bars
-from .indicators import _N, _R14, _RSI, _W, _frame, _roll, _rsi_sql, _z
+from .base import ORACLE_SQL, query, rounded, sql_ewm, sql_ewm_seeded, with_bars
+from .indicators import _K, _N, _R14, _RSI, _W, _frame, _roll, _rsi_sql, _z
 from .market import _LABELS, fold_ranges
 
 _RSI_SIGNAL = f"""{_RSI}, m AS (SELECT symbol, date, i, {sql_ewm('u', 1 / 14)} AS u, {sql_ewm('n', 1 / 14)} AS n FROM g),
@@ -96,7 +97,10 @@ def _(spark, d):
     return signals.oscillator_rules(trade_bars(spark, d)).select("symbol", "date", "sig_rsi_30_50", "sig_rsi_30_70", "sig_rsi_60_40")
 
 
-@query("sig03_all_oscillators")
+@query("sig03_all_oscillators", with_bars(f"""c AS (SELECT symbol, date, close, {_K} AS k0, (high + low + close) / 3 AS tp, CASE WHEN {_roll('max', 'high', 14)} > {_roll('min', 'low', 14)} THEN -100 * ({_roll('max', 'high', 14)} - close) / ({_roll('max', 'high', 14)} - {_roll('min', 'low', 14)}) END AS wr FROM bars),
+l AS (SELECT symbol, date, {_roll('avg', 'k0', 3)} AS k, wr, tp, {_roll('avg', 'tp', 20)} AS m, list(tp) {_frame(20)} AS w FROM c),
+o AS (SELECT symbol, date, k, wr, CASE WHEN m IS NOT NULL AND list_sum(list_transform(w, lambda x: abs(x - m))) > 0 THEN (tp - m) / (0.015 * list_sum(list_transform(w, lambda x: abs(x - m))) / 20) END AS cci FROM l)
+SELECT symbol, date, {_state('k < 20', 'k > 50', 'k IS NOT NULL')} AS sig_stoch_20_50, {_state('cci < -100', 'cci > 0', 'cci IS NOT NULL')} AS sig_cci_100_0, {_state('wr < -80', 'wr > -50', 'wr IS NOT NULL')} AS sig_willr_80_50 FROM o"""))
 def _(spark, d):
     return signals.oscillator_rules(trade_bars(spark, d)).select("symbol", "date", "sig_stoch_20_50", "sig_cci_100_0", "sig_willr_80_50")
 
@@ -112,7 +116,8 @@ def _(spark, d):
     return signals.rsi_rules(trade_bars(spark, d)).select("symbol", "date", "sig_rsi50", "sig_rsi40", "sig_velocity", "sig_rsi_z")
 
 
-@query("sig06_gated_rules")
+@query("sig06_gated_rules", with_bars(f"""{_R14}, b AS (SELECT *, {_state('rsi > 60', 'rsi < 40', 'rsi IS NOT NULL')} AS b, coalesce(close > e20, false) AS o20, coalesce(e20 > e50, false) AS o50 FROM r)
+SELECT symbol, date, CAST(b = 1 AND o20 AS INTEGER) AS sig_rsi_ema20, CAST(b = 1 AND o20 AND o50 AS INTEGER) AS sig_rsi_ema50, CAST(o20 AS INTEGER) AS sig_ema20 FROM b"""))
 def _(spark, d):
     return signals.rsi_rules(trade_bars(spark, d)).select("symbol", "date", "sig_rsi_ema20", "sig_rsi_ema50", "sig_ema20")
 
@@ -186,7 +191,11 @@ def _(spark, d):
     return rounded(bt.fractional(df, "weight"), ["date", "gross", "turnover", "exposure", "net"], 5)
 
 
-@query("bkt04_inverse_vol_target_gate")
+@query("bkt04_inverse_vol_target_gate", with_bars(f"""r AS (SELECT symbol, date, close / lag(close) {_W} - 1 AS r FROM bars), v AS (SELECT *, {_roll('stddev_samp', 'r', 60, 30)} AS sd FROM r), w AS (SELECT symbol, date, coalesce(r, 0) AS r, coalesce(1 / nullif(sd, 0) / sum(1 / nullif(sd, 0)) OVER (PARTITION BY date), 0) AS w FROM v),
+h AS (SELECT *, coalesce(lag(w) {_W}, 0) AS h FROM w), dy AS (SELECT date, sum(h * r) AS gross, sum(h) AS exposure FROM h GROUP BY date),
+x AS (SELECT *, CASE WHEN count(gross) OVER f >= 20 THEN stddev_samp(gross) OVER f * sqrt(252) END AS vol, max(exposure) OVER (ORDER BY date) AS known, max(exposure) OVER () AS most FROM dy WINDOW f AS (ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT date, avg(close) AS level FROM bars GROUP BY date), g AS (SELECT date, level > CASE WHEN count(level) OVER f >= 200 THEN avg(level) OVER f END AS up FROM lv WINDOW f AS (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))
+SELECT x.date, round(gross, 5) AS gross, round(CASE WHEN 1 / nullif(known, 0) IS NULL THEN coalesce(0.15 / nullif(vol, 0), 1.0) ELSE least(coalesce(0.15 / nullif(vol, 0), 1.0), 1 / known) END, 5) AS scale, round(CASE WHEN 1 / nullif(most, 0) IS NULL THEN coalesce(0.15 / nullif(vol, 0), 1.0) ELSE least(coalesce(0.15 / nullif(vol, 0), 1.0), 1 / most) END, 5) AS scale_full, CAST(coalesce(up, false) AS INTEGER) AS open_gate FROM x JOIN g ON x.date = g.date"""))
 def _(spark, d):
     b = trade_bars(spark, d)
     daily = bt.fractional(bt.portfolio_weights(b, None, "inverse"), "weight")
@@ -212,27 +221,40 @@ def _(spark, d):
 @query("bkt06_period_backtest")
 def _(spark, d):
     b = trade_bars(spark, d).withColumn("x", change(F.col("close"), 20)).withColumn("r", F.lead("close", 20).over(series()) / F.col("close") - 1)
-    steps = splits.date_blocks(b).where("step % 20 = 0").select("date", (F.col("step") / 20).cast("int").alias("step")).where("step % 7 <> 3")
+    steps = splits.date_blocks(b).where("step % 20 = 0").select("date", (F.col("step") / 20).cast("int").alias("step"))
     return rounded(bt.period_backtest(b.join(F.broadcast(steps), "date"), "x", "r"), ["step", "segment", "strat", "bench", "traded"], 5)
 
 
-@query("agg32_benchmark_bundle")
+@query("agg32_benchmark_bundle", with_bars(f"""sg AS (SELECT *, 1 AS signal FROM bars), {_backtest_sql()}, lv AS (SELECT date, avg(close) AS level FROM bars GROUP BY date), two AS (SELECT 'equal_weight_hold' AS name, date, avg(net) AS ret FROM eq GROUP BY date UNION ALL SELECT 'index', date, level / lag(level) OVER (ORDER BY date) - 1 FROM lv), cz AS (SELECT name, date, coalesce(ret, 0) AS ret0, ret FROM two),
+q AS (SELECT *, product(1 + ret0) OVER (PARTITION BY name ORDER BY date) AS q FROM cz), dd AS (SELECT *, q / greatest(max(q) OVER (PARTITION BY name ORDER BY date), 1.0) - 1 AS dd FROM q)
+SELECT name, round(stddev_samp(ret) * sqrt(252), 5) AS vol, round(avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252), 0), 5) AS sharpe, round(min(dd), 5) AS max_dd, count(ret) AS n FROM dd GROUP BY name"""))
 def _(spark, d):
     b = trade_bars(spark, d)
     return rounded(bt.benchmark_bundle(b, b.groupBy("date").agg(F.avg("close").alias("level"))), ["name", "vol", "sharpe", "max_dd", "n"], 5)
 
 
-@query("bkt08_smoothed")
+@query("bkt08_smoothed", with_bars(f"""s AS (SELECT symbol, date, close / lag(close, 5) {_W} - 1 AS x FROM bars), f AS (SELECT symbol, date, last_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS f FROM s), a AS (SELECT symbol, date, {_roll('avg', 'f', 10)} AS a FROM f),
+c AS (SELECT *, count(a) OVER (PARTITION BY date) = count(*) OVER (PARTITION BY date) AS ok FROM a) SELECT symbol, date, round(a, 5) AS smooth FROM c WHERE ok AND a IS NOT NULL"""))
 def _(spark, d):
     b = trade_bars(spark, d).withColumn("x", change(F.col("close"), 5))
     return rounded(bt.smoothed(b, "x", "smooth").where("smooth is not null"), ["symbol", "date", "smooth"], 5)
 
 
-@query("bkt14_three_settings")
+def _rank_sql(name: str, lag: int, cost: float) -> str:
+    w = "coalesce(k0, 0)" if not lag else f"coalesce(lag(k0, {lag}) {_W}, 0)"
+    return f"""w_{name} AS (SELECT symbol, date, r, {w} AS w FROM k1), q_{name} AS (SELECT *, coalesce(w * (1 + r) / nullif(sum(w * (1 + r)) OVER (PARTITION BY date), 0), 0) AS dr FROM w_{name}),
+t_{name} AS (SELECT *, abs(w - coalesce(lag(dr) {_W}, 0)) AS t FROM q_{name}), d_{name} AS (SELECT date, (1 - sum(t) * {cost}) * (1 + sum(w * r)) - 1 AS net FROM t_{name} GROUP BY date)"""
+
+
+_SETTINGS = (("free", 0, 0.0), ("cost", 0, 0.001), ("cost_lag", 1, 0.001))
+
+
+@query("bkt14_three_settings", with_bars(f"""s AS (SELECT symbol, date, close, close / lag(close, 5) {_W} - 1 AS x FROM bars), k AS (SELECT *, CASE WHEN x IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY x NULLS LAST) + (count(x) OVER (PARTITION BY date, x) - 1) / 2.0 END AS k FROM s),
+k1 AS (SELECT symbol, date, k / sum(k) OVER (PARTITION BY date) AS k0, coalesce(lead(close) {_W} / close - 1, 0) AS r FROM k), {', '.join(_rank_sql(*x) for x in _SETTINGS)} """ + " UNION ALL ".join(f"SELECT '{n}' AS setting, count(*) AS n, round(avg(net), 6) AS mean FROM d_{n}" for n, *_ in _SETTINGS)))
 def _(spark, d):
     """A forecast under three settings: no lag and no cost, cost, cost and a day's lag; direction accuracy without zero returns."""
     b = trade_bars(spark, d).withColumn("x", change(F.col("close"), 5))
-    runs = [bt.rank_portfolio(b, "x", lag, cost).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("net"), 6).alias("mean")).select(F.lit(name).alias("setting"), "n", "mean") for name, lag, cost in (("free", 0, 0.0), ("cost", 0, 0.001), ("cost_lag", 1, 0.001))]
+    runs = [bt.rank_portfolio(b, "x", lag, cost).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("net"), 6).alias("mean")).select(F.lit(name).alias("setting"), "n", "mean") for name, lag, cost in _SETTINGS]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
 
 
@@ -292,13 +314,13 @@ def _(spark, d):
 @query("agg18_19_bootstrap")
 def _(spark, d):
     daily = bt.equal_weight(rsi_panel(spark, d))
-    mean = stats.bootstrap(daily, "ret", 21, 200).select(F.lit("mean").alias("statistic"), "*")
-    return mean.unionByName(stats.bootstrap(daily, "ret", 20, 200, statistic="sharpe", circular=False).select(F.lit("sharpe").alias("statistic"), "*"))
+    mean = stats.bootstrap(daily, "ret", 21, 4000).select(F.lit("mean").alias("statistic"), "*")
+    return mean.unionByName(stats.bootstrap(daily, "ret", 20, 500, statistic="sharpe", circular=False).select(F.lit("sharpe").alias("statistic"), "*"))
 
 
 @query("mod10_paired_difference")
 def _(spark, d):
-    return stats.paired_difference(bt.equal_weight(rsi_panel(spark, d)), bt.equal_weight(bt.buy_and_hold(trade_bars(spark, d))), draws=100)
+    return stats.paired_difference(bt.equal_weight(rsi_panel(spark, d)), bt.equal_weight(bt.buy_and_hold(trade_bars(spark, d))), draws=4000)
 
 
 @query("agg17_lift", with_bars(f"x AS (SELECT sector, CAST(lead(close) {_W} > close AS INTEGER) AS won FROM bars), b AS (SELECT avg(won) AS base FROM x) SELECT sector, count(won) AS cases, round(avg(won), 6) AS worked, round(avg(won) - max(base), 6) AS lift, round((avg(won) - max(base)) / sqrt(max(base) * (1 - max(base)) / count(won)), 4) AS z FROM x, b GROUP BY sector"))
@@ -337,7 +359,9 @@ def _(spark, d):
     return daily.agg(F.round(F.sum("t"), 4).alias("turnover"), F.round(F.sum("t") * 0.0035, 4).alias("drag"), F.round(F.avg("t"), 6).alias("per_day"))
 
 
-@query("agg30_survivorship")
+@query("agg30_survivorship", with_bars(f"""v AS (SELECT symbol, date, close, close / lag(close, 20) {_W} - 1 AS s, list(close * volume) {_frame(126)} AS l FROM bars), m AS (SELECT *, CASE WHEN len(l) >= 60 THEN list_aggregate(l, 'quantile_cont', 0.5) END AS m FROM v),
+k AS (SELECT *, CASE WHEN m IS NOT NULL THEN rank() OVER (PARTITION BY date ORDER BY m DESC NULLS LAST) END AS tr, CASE WHEN s IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY s NULLS LAST) + (count(s) OVER (PARTITION BY date, s) - 1) / 2.0) / count(s) OVER (PARTITION BY date) END AS sr FROM m)
+SELECT symbol, round(avg(CASE WHEN sr IS NULL THEN NULL WHEN sr > 0.8 THEN 1.0 ELSE 0.0 END), 5) AS top_share, arg_min(tr, date) FILTER (WHERE tr IS NOT NULL) AS first_rank, arg_max(tr, date) FILTER (WHERE tr IS NOT NULL) AS last_rank, round(arg_max(close, date) / arg_min(close, date), 5) AS multiple FROM k GROUP BY symbol"""))
 def _(spark, d):
     b = calendar.turnover_universe(trade_bars(spark, d)).withColumn("s", change(F.col("close"), 20))
     return rounded(stats.survivorship(b, "s", "turnover_rank"), ["symbol", "top_share", "first_rank", "last_rank", "multiple"], 5)
@@ -365,7 +389,9 @@ def _(spark, d):
     return rounded(df, ["symbol", "date", *crosssection.FEATURES], 5)
 
 
-@query("ind20_index_momentum")
+@query("ind20_index_momentum", with_bars(f"""x AS (SELECT symbol, date, close / lag(close, 252) {_W} - 1 AS r12, close / lag(close, 126) {_W} - 1 AS r6, ln(close) - ln(lag(close) {_W}) AS x FROM bars), s AS (SELECT *, {_roll('stddev_samp', 'x', 252)} * sqrt(252) AS sd FROM x),
+z AS (SELECT symbol, date, r12 / nullif(sd, 0) AS a, r6 / nullif(sd, 0) AS b FROM s), y AS (SELECT symbol, date, ((a - avg(a) OVER w) / nullif(stddev_samp(a) OVER w, 0) + (b - avg(b) OVER w) / nullif(stddev_samp(b) OVER w, 0)) / 2 AS m FROM z WINDOW w AS (PARTITION BY date)),
+g AS (SELECT date, quantile_cont(m, 0.5) AS med FROM y GROUP BY date) SELECT symbol, y.date, round(coalesce(m, med), 5) AS idx_mom FROM y JOIN g ON y.date = g.date"""))
 def _(spark, d):
     c = F.col("close")
     df = trade_bars(spark, d).withColumn("r12", change(c, 252)).withColumn("r6", change(c, 126))
@@ -391,6 +417,30 @@ _CANDLE_SQL = {
 }
 
 
+_EVENTS = f"{_ATR}, ev AS (" + " UNION ALL ".join(f"SELECT symbol, date, '{k}' AS pattern, {patterns.CANDLES[k]} AS dir FROM l WHERE {v}" for k, v in _CANDLE_SQL.items()) + ")"
+_DAYS = (1, 2, 5, 10, 20, 40, 60)
+_SCORES = f"""{_EVENTS}, hz AS (SELECT symbol, date, {', '.join(f'lead(close, {k}) {_W} / lead(open) {_W} - 1 AS h{k}' for k in _DAYS)} FROM bars),
+lg AS ({' UNION ALL '.join(f'SELECT symbol, date, {k} AS horizon, h{k} AS ret FROM hz WHERE h{k} IS NOT NULL' for k in _DAYS)}), bs AS (SELECT horizon, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS up, avg(ret) AS mean FROM lg GROUP BY horizon),
+mid AS (SELECT quantile_cont(date_diff('day', DATE '1970-01-01', date), 0.5) AS mid FROM bars), jn AS (SELECT e.pattern, e.dir, e.date, g.horizon, g.ret, b.up, b.mean, CASE WHEN g.ret * e.dir > 0 THEN 1.0 ELSE 0.0 END AS won FROM ev e JOIN lg g ON e.symbol = g.symbol AND e.date = g.date JOIN bs b ON g.horizon = b.horizon),
+sc AS (SELECT pattern, horizon, count(*) AS cases, avg(won) AS hit, avg(CASE WHEN dir > 0 THEN up ELSE 1 - up END) AS base, avg((ret - mean) * dir) AS excess, avg(CASE WHEN date_diff('day', DATE '1970-01-01', date) <= mid THEN won END) AS first_half, avg(CASE WHEN date_diff('day', DATE '1970-01-01', date) > mid THEN won END) AS second_half
+  FROM jn, mid GROUP BY pattern, horizon)"""
+
+
+def _outcome_sql(name: str, d: int, k: float = 1.0, horizon: int = 20) -> str:
+    """Table ``name``: each bar's first touch of a target and a stop, k ATR from the next open, after table a (bars with atr and i)."""
+    good, bad = ("high", "low") if d > 0 else ("low", "high")
+    ge, le, worse = (">=", "<=", "least") if d > 0 else ("<=", ">=", "greatest")
+    return f"""e_{name} AS (SELECT symbol, i, date, lead(open) {_W} AS e, lead(open) {_W} + {d * k} * atr AS g, lead(open) {_W} - {d * k} * atr AS s, least((SELECT max(i) FROM a z WHERE z.symbol = a.symbol) - i, {horizon}) AS ahead, atr FROM a),
+h_{name} AS (SELECT x.symbol, x.date, b.i - x.i AS day, CASE WHEN b.i > x.i + 1 AND b.open {ge} x.g THEN 1 WHEN b.{bad} {le} x.s THEN 0 ELSE 1 END AS win, CASE WHEN b.i > x.i + 1 AND b.open {ge} x.g THEN b.open WHEN b.{bad} {le} x.s THEN CASE WHEN b.i > x.i + 1 THEN {worse}(b.open, x.s) ELSE x.s END ELSE x.g END AS p
+  FROM e_{name} x JOIN a b ON x.symbol = b.symbol AND b.i BETWEEN x.i + 1 AND x.i + {horizon} WHERE x.e IS NOT NULL AND ((b.i > x.i + 1 AND b.open {ge} x.g) OR b.{bad} {le} x.s OR b.{good} {ge} x.g)),
+f_{name} AS (SELECT symbol, date, min(day) AS day, arg_min(win, day) AS win, arg_min(p, day) AS p FROM h_{name} GROUP BY symbol, date),
+{name} AS (SELECT x.symbol, x.date, f.win AS out_win, f.day AS out_day, CASE WHEN f.win IS NOT NULL THEN {d} * (f.p / x.e - 1) WHEN x.ahead = {horizon} THEN {d} * (c.close / x.e - 1) END AS out_ret FROM e_{name} x LEFT JOIN f_{name} f ON x.symbol = f.symbol AND x.date = f.date LEFT JOIN a c ON c.symbol = x.symbol AND c.i = x.i + {horizon})"""
+
+
+_TRUE_ATR = _ATR.split(",\nx AS")[0]
+ORACLE_SQL["lab04_outcomes"] = with_bars(f"{_TRUE_ATR}, {_outcome_sql('ou', 1)} SELECT symbol, date, out_win, out_day, round(out_ret, 6) AS out_ret FROM ou")
+
+
 @query("pat06_candles", with_bars(f"{_ATR} " + " UNION ALL ".join(f"SELECT symbol, date, '{k}' AS pattern, {patterns.CANDLES[k]} AS dir FROM l WHERE {v}" for k, v in _CANDLE_SQL.items())))
 def _(spark, d):
     return patterns.candle_events(patterns.candle_signals(_atr_panel(spark, d)))
@@ -414,27 +464,32 @@ def _(spark, d):
     return rounded(patterns.measured_summary(labels.measured_moves(ev, b), fake), ["pattern", "trades", "target_first", "stop_first", "mean_ret", "break_even", "placebo_target_first", "edge"], 5)
 
 
-@query("agg24_pat08_09_scores")
+@query("agg24_pat08_09_scores", with_bars(f"{_SCORES} SELECT pattern, horizon, cases, round(hit, 5) AS hit, round(base, 5) AS base, round(excess, 5) AS excess, round(first_half, 5) AS first_half, round(second_half, 5) AS second_half FROM sc"))
 def _(spark, d):
     b = _atr_panel(spark, d)
     ev = patterns.candle_events(patterns.candle_signals(b))
     return rounded(patterns.scored(ev, b, (1, 2, 5, 10, 20, 40, 60)), ["pattern", "horizon", "cases", "hit", "base", "excess", "first_half", "second_half"], 5)
 
 
-@query("pat08_filters")
+@query("pat08_filters", with_bars(f"""{_EVENTS}, f AS (SELECT symbol, date, lead(close, 10) {_W} / lead(open) {_W} - 1 AS ret, lead(close, 11) {_W} / lead(open, 2) {_W} - 1 AS late, sign(close - {_roll('avg', 'close', 50)}) AS trend, high - low > {_roll('avg', 'size', 20)} AS wide, volume > {_roll('avg', 'volume', 20)} AS busy, sign(lead(close) {_W} - close) AS nxt FROM (SELECT *, high - low AS size FROM bars)),
+j AS (SELECT e.pattern, e.dir, f.* FROM ev e JOIN f ON e.symbol = f.symbol AND e.date = f.date), o AS (SELECT pattern, dir, 'all' AS filter, ret AS r FROM j UNION ALL SELECT pattern, dir, 'trend', ret FROM j WHERE trend = dir UNION ALL SELECT pattern, dir, 'wide', ret FROM j WHERE wide UNION ALL SELECT pattern, dir, 'busy', ret FROM j WHERE busy
+UNION ALL SELECT pattern, dir, 'confirmed', late FROM j WHERE nxt = dir UNION ALL SELECT pattern, dir, 'late', late FROM j) SELECT pattern, filter, count(*) AS cases, round(avg(CASE WHEN r * dir > 0 THEN 1.0 ELSE 0.0 END), 5) AS hit FROM o WHERE r IS NOT NULL GROUP BY pattern, filter"""))
 def _(spark, d):
     b = _atr_panel(spark, d)
     return rounded(patterns.filtered_accuracy(patterns.candle_events(patterns.candle_signals(b)), b), ["pattern", "filter", "cases", "hit"], 5)
 
 
-@query("pat09_best_horizon")
+@query("pat09_best_horizon", with_bars(f"""{_SCORES}, ea AS (SELECT pattern, arg_max(horizon, row(excess, -horizon)) AS best_day, max(excess) AS early_excess FROM sc WHERE horizon BETWEEN 1 AND 10 GROUP BY pattern), la AS (SELECT pattern, avg(excess) AS late_excess FROM sc WHERE horizon BETWEEN 20 AND 60 GROUP BY pattern)
+SELECT ea.pattern, best_day, round(early_excess, 5) AS early_excess, round(late_excess, 5) AS late_excess FROM ea LEFT JOIN la ON ea.pattern = la.pattern"""))
 def _(spark, d):
     b = _atr_panel(spark, d)
     s = patterns.scored(patterns.candle_events(patterns.candle_signals(b)), b, (1, 2, 5, 10, 20, 40, 60))
     return rounded(patterns.best_horizon(s, (1, 10), (20, 60)), ["pattern", "best_day", "early_excess", "late_excess"], 5)
 
 
-@query("pat10_joi06_verdicts")
+@query("pat10_joi06_verdicts", with_bars(f"""{_EVENTS}, {_outcome_sql('ou', 1)}, {_outcome_sql('od', -1)}, sd AS (SELECT symbol, date, 1 AS dir, out_win FROM ou UNION ALL SELECT symbol, date, -1, out_win FROM od), bb AS (SELECT dir, avg(out_win) AS base FROM sd GROUP BY dir),
+g AS (SELECT pattern, count(out_win) AS cases, avg(out_win) AS worked, max(base) AS base FROM ev JOIN sd ON ev.symbol = sd.symbol AND ev.date = sd.date AND ev.dir = sd.dir JOIN bb ON ev.dir = bb.dir GROUP BY pattern), z AS (SELECT *, worked - base AS lift, (worked - base) / nullif(sqrt(base * (1 - base) / nullif(cases, 0)), 0) AS z FROM g)
+SELECT pattern, cases, round(worked, 5) AS worked, round(base, 5) AS base, round(lift, 5) AS lift, round(z, 5) AS z, CASE WHEN cases < 30 THEN 'no data' WHEN lift >= 0.02 AND z >= 1.5 THEN 'works (better than a random day)' WHEN lift >= 0.01 THEN 'slightly better than random, not reliable' WHEN lift <= -0.02 AND z <= -2 THEN 'worse than a random day' ELSE 'no better than a random day' END AS verdict FROM z"""))
 def _(spark, d):
     b = _atr_panel(spark, d)
     ev = patterns.candle_events(patterns.candle_signals(b))
@@ -444,48 +499,74 @@ def _(spark, d):
     return rounded(patterns.verdicts(stats.lift(rows, ["pattern"], "out_win", F.col("base"))), ["pattern", "cases", "worked", "base", "lift", "z", "verdict"], 5)
 
 
-@query("pat11_scan")
+@query("pat11_scan", with_bars(f"""{_EVENTS}, {_outcome_sql('ou', 1)}, {_outcome_sql('od', -1)}, sd AS (SELECT *, 1 AS dir FROM ou UNION ALL SELECT *, -1 FROM od), rk AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS n FROM bars WHERE symbol = 'NATION_1')
+SELECT ev.date, ev.pattern, ev.dir, CASE WHEN out_win = 1 THEN 'won' WHEN out_win = 0 THEN 'lost' WHEN out_ret IS NULL THEN 'open' ELSE 'timeout' END AS status, round(out_ret, 6) AS ret FROM ev JOIN sd ON ev.symbol = sd.symbol AND ev.date = sd.date AND ev.dir = sd.dir JOIN rk ON ev.date = rk.date WHERE ev.symbol = 'NATION_1' AND rk.n <= 200"""))
 def _(spark, d):
     return rounded(patterns.scan(trade_bars(spark, d), "NATION_1", 200), ["date", "pattern", "dir", "status", "ret"])
 
 
 def _model_data(spark, d):
-    b = trade_bars(spark, d)
+    b = kept(trade_bars(spark, d))
     lab = labels.triple_barrier(b).where("dropped_reason is null")
     cal = calendar.trading_calendar(b)
-    kept = splits.with_window_end(lab, cal)
-    feats = b.withColumn("f1", change(F.col("close"), 5)).withColumn("f2", (F.col("high") - F.col("low")) / F.col("close")).withColumn("f3", F.log1p("volume")).select("symbol", "date", "f1", "f2", "f3").na.drop()
-    data = models.indexed(lab.select("symbol", "date", "label")).join(feats, ["symbol", "date"])
-    return data, kept, cal
+    ends = kept(splits.with_window_end(lab, cal))
+    feats = b.withColumn("f1", change(F.col("close"), 5)).withColumn("f2", (F.col("high") - F.col("low")) / F.col("close")).withColumn("f3", F.log1p("volume"))
+    # all rows have all columns, those of the expanded set too, so that sets of features are compared on the same rows
+    feats = feats.withColumn("f4", change(F.col("close"), 20)).withColumn("f5", rolling(F.avg, F.col("f2"), 20)).select("symbol", "date", "f1", "f2", "f3", "f4", "f5").na.drop()
+    data = kept(models.indexed(ends.select("symbol", "date", "label")).join(feats, ["symbol", "date"]))
+    return data, ends, cal
 
 
 @query("mod01_11_prj04_predictions")
 def _(spark, d):
-    data, kept, cal = _model_data(spark, d)
-    f = splits.folds(kept, fold_ranges(spark), cal)
-    said = models.fold_predictions(data, f, ["f1", "f2", "f3"])
-    return models.decide(said, "p_up").groupBy("fold", "decision").agg(F.count(F.lit(1)).alias("n"))
+    """Every fold's test rows with raw and calibrated probabilities and the decision."""
+    data, ends, cal = _model_data(spark, d)
+    said = models.decide(models.calibrated_folds(data, splits.folds(ends, fold_ranges(spark), cal), ends, ["f1", "f2", "f3"]))
+    return rounded(said, ["fold", "symbol", "date", "y", "guess", "p_down", "p_flat", "p_up", "p_down_cal", "p_flat_cal", "p_up_cal", "decision"], 4)
+
+
+#: Families of features: momentum, volatility, volume.
+FAMILIES = {"momentum": ["f1"], "volatility": ["f2"], "volume": ["f3"]}
 
 
 @query("mod02_07_boosted_specialist")
 def _(spark, d):
-    data, kept, cal = _model_data(spark, d)
-    f = splits.folds(kept, fold_ranges(spark), cal)
-    said = models.fold_predictions(models.class_weights(data), f, ["f1", "f2"], "forest", trees=8, depth=3)
-    return stats.confusion_metrics(said, "y", "guess", ("fold",))
+    """Boosted trees of all features, rows weighted by inverse class frequency in each fold's training rows."""
+    data, ends, cal = _model_data(spark, d)
+    said = models.fold_predictions(data, splits.folds(ends, fold_ranges(spark), cal), ["f1", "f2", "f3"], "boosted", weighted=True, trees=3, depth=3)
+    return rounded(stats.confusion_metrics(said, "y", "guess", ("fold",)), ["fold", "n", "accuracy", "macro_f1", "majority"], 5)
+
+
+@query("mod07_importance")
+def _(spark, d):
+    data, ends, cal = _model_data(spark, d)
+    return rounded(models.fold_importance(data, splits.folds(ends, fold_ranges(spark), cal), ["f1", "f2", "f3"], "forest", trees=10, depth=4), ["fold", "feature", "importance"], 5)
 
 
 @query("mod03_calibrated")
 def _(spark, d):
-    data, kept, cal = _model_data(spark, d)
-    said = models.fold_predictions(data, splits.folds(kept, fold_ranges(spark).where("fold <= 2"), cal), ["f1", "f2", "f3"])
-    return models.calibrated(said.where("fold = 1"), said.where("fold = 2")).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p_down_cal"), 4).alias("p_down"), F.round(F.avg("p_up_cal"), 4).alias("p_up"))
+    """What calibration on the held-out slice does to each fold: log loss of raw and of calibrated probabilities."""
+    data, ends, cal = _model_data(spark, d)
+    said = models.calibrated_folds(data, splits.folds(ends, fold_ranges(spark), cal), ends, ["f1", "f2", "f3"])
+    loss = lambda end: F.round(stats.log_loss_of("y", {0.0: f"p_down{end}", 1.0: f"p_flat{end}", 2.0: f"p_up{end}"}), 4)
+    return said.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), loss("").alias("log_loss"), loss("_cal").alias("log_loss_cal"))
+
+
+@query("mod07_08_12_ablation")
+def _(spark, d):
+    """One family alone, all of them, and all with two more columns, under both fold rules."""
+    data, ends, cal = _model_data(spark, d)
+    schemes = {rule: splits.folds(ends, fold_ranges(spark), cal, rule=rule) for rule in ("embargo_shadow", "drop_all_after_prior_test")}
+    return rounded(models.ablation(data, schemes, {"momentum": FAMILIES["momentum"], "all": ["f1", "f2", "f3"], "expanded": ["f1", "f2", "f3", "f4", "f5"]}, max_iter=10), ["features", "scheme", "model", "n", "accuracy", "macro_f1"], 5)
 
 
-@query("mod04_shuffled_labels", with_bars(f"{_LABELS} SELECT symbol, l AS label, count(*) AS n FROM lab WHERE reason IS NULL GROUP BY symbol, l"))
+@query("mod04_shuffled_labels", with_bars(f"{_LABELS} SELECT symbol, l AS label, count(*) AS n, true AS moved FROM lab WHERE reason IS NULL GROUP BY symbol, l"))
 def _(spark, d):
     lab = labels.triple_barrier(trade_bars(spark, d)).where("dropped_reason is null").select("symbol", "date", "label")
-    return models.shuffled(lab, "label", ["symbol"]).groupBy("symbol", "label").agg(F.count(F.lit(1)).alias("n"))
+    # labels keep their numbers, and of each symbol's rows at least a fifth take another label
+    mixed = models.shuffled(lab, "label", ["symbol"]).join(lab.withColumnRenamed("label", "was"), ["symbol", "date"])
+    share = F.avg((F.col("label") != F.col("was")).cast("double")).over(Window.partitionBy("symbol"))
+    return mixed.withColumn("moved", share >= 0.2).groupBy("symbol", "label", "moved").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("mod05_ridge", with_bars(f"""f AS (SELECT close / lag(close, 5) {_W} - 1 AS x, lead(close) {_W} / close - 1 AS y FROM bars), o AS (SELECT * FROM f WHERE x IS NOT NULL AND y IS NOT NULL) SELECT 'x' AS name, round(regr_sxy(y, x) / (regr_sxx(y, x) + 100), 6) AS coefficient FROM o"""))
@@ -498,22 +579,33 @@ def _(spark, d):
 @query("mod06_regressors")
 def _(spark, d):
     df = trade_bars(spark, d).withColumn("x", change(F.col("close"), 5)).withColumn("z", change(F.col("close"))).withColumn("y", F.lead("close").over(series()) / F.col("close") - 1).na.drop()
-    rows = []
+    rows, cut = [], "1999-01-01"
+    train, test = df.where(F.col("date") < cut), df.where(F.col("date") >= cut)
     for kind in ("ridge", "lasso", "forest", "boosted"):
-        fit = models.regressor(kind, ["x", "z"], "y", trees=5, depth=3).fit(df)
-        rows.append((kind, float(fit.transform(df).agg(F.avg(F.pow(F.col("prediction") - F.col("y"), F.lit(2)))).first()[0])))
+        fit = models.regressor(kind, ["x", "z"], "y", trees=20, depth=5).fit(train)
+        rows.append((kind, float(fit.transform(test).agg(F.avg(F.pow(F.col("prediction") - F.col("y"), F.lit(2)))).first()[0])))
     return spark.createDataFrame(rows, "model string, mse double")
 
 
-@query("mod08_09_claims")
+@query("mod09_claims", with_bars(f"""f AS (SELECT symbol, date, close / lag(close, 20) {_W} - 1 AS s, {', '.join(f'lead(close, {h + 1}) {_W} / lead(close, 1) {_W} - 1 AS r{h}' for h in (5, 21, 63))} FROM bars),
+o AS ({' UNION ALL '.join(f'SELECT symbol, date, {h} AS horizon, s, r{h} AS r FROM f WHERE s IS NOT NULL AND r{h} IS NOT NULL' for h in (5, 21, 63))}),
+k AS (SELECT horizon, date, rank() OVER (PARTITION BY horizon, date ORDER BY s) + (count(*) OVER (PARTITION BY horizon, date, s) - 1) / 2.0 AS ks, rank() OVER (PARTITION BY horizon, date ORDER BY r) + (count(*) OVER (PARTITION BY horizon, date, r) - 1) / 2.0 AS kr,
+  CASE WHEN (s > quantile_cont(s, 0.5) OVER (PARTITION BY horizon, date)) = (r > quantile_cont(r, 0.5) OVER (PARTITION BY horizon, date)) THEN 1.0 ELSE 0.0 END AS ok FROM o),
+dy AS (SELECT horizon, date, count(*) AS k, sum(ok) AS ok, CASE WHEN count(*) >= 3 AND NOT isnan(corr(ks, kr)) THEN corr(ks, kr) END AS ic FROM k GROUP BY horizon, date), bl AS (SELECT date, ntile(10) OVER (ORDER BY date) - 1 AS block FROM (SELECT DISTINCT date FROM bars)),
+j AS (SELECT dy.*, block FROM dy JOIN bl ON dy.date = bl.date), p AS (SELECT *, 'all' AS part FROM j UNION ALL SELECT *, CASE WHEN block % 2 = 0 THEN 'design' ELSE 'confirm' END FROM j)
+SELECT horizon, part, CAST(sum(k) AS BIGINT) AS n, round(sum(ok) / sum(k), 5) AS rate, round(avg(ic), 5) AS ic FROM p GROUP BY horizon, part"""))
 def _(spark, d):
     """A score's rank IC and hit rate at horizons 5, 21, 63, on design blocks, on the others and on all."""
     b = trade_bars(spark, d).withColumn("s", change(F.col("close"), 20))
-    blocks = splits.date_blocks(b)
-    out = None
-    for h in (5, 21, 63):
-        x = b.withColumn("r", F.lead("close", h + 1).over(series()) / F.lead("close", 1).over(series()) - 1).join(blocks, "date")
-        for part, where in (("design", "block % 2 = 0"), ("confirm", "block % 2 = 1"), ("all", "true")):
-            one = stats.hit_rate(x.where(where), "s", "r").crossJoin(stats.rank_ic(x.where(where), "s", "r").agg(F.avg("ic").alias("ic"), F.avg("t").alias("t"))).select(F.lit(h).alias("horizon"), F.lit(part).alias("part"), "*")
-            out = one if out is None else out.unionByName(one)
-    return rounded(out, ["horizon", "part", "n", "rate", "ic", "t"], 5)
+    lead = lambda n: F.lead("close", n).over(series())
+    b = b.withColumns({f"r{h}": lead(h + 1) / lead(1) - 1 for h in (5, 21, 63)})
+    x = b.select("symbol", "date", "s", F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"r{h}").alias("r")) for h in (5, 21, 63)])).alias("h")).select("symbol", "date", "s", "h.*").where("s is not null and r is not null")
+    day = Window.partitionBy("horizon", "date")
+    rank = lambda c: F.rank().over(day.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("horizon", "date", c)) - 1) / 2
+    med = lambda c: F.percentile(c, F.lit(0.5)).over(day)
+    x = x.withColumns({"ks": rank("s"), "kr": rank("r"), "ok": ((F.col("s") > med("s")) == (F.col("r") > med("r"))).cast("double")})
+    daily = x.groupBy("horizon", "date").agg(F.count(F.lit(1)).alias("k"), F.sum("ok").alias("ok"), F.corr("ks", "kr").alias("ic"))
+    daily = daily.withColumn("ic", F.when((F.col("k") >= 3) & ~F.isnan("ic"), F.col("ic"))).join(splits.date_blocks(b).select("date", "block"), "date")
+    part = F.explode(F.array(F.lit("all"), F.when(F.col("block") % 2 == 0, "design").otherwise("confirm")))
+    g = daily.withColumn("part", part).groupBy("horizon", "part").agg(F.sum("k").alias("n"), (F.sum("ok") / F.sum("k")).alias("rate"), F.avg("ic").alias("ic"))
+    return rounded(g, ["horizon", "part", "n", "rate", "ic"], 5)
