@@ -234,8 +234,29 @@ def _linked(percent: int, shingle: int):
     return handle
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root for each end of a link: the least node of its component. Large-star and small-star steps in turn, each kept in the checkpoint folder.
+def _united(schema: pa.Schema):
+    """Components of the links of one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = find(a), find(b)
+                root[max(a, b)] = min(a, b)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, schema[0].type), pa.array([find(x) for x in nodes], schema[1].type)], schema=schema)
+
+    return run
+
+
+def components(links: DataFrame, most_rounds: int = 60, few: int = 20_000) -> DataFrame:
+    """node, root for each end of a link: the least node of its component. Large-star and small-star steps in turn, each kept in the checkpoint folder; at most ``few`` links are united in one task instead, with the same result.
 
     A node with very many neighbours is a group of rows that only minima and skew joins see.
     """
@@ -245,8 +266,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     before = mark(edges)
-    if not before[0]:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    if before[0] <= few:
+        kind = edges.schema["u"].dataType.simpleString()
+        arrow = pa.binary() if kind == "binary" else pa.int64()
+        return edges.coalesce(1).mapInArrow(_united(pa.schema([("node", arrow), ("root", arrow)])), f"node {kind}, root {kind}")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
