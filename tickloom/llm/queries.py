@@ -79,6 +79,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import filter_interactions
+
+    return filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
+    "op11_filter_audit": op11_filter_audit,
     "pipeline": pipeline,
 }
 
@@ -158,4 +165,22 @@ l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc
 e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x)
 SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(root) AS component_id, d.doc_id = min(root) AS kept FROM documents d JOIN r ON d.doc_id = r.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
+    "op11_filter_audit": r"""
+WITH letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, k AS step, filter_order[k] AS f, substr(filter_order, 1, k - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+flags AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 10 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN min(t.doc_id) OVER (PARTITION BY x) < t.doc_id THEN 'E' ELSE '' END AS fails FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flags GROUP BY part, fails),
+ran AS (SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS hit, fails = f AS alone, length(translate(fails, before, '')) < length(fails) AS gone FROM cells, steps),
+r AS (SELECT part, filter_order, step, any_value(f) AS f, sum(n) FILTER (WHERE NOT gone AND NOT hit) AS kept, sum(n) FILTER (WHERE NOT gone AND hit) AS removed,
+  sum(n) FILTER (WHERE gone AND hit) AS redundant, sum(n) FILTER (WHERE alone) AS unique_fails, sum(good) FILTER (WHERE NOT gone AND hit) AS good_lost, sum(toxic) FILTER (WHERE NOT gone AND hit) AS toxic_lost
+  FROM ran GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
 }
