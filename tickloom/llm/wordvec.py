@@ -56,9 +56,10 @@ def text_chunks(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[i
 class Words:
     """The words of some rows: ``start`` and ``end`` in the bytes, ``first`` the index of each row's first word (one more at the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, word: np.ndarray = ~SPACE):
+        """``word`` tells of each byte whether it is part of a word."""
         self.data = _LOWER[data] if lower else data
-        word = ~SPACE[self.data]
+        word = word[self.data]
         inner = offsets[1:-1]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
