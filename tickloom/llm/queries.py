@@ -85,6 +85,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_digests
+
+    return fingerprint_digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resampled
 
@@ -107,6 +113,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_near_dedup": op10_near_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_fingerprints": op12_fingerprints,
     "op13_importance_resampling": op13_importance_resampling,
     "pipeline": pipeline,
 }
