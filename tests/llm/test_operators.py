@@ -226,7 +226,7 @@ def brute_mcd(q, share=0.75):
     """(log determinant, center, covariance) of the best start."""
     import numpy as np
 
-    floors = np.diag(np.array(quality_rules.FLOORS) ** 2.0)
+    floors = np.eye(5) * quality_rules.FLOOR**2.0
 
     def log_det(cov):
         return np.linalg.slogdet(cov)[1]
@@ -291,7 +291,7 @@ def test_verdicts_against_numpy(spark):
         lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
         share = lambda x, of, more: half(20 * math.log1p(100 * x / (of + more)))
         doubled = sum(a == b for a, b in zip(w, w[1:]))
-        vectors[i] = np.array([half(100 * math.log((chars + 150) / (n + 30))), share(symbols, n, 20), share(doubled, n, 20), share(dups, lines, 5), share(repeats, n, 20)], float)
+        vectors[i] = np.array([half(100 * math.log((chars + 150) / (n + 30))), share(symbols, n, 20), share(doubled, n, 20), share(max(dups - 1, 0), lines, 5), share(max(repeats - 16, 0), n, 20)], float)
         groups[lang, source].append(i)
         groups[lang, None, "all"].append(i)
     found = {k: brute_mcd(np.array([vectors[i] for i in of])) for k, of in groups.items()}
@@ -316,6 +316,36 @@ def test_repeated_lines_are_judged(spark):
     assert all(got[i] for i, *_ in clean) and not any(got[i] for i, *_ in bad)
 
 
+def test_one_line_that_comes_again_is_kept(spark):
+    """One line in ten is repeated, of any usual length, among texts without repeats."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    say = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    clean = [(i, [say(rng.randint(6, 12)) for _ in range(rng.randint(9, 20))], "en", "s", None) for i in range(300)]
+    texts = [(i, "\n".join([*lines, rng.choice(lines)] if i % 5 == 0 else lines), *rest) for i, lines, *rest in clean]
+    got = quality_rules.quality_digests(spark.createDataFrame(texts, DOCS))
+    assert got.where("n_dup_lines = 1").count() == 60 and got.where("not kept").count() == 0
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    """Beside 300 clean texts, ten that are far out in one statistic only."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(2000)]
+    pick = lambda k: [rng.choice(words) for _ in range(k)]
+    lines = lambda w: "\n".join(" ".join(w[i : i + 10]) for i in range(0, len(w), 10))
+    texts = [lines(pick(rng.randint(80, 200))) for _ in range(300)]
+    for _ in range(10):
+        passage = pick(45)  # twice, with other words between: 90 of 320 words in repeated windows, no line twice
+        texts += [
+            lines(["".join(pick(4)) for _ in range(100)]), lines([w if k % 3 else "|" + w for k, w in enumerate(pick(150))]), lines([w for w in pick(50) for _ in range(2)]),
+            "\n".join(x for _ in range(12) for x in (" ".join(pick(9)), "buy it now")), lines([*pick(37), *passage, *pick(96), *passage, *pick(97)]),
+        ]
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(df).collect()}
+    assert all(got[i].kept for i in range(300)) and not any(got[i].base_failed for i in got)
+    assert not any(got[i].kept for i in range(300, 350)), [((i - 300) % 5, got[i].distance2) for i in range(300, 350) if got[i].kept]
+
+
 def test_quality_odd(spark):
     assert quality_rules.quality_digests(odd(spark)).count() == 7
     assert quality_rules.quality_digests(empty(spark)).count() == 0

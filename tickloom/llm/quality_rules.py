@@ -1,7 +1,8 @@
 """Quality rules with robust multivariate outliers.
 
 Plain rules come first (few words, much repetition). Of what they keep, five transformed statistics
-(mean word length, symbols, words like the one before, lines like an earlier one, words in repeated windows) go to
+(mean word length, symbols, words like the one before, lines like an earlier one, words in repeated windows; of the last two what goes
+beyond one repeated line and one repeated window, since one line that comes again is no fault) go to
 minimum-covariance-determinant estimates for each language and source, and for each language. Concentration steps take the
 mean and covariance of the ``share`` of documents with the least Mahalanobis distances, from three starts: medians and median
 deviations; the same with correlations of hyperbolic tangents of robust scores; mean and covariance of all. Steps go on while
@@ -31,9 +32,9 @@ from .runtime import WORD_PATTERN, checkpointed, packed, row_key, unpacked
 
 #: n_words below this fail.
 LEAST_WORDS = 20
-#: Floors of standard deviations of the transformed statistics, in their units. Repeated lines and repeated words are
-#: nought in most texts and tell of the same repeat twice, so theirs are wider: one line that comes again is no outlier.
-FLOORS = (6, 8, 10, 15, 15)
+#: The floor of the standard deviations of all transformed statistics, in their units: six of it are the cutoff. For a share that is nought
+#: elsewhere, half a percent is far within and twenty percent beyond; for the mean word length, a factor of 1.83 is.
+FLOOR = 10
 #: What makes the covariance of the nearest 75 % of a five-dimensional normal distribution that of the whole (fixed value).
 CONSISTENCY = 1.412
 #: What chi-square with five degrees exceeds once in a million (fixed value).
@@ -79,13 +80,14 @@ def statistics(docs: DataFrame, window: int = 8) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def transformed(stats: DataFrame) -> DataFrame:
-    """``stats`` with q1 .. q5: logarithms in hundredths (q1) and twentieths. Short texts lean on a few dozen words of five letters without symbols or repeats."""
-    share = lambda x, of, more: F.round(20 * F.log1p(100 * F.col(x) / (F.col(of) + more))).cast("int")
+def transformed(stats: DataFrame, window: int = 8) -> DataFrame:
+    """``stats`` with q1 .. q5: logarithms in hundredths (q1) and twentieths. The first repeated line and the first repeated window do not count. Short texts lean on a few dozen words of five letters without symbols or repeats."""
+    share = lambda x, of, more: F.round(20 * F.log1p(100 * (F.col(x) if isinstance(x, str) else x) / (F.col(of) + more))).cast("int")
     return stats.withColumns(
         {
             "q1": F.round(100 * F.log((F.col("word_chars") + 30 * 5) / (F.col("n_words") + 30))).cast("int"),
-            "q2": share("n_symbols", "n_words", 20), "q3": share("n_doubled", "n_words", 20), "q4": share("n_dup_lines", "n_lines", 5), "q5": share("n_repeat_words", "n_words", 20),
+            "q2": share("n_symbols", "n_words", 20), "q3": share("n_doubled", "n_words", 20),
+            "q4": share(F.greatest(F.col("n_dup_lines") - 1, F.lit(0)), "n_lines", 5), "q5": share(F.greatest(F.col("n_repeat_words") - 2 * window, F.lit(0)), "n_words", 20),
         }
     )
 
@@ -130,7 +132,7 @@ def _sums(weight: str, x: list[str]) -> list[Column]:
 
 def _moments(factor: float) -> list[Column]:
     """m and s, with floors, from the sums."""
-    cov = [F.expr(f"{factor}D * (p{i}{j} / h - a{i} / h * (a{j} / h)) + {float(FLOORS[i] ** 2) if i == j else 0.0}D").alias(n) for (i, j), n in zip(_PAIRS, _S)]
+    cov = [F.expr(f"{factor}D * (p{i}{j} / h - a{i} / h * (a{j} / h)) + {float(FLOOR**2) if i == j else 0.0}D").alias(n) for (i, j), n in zip(_PAIRS, _S)]
     return [*[F.expr(f"a{i} / h").alias(n) for i, n in enumerate(_M)], *cov]
 
 
@@ -151,7 +153,7 @@ def _starts(cells: DataFrame) -> DataFrame:
     groups = middle.count()
     deviations = [F.expr(f"1.4826D * percentile(abs({q} - {m}), 0.5D, w)").alias(f"d{i}") for i, (q, m) in enumerate(zip(_Q, _M))]
     spread = _beside(cells, middle, ["group"], groups).groupBy("group").agg(F.max("n").alias("n"), *[F.max(m).alias(m) for m in _M], *deviations)
-    spread = checkpointed(spread.withColumns({f"d{i}": F.expr(f"sqrt(d{i} * d{i} + {float(FLOORS[i] ** 2)}D)") for i in range(_P)}))
+    spread = checkpointed(spread.withColumns({f"d{i}": F.expr(f"sqrt(d{i} * d{i} + {float(FLOOR**2)}D)") for i in range(_P)}))
     plain = spread.select("group", F.lit(0).alias("start"), "n", *_M, *[F.expr(f"d{i} * d{i}" if i == j else "0D").alias(f"s{i}{j}") for i, j in _PAIRS])
     scores = [F.expr(f"cast(round(1000 * tanh(({q} - {m}) / d{i})) as long)").alias(f"t{i}") for i, (q, m) in enumerate(zip(_Q, _M))]
     sums = _beside(cells, spread, ["group"], groups).select("group", "w", *scores).groupBy("group").agg(*_sums("w", [f"t{i}" for i in range(_P)]))
