@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import kept
 from ..functions.rolling import change, rolling, series
 from ..operators import backtest as bt
-from ..operators import calendar, crosssection, labels, models, patterns, signals, splits, stats
+from ..operators import boosting, calendar, crosssection, labels, models, patterns, signals, splits, stats
 from ..operators import indicators as ind
 from ..sources.bars import trade_bars
 from .base import ORACLE_SQL, query, rounded, sql_ewm, sql_ewm_seeded, with_bars
@@ -537,6 +537,37 @@ def _(spark, d):
     return rounded(stats.confusion_metrics(said, "y", "guess", ("fold",)), ["fold", "n", "accuracy", "macro_f1", "majority"], 5)
 
 
+#: The family of each column of the feature table, in the table's order.
+_FAMILY_OF = dict(zip(ind.CONTINUOUS, ["momentum"] * 5 + ["trend"] * 5 + ["volatility"] * 8 + ["volume"] * 4)) | dict(zip([f"vote_{v}" for v in ind.VOTES], ["momentum"] * 4 + ["trend"] * 3 + ["volatility"] * 3 + ["volume"] * 3))
+
+
+def _feature_data(spark, d):
+    """symbol, date, y and the 35 columns of the feature table; folds of the labels."""
+    b = kept(trade_bars(spark, d))
+    lab = kept(splits.with_window_end(labels.triple_barrier(b).where("dropped_reason is null"), calendar.trading_calendar(b)))
+    data = models.indexed(lab.select("symbol", "date", "label")).join(ind.feature_table(b), ["symbol", "date"])
+    return data, splits.folds(lab, fold_ranges(spark), calendar.trading_calendar(b))
+
+
+@query("mod02_softmax_boosting")
+def _(spark, d):
+    """Softmax boosting on the feature table: every test row's three probabilities, all folds grown together."""
+    data, assigned = _feature_data(spark, d)
+    said = boosting.boosted_predictions(data, assigned, list(_FAMILY_OF), rounds=6, depth=3)
+    return rounded(said, ["fold", "symbol", "date", "y", "guess", "p_down", "p_flat", "p_up"], 4)
+
+
+@query("mod07_family_importance")
+def _(spark, d):
+    """Which family of columns the boosted trees gain by, and each column's share, fold by fold."""
+    data, assigned = _feature_data(spark, d)
+    _, nodes = boosting.boosted_rows(data, assigned, list(_FAMILY_OF), rounds=3, depth=3)
+    whole = boosting.gain_shares(nodes, _FAMILY_OF).withColumnRenamed("feature", "family").withColumnRenamed("importance", "family_share")
+    each = boosting.gain_shares(nodes)
+    family = F.create_map(*[F.lit(x) for pair in _FAMILY_OF.items() for x in pair])
+    return rounded(each.withColumn("family", F.element_at(family, F.col("feature"))).join(whole, ["fold", "family"]), ["fold", "family", "feature", "importance", "family_share"], 4)
+
+
 @query("mod07_importance")
 def _(spark, d):
     data, ends, cal = _model_data(spark, d)
