@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ewm import ewm
 from ..functions.rolling import change, extreme_before, filled, nonzero, past, rolling, rolling_rank, section_zscore, series, so_far, true_range, zscore
+from ..functions.scans import affine
 
 def _rsi_of(up: str, down: str) -> Column:
     return F.when(F.col(down) > 0, 100 - 100 / (1 + F.col(up) / F.col(down))).when(F.col(up) > 0, 100.0)
@@ -152,30 +149,17 @@ def efficiency(df: DataFrame, n: int = 10) -> DataFrame:
     return df.withColumn("er", F.abs(F.col("close") - F.lag("close", n).over(series())) / nonzero(rolling(F.sum, F.col("tl_m"), n))).drop("tl_m")
 
 
-def kama_values(close: np.ndarray, er: np.ndarray, n: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
-    """Kaufman's mean: it starts at index n - 1 with the close; the smoothing follows the efficiency ratio. None for n bars or fewer."""
-    out = np.full(len(close), np.nan)
-    if len(close) <= n:
-        return out
-    quick, late = 2 / (fast + 1), 2 / (slow + 1)
-    out[n - 1] = close[n - 1]
-    for i in range(n, len(close)):
-        e = 0.0 if np.isnan(er[i]) else er[i]
-        c = (e * (quick - late) + late) ** 2
-        out[i] = out[i - 1] + c * (close[i] - out[i - 1])
-    return out
-
-
 def kama(df: DataFrame, n: int = 10, fast: int = 2, slow: int = 30) -> DataFrame:
-    """kama, kama_slope (change over one bar). Each value needs the one before it with another weight: a grouped map over symbols."""
-    df = efficiency(df, n)
-    schema = df.withColumn("kama", F.lit(0.0)).schema.simpleString()[len("struct<") : -1]  # all columns can be NULL
+    """kama, kama_slope (change over one bar): Kaufman's mean, whose smoothing follows the efficiency ratio.
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        return pdf.assign(kama=kama_values(pdf["close"].to_numpy(float), pdf["er"].to_numpy(float), n, fast, slow))
-
-    df = df.groupBy("symbol").applyInPandas(each, schema).withColumn("kama", F.when(~F.isnan("kama"), F.col("kama")))
+    It starts on bar n with the close, and is NULL for symbols of n bars or fewer. A step is the affine map y + c (close - y).
+    """
+    df = efficiency(df, n)
+    quick, late = 2 / (fast + 1), 2 / (slow + 1)
+    c = F.pow(F.coalesce("er", F.lit(0.0)) * (quick - late) + late, F.lit(2))
+    df = df.withColumns({"tl_i": F.row_number().over(series()), "tl_rows": F.count(F.lit(1)).over(Window.partitionBy("symbol")), "tl_c": c})
+    start = F.when((F.col("tl_i") == n) & (F.col("tl_rows") > n), F.col("close"))
+    df = affine(df, 1 - F.col("tl_c"), F.col("tl_c") * F.col("close"), start, "kama").drop("tl_i", "tl_rows", "tl_c")
     return df.withColumn("kama_slope", F.col("kama") - F.lag("kama").over(series()))
 
 

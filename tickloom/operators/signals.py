@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import change, extreme_before, series, so_far, zscore
+from ..functions.scans import machine
 from . import indicators as ind
 
 def hysteresis(enter: Column, leave: Column, known: Column) -> Column:
@@ -21,20 +21,12 @@ def hysteresis(enter: Column, leave: Column, known: Column) -> Column:
 def toggles(df: DataFrame, enter: str, leave: str, out: str, known: str | None = None) -> DataFrame:
     """A machine whose enter and leave can hold on one bar: out of the market only enter counts, in it only leave.
 
-    The state depends on the state before, so each symbol is a grouped map.
+    Each bar is one of four maps of the state: out where the input is missing or only leave holds, in where only enter does, the other state
+    where both do, and no change.
     """
-    schema = df.withColumn(out, F.lit(0).cast("int")).schema.simpleString()[len("struct<") : -1]
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        state, states = 0, []
-        there = [True] * len(pdf) if known is None else pdf[known].fillna(False).astype(bool).tolist()
-        for e, x, k in zip(pdf[enter].fillna(False).astype(bool), pdf[leave].fillna(False).astype(bool), there):
-            state = 0 if not k else (0 if x else 1) if state else int(e)
-            states.append(state)
-        return pdf.assign(**{out: pd.array(states, "int32")})
-
-    return df.groupBy("symbol").applyInPandas(each, schema)
+    there = F.lit(True) if known is None else F.coalesce(F.col(known), F.lit(False))
+    e, x = (F.coalesce(F.col(c).cast("boolean"), F.lit(False)) for c in (enter, leave))
+    return machine(df, e & ~x, ~there | (x & ~e), e & x, out)
 
 
 def flag(rule: Column) -> Column:

@@ -43,6 +43,11 @@ def with_bars(rest: str) -> str:
     return f"WITH {BARS}{' ' if rest.lstrip().upper().startswith('SELECT') else ', '}{rest}"
 
 
+def recursive(sql: str) -> str:
+    """``sql``, which begins with WITH, with tables that may refer to themselves."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """The columns of the result; doubles are rounded, since the order of a sum is not fixed."""
     kinds = dict(df.dtypes)

@@ -9,7 +9,7 @@ from ..functions import rolling as r
 from ..functions.ewm import ewm
 from ..operators import indicators as ind
 from ..sources.bars import trade_bars
-from .base import query, rounded, sql_ewm, sql_ewm_seeded, sql_ewm_weighted, sql_rounded, with_bars
+from .base import query, recursive, rounded, sql_ewm, sql_ewm_seeded, sql_ewm_weighted, sql_rounded, with_bars
 
 _W = "OVER (PARTITION BY symbol ORDER BY date)"
 
@@ -224,7 +224,14 @@ def _(spark, d):
     return df.select("symbol", "date", F.when(F.col("window").isNotNull(), F.size("window")).alias("n_rows"), total(0).alias("sum_x"), total(1).alias("sum_y"))
 
 
-@query("ind22_kama")
+@query(
+    "ind22_kama",
+    recursive(with_bars(f"""a AS (SELECT symbol, date, close, row_number() {_W} AS i, count(*) OVER (PARTITION BY symbol) AS n, abs(close - lag(close, 10) {_W}) AS d, abs(close - lag(close) {_W}) AS m FROM bars),
+e AS MATERIALIZED (SELECT *, d / nullif({_roll('sum', 'm', 10)}, 0) AS er FROM a),
+k(symbol, i, kama) AS (SELECT symbol, i, close FROM e WHERE i = 10 AND n > 10
+  UNION ALL SELECT e.symbol, e.i, k.kama + pow(coalesce(er, 0) * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) * (close - k.kama) FROM k JOIN e ON e.symbol = k.symbol AND e.i = k.i + 1)
+SELECT e.symbol, e.date, round(er, 6) AS er, round(kama, 6) AS kama, round(kama - lag(kama) OVER (PARTITION BY e.symbol ORDER BY e.date), 6) AS kama_slope FROM e LEFT JOIN k ON e.symbol = k.symbol AND e.i = k.i""")),
+)
 def _(spark, d):
     return rounded(ind.kama(trade_bars(spark, d)), ["symbol", "date", "er", "kama", "kama_slope"])
 

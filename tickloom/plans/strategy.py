@@ -11,8 +11,8 @@ from ..operators import backtest as bt
 from ..operators import boosting, calendar, crosssection, labels, models, patterns, signals, splits, stats
 from ..operators import indicators as ind
 from ..sources.bars import trade_bars
-from .base import ORACLE_SQL, query, rounded, sql_ewm, sql_ewm_seeded, with_bars
-from .indicators import _K, _N, _R14, _RSI, _W, _frame, _roll, _rsi_sql, _z
+from .base import ORACLE_SQL, query, recursive, rounded, sql_ewm, sql_ewm_seeded, with_bars
+from .indicators import _B10, _K, _N, _R14, _RSI, _W, _frame, _roll, _rsi_sql, _z
 from .market import _LABELS, fold_ranges
 
 _RSI_SIGNAL = f"""{_RSI}, m AS (SELECT symbol, date, i, {sql_ewm('u', 1 / 14)} AS u, {sql_ewm('n', 1 / 14)} AS n FROM g),
@@ -122,17 +122,38 @@ def _(spark, d):
     return signals.rsi_rules(trade_bars(spark, d)).select("symbol", "date", "sig_rsi_ema20", "sig_rsi_ema50", "sig_ema20")
 
 
-@query("sig07_divergence")
+def _machine_sql(source: str) -> str:
+    """Tables cd, st after ``source`` (symbol, date, known, enter, leave): the states of a machine whose enter and leave can both hold, bar by bar."""
+    return f"""cd AS MATERIALIZED (SELECT symbol, date, row_number() {_W} AS i, coalesce(known, false) AS k, coalesce(enter, false) AS e, coalesce(leave, false) AS x FROM {source}),
+st(symbol, i, s) AS (SELECT symbol, i, CAST(k AND e AS INTEGER) FROM cd WHERE i = 1
+  UNION ALL SELECT cd.symbol, cd.i, CASE WHEN NOT k THEN 0 WHEN st.s = 1 THEN CAST(NOT x AS INTEGER) ELSE CAST(e AS INTEGER) END FROM st JOIN cd ON cd.symbol = st.symbol AND cd.i = st.i + 1)"""
+
+
+def _turns_sql(source: str) -> str:
+    """Table tn after ``source`` (symbol, date, rsi, ...): m_top and w_bottom by lists of turning points."""
+    rule = lambda ends, near, less, out: f"coalesce(i > 27 AND {ends}[-2].v {less} {near} AND {ends}[-1].v {less} {near} AND {out}, false)"
+    between = lambda ends, others, best: f"list_aggregate(list_transform(list_filter({others}, lambda p: p.n > {ends}[-2].n AND p.n < {ends}[-1].n), lambda p: p.v), '{best}')"
+    top = rule("his", 60, ">", f"his[-1].v <= his[-2].v + 1 AND rsi < {between('his', 'los', 'min')}")
+    bottom = rule("los", 40, "<", f"los[-1].v >= los[-2].v - 1 AND rsi > {between('los', 'his', 'max')}")
+    return f"""tp AS (SELECT *, row_number() {_W} AS i, rsi >= lag(rsi) {_W} AND rsi >= lead(rsi) {_W} AS hi, rsi <= lag(rsi) {_W} AND rsi <= lead(rsi) {_W} AS lo FROM {source}),
+tl AS (SELECT *, list({{'n': i, 'v': rsi}}) FILTER (WHERE hi) OVER f AS his, list({{'n': i, 'v': rsi}}) FILTER (WHERE lo) OVER f AS los FROM tp WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 25 PRECEDING AND 2 PRECEDING)),
+tn AS (SELECT *, {top} AS m_top, {bottom} AS w_bottom FROM tl)"""
+
+
+@query("sig07_divergence", recursive(with_bars(f"""{_R14}, dv AS (SELECT symbol, date, rsi IS NOT NULL AS known, rsi > 60 AS leave,
+  CASE WHEN count(close) {_B10} = 10 THEN close < min(close) {_B10} END AND CASE WHEN count(rsi) {_B10} = 10 THEN rsi > min(rsi) {_B10} END AS enter FROM r),
+{_machine_sql('dv')} SELECT cd.symbol, cd.date, st.s AS sig_div FROM cd JOIN st ON cd.symbol = st.symbol AND cd.i = st.i""")))
 def _(spark, d):
     return signals.divergence_rule(trade_bars(spark, d)).select("symbol", "date", "sig_div")
 
 
-@query("sig08_configurable")
+@query("sig08_configurable", recursive(with_bars(f"""{_R14}, {_turns_sql('r')}, cf AS (SELECT symbol, date, rsi IS NOT NULL AS known, coalesce(rsi < 40 OR rsi > 80, false) OR m_top AS leave, (coalesce(rsi > 60, false) OR w_bottom) AND close > e20 AS enter FROM tn),
+{_machine_sql('cf')} SELECT cd.symbol, cd.date, st.s AS sig_conf FROM cd JOIN st ON cd.symbol = st.symbol AND cd.i = st.i""")))
 def _(spark, d):
     return signals.configurable_rule(trade_bars(spark, d), 60.0, 40.0, 80.0, entry_on_w=True, exit_on_m=True, above_ema=20).select("symbol", "date", "sig_conf")
 
 
-@query("sig09_double_tops")
+@query("sig09_double_tops", with_bars(f"{_RSI_SIGNAL}, {_turns_sql('rr')} SELECT symbol, date, m_top, w_bottom FROM tn WHERE m_top OR w_bottom"))
 def _(spark, d):
     return signals.double_tops(ind.rsi(trade_bars(spark, d)), "rsi").where("m_top or w_bottom").select("symbol", "date", "m_top", "w_bottom")
 
