@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import nonzero, run_id, series
 from .adjust import STRUCTURAL, usable
+from .ranges import within
 
 
 def trading_calendar(bars: DataFrame, special: DataFrame | None = None) -> DataFrame:
@@ -173,10 +174,10 @@ def violations(bars: DataFrame, calendar: DataFrame, eps: float = 1e-6) -> DataF
 
 
 def uncovered_moves(bars: DataFrame, actions: DataFrame, threshold: float = 0.15, days: int = 3) -> DataFrame:
-    """symbol, date, move: moves of at least the threshold without an action within so many calendar days. A band join within the symbol."""
+    """symbol, date, move: moves of at least the threshold without an action within so many calendar days: a band join by buckets of days."""
     moves = bars.withColumn("move", F.col("close") / nonzero(F.lag("close").over(series())) - 1).where(F.abs("move") >= threshold).select("symbol", "date", "move")
-    a = actions.select(F.col("symbol").alias("s"), "ex_date").distinct()
-    return moves.join(a, (F.col("symbol") == F.col("s")) & (F.abs(F.datediff("date", "ex_date")) <= days), "left_anti")
+    near = actions.select("symbol", F.date_sub("ex_date", days).alias("tl_from"), F.date_add("ex_date", days).alias("tl_to")).distinct()
+    return within(moves, near, ["symbol"], "date", "tl_from", "tl_to", 2 * days + 2, "left_anti")
 
 
 def validation(bars: DataFrame, calendar: DataFrame, actions: DataFrame) -> DataFrame:
@@ -196,8 +197,8 @@ def label_check(labelled: DataFrame, bars: DataFrame, horizon: int = 10) -> Data
     """symbol, date, problem of labels that their bars do not bear out: a touched bar that does not reach its barrier, a Sideways window that does."""
     at = bars.select("symbol", "date", F.row_number().over(series()).alias("i"), "high", "low")
     rows = labelled.where("dropped_reason is null").join(at.select("symbol", "date", "i"), ["symbol", "date"])
-    later = at.select(F.col("symbol").alias("s"), F.col("i").alias("j"), F.col("date").alias("d"), "high", "low")
-    met = rows.join(later, (F.col("symbol") == F.col("s")) & F.col("j").between(F.col("i") + 1, F.col("i") + horizon))
+    later = at.select("symbol", F.col("i").alias("j"), F.col("date").alias("d"), "high", "low")
+    met = within(later, rows.withColumns({"tl_from": F.col("i") + 1, "tl_to": F.col("i") + horizon}), ["symbol"], "j", "tl_from", "tl_to", 4 * horizon)
     hit = (F.col("high") >= F.col("upper_barrier")) | (F.col("low") <= F.col("lower_barrier"))
     g = met.groupBy("symbol", "date", "label", "touch_date").agg(F.max((hit & (F.col("d") == F.col("touch_date"))).cast("int")).alias("touched"), F.max(hit.cast("int")).alias("any"))
     problem = F.when((F.col("label") == "Sideways") & (F.col("any") == 1), "sideways_touches").when((F.col("label") != "Sideways") & (F.coalesce("touched", F.lit(0)) == 0), "touch_not_there")

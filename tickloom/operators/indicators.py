@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ewm import ewm
-from ..functions.rolling import change, extreme_before, filled, nonzero, past, rolling, rolling_rank, section_zscore, series, so_far, true_range, zscore
+from ..functions.orderstats import Rolling, rolling_order
+from ..functions.rolling import change, extreme_before, filled, nonzero, past, rolling, section_zscore, series, so_far, true_range, zscore
 from ..functions.scans import affine
 
 def _rsi_of(up: str, down: str) -> Column:
@@ -266,7 +267,7 @@ def votes(df: DataFrame) -> DataFrame:
     df = rsi(stochastic(cci(williams_r(df))), 14, "v_r", "seeded")
     df = adx(macd(ema(ema(df, 20, "v_e20"), 50, "v_e50"), prefix="v_m"))
     df = accumulation(obv(keltner(bollinger(atr_seeded(df, 14, "v_a")))))
-    df = volume_weighted_move(df, 20, "v_w").withColumn("v_rank", rolling_rank(F.col("v_a") / nonzero(F.col("close")), 252, 60)).withColumn("v_ad", F.lag("ad", 20).over(series()))
+    df = rolling_order(volume_weighted_move(df, 20, "v_w"), {"v_rank": Rolling("rank", F.col("v_a") / nonzero(F.col("close")), 252, 60)}).withColumn("v_ad", F.lag("ad", 20).over(series()))
 
     def vote(up: Column, down: Column | None = None) -> Column:
         out = F.when(up, 1)

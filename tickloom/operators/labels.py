@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rolling import nonzero, section_median, section_rank, series
 from .indicators import atr_mean
+from .ranges import within
 
 
 def triple_barrier(df: DataFrame, up: float = 2.0, down: float = 1.0, horizon: int = 10, n_atr: int = 14, purge: DataFrame | None = None, truncate: DataFrame | None = None) -> DataFrame:
@@ -23,8 +24,8 @@ def triple_barrier(df: DataFrame, up: float = 2.0, down: float = 1.0, horizon: i
     df = df.withColumn("upper_barrier", F.col("close") + up * F.col("atr")).withColumn("lower_barrier", F.col("close") - down * F.col("atr"))
     df = df.join(truncate, "symbol", "left") if truncate is not None else df.withColumn("truncate_at", F.lit(None).cast("date"))
     if purge is not None:
-        inside = purge.select(F.col("symbol").alias("ps"), "start", "stop")
-        hit = df.join(inside, (F.col("symbol") == F.col("ps")) & F.col("date").between(F.col("start"), F.col("stop")), "left_semi").select(F.col("symbol").alias("hs"), F.col("date").alias("hd")).distinct()
+        inside = within(df.select("symbol", "date"), purge.select("symbol", "start", "stop"), ["symbol"], "date", "start", "stop", 32, "left_semi")
+        hit = inside.select(F.col("symbol").alias("hs"), F.col("date").alias("hd")).distinct()
         df = df.join(hit, (F.col("symbol") == F.col("hs")) & (F.col("date") == F.col("hd")), "left").withColumn("tl_p", F.col("hs").isNotNull()).drop("hs", "hd")
     else:
         df = df.withColumn("tl_p", F.lit(False))
@@ -80,13 +81,13 @@ def outcomes(df: DataFrame, direction: int = 1, k: float = 1.0, horizon: int = 2
 def measured_moves(events: DataFrame, bars: DataFrame, horizon: int = 60) -> DataFrame:
     """``events`` (symbol, pattern, date, dir, stop, target) with result, exit_day, ret: filled at the next open, at most ``horizon`` bars on.
 
-    Events meet bars by symbol and place in the series; only events' bars are read, and a minimum picks the first touch.
+    Events meet bars by symbol and bucket of places in the series, so an event is compared with the bars near it only; a minimum picks the first touch.
     """
     s = Window.partitionBy("symbol").orderBy("date")
     placed = bars.select("symbol", "date", "open", "high", "low", "close", F.row_number().over(s).alias("i"))
     of = events.join(placed.select("symbol", "date", F.col("i").alias("t")), ["symbol", "date"])
-    later = placed.select(F.col("symbol").alias("s2"), F.col("i"), "open", "high", "low", "close")
-    rows = of.join(later, (F.col("symbol") == F.col("s2")) & (F.col("i") > F.col("t")) & (F.col("i") <= F.col("t") + horizon))
+    later = placed.select("symbol", "i", "open", "high", "low", "close")
+    rows = within(later, of.withColumns({"tl_from": F.col("t") + 1, "tl_to": F.col("t") + horizon}), ["symbol"], "i", "tl_from", "tl_to", horizon)
     up = F.col("dir") > 0
     beyond = (F.col("i") > F.col("t") + 1) & F.when(up, F.col("open") >= F.col("target")).otherwise(F.col("open") <= F.col("target"))
     stopped = F.when(up, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))

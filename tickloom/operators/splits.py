@@ -53,13 +53,16 @@ def date_blocks(samples: DataFrame, n: int = 10) -> DataFrame:
     return samples.select("date").distinct().withColumn("step", F.row_number().over(s) - 1).withColumn("block", F.ntile(n).over(s) - 1)
 
 
+def combinatorial_choices(symbols: list[str], blocks: int = 10, test_blocks: int = 2, holdouts: int = 4, share: float = 0.3, seed: int = 0) -> list[tuple[tuple[int, ...], tuple[str, ...]]]:
+    """(test blocks, held-out symbols) of each path: every choice of blocks with several random sets of symbols, seeded."""
+    rng, names = random.Random(seed), sorted(symbols)
+    return [(pair, tuple(rng.sample(names, max(1, round(len(names) * share))))) for pair, _ in itertools.product(itertools.combinations(range(blocks), test_blocks), range(holdouts))]
+
+
 def combinatorial_plan(spark: SparkSession, symbols: list[str], blocks: int = 10, test_blocks: int = 2, holdouts: int = 4, share: float = 0.3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(plan: path, block; held: path, symbol): every choice of test blocks with several random sets of held-out symbols. Drawn on the driver, seeded."""
-    rng, plan, held = random.Random(seed), [], []
-    names = sorted(symbols)
-    for path, (pair, k) in enumerate(itertools.product(itertools.combinations(range(blocks), test_blocks), range(holdouts))):
-        plan += [(path, b) for b in pair]
-        held += [(path, s) for s in rng.sample(names, max(1, round(len(names) * share)))]
+    """(plan: path, block; held: path, symbol) of ``combinatorial_choices``."""
+    choices = combinatorial_choices(symbols, blocks, test_blocks, holdouts, share, seed)
+    plan, held = [(path, b) for path, (pair, _) in enumerate(choices) for b in pair], [(path, s) for path, (_, out) in enumerate(choices) for s in out]
     return spark.createDataFrame(plan, "path int, block int"), spark.createDataFrame(held, "path int, symbol string")
 
 

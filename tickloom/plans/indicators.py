@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rolling as r
 from ..functions.ewm import ewm
+from ..functions.orderstats import Rolling, rolling_order
 from ..operators import indicators as ind
 from ..sources.bars import trade_bars
 from .base import query, recursive, rounded, sql_ewm, sql_ewm_seeded, sql_ewm_weighted, sql_rounded, with_bars
@@ -289,7 +290,8 @@ SELECT symbol, date, round(CASE WHEN len(l) >= 10 THEN list_aggregate(l, 'quanti
 )
 def _(spark, d):
     c = F.col("close")
-    return trade_bars(spark, d).select("symbol", "date", F.round(r.rolling_median(c, 60, 10), 6).alias("med"), F.round(r.rolling_rank(c, 60, 30), 6).alias("rnk"))
+    df = rolling_order(trade_bars(spark, d).select("symbol", "date", "close"), {"med": Rolling("median", c, 60, 10), "rnk": Rolling("rank", c, 60, 30)})
+    return rounded(df, ["symbol", "date", "med", "rnk"])
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import adjust, calendar, labels, splits
+from ..operators import adjust, calendar, labels, ranges, splits
 from ..operators.indicators import atr_wilder, safe_ratio
 from ..sources import bars as src
 from ..sources.bars import trade_bars
@@ -171,8 +171,8 @@ def _(spark, d):
 
 @query("joi13_18_purged", with_bars(f"{ACTIONS} SELECT symbol, count(*) AS n FROM bars b WHERE EXISTS (SELECT 1 FROM actions a WHERE a.symbol = b.symbol AND a.action_type <> 'dividend' AND b.date BETWEEN a.ex_date - 18 AND a.ex_date) GROUP BY symbol"))
 def _(spark, d):
-    p = calendar.purge_windows(actions(spark)).select(F.col("symbol").alias("s"), "start", "stop")
-    return trade_bars(spark, d).join(p, (F.col("symbol") == F.col("s")) & F.col("date").between(F.col("start"), F.col("stop")), "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    p = calendar.purge_windows(actions(spark)).select("symbol", "start", "stop")
+    return ranges.within(trade_bars(spark, d), p, ["symbol"], "date", "start", "stop", 32, "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("joi14_val07_uncovered_moves", with_bars(f"{ACTIONS}, m AS (SELECT symbol, date, close / lag(close) {_W} - 1 AS move FROM bars) SELECT symbol, date, round(move, 6) AS move FROM m WHERE abs(move) >= 0.15 AND NOT EXISTS (SELECT 1 FROM actions a WHERE a.symbol = m.symbol AND abs(date_diff('day', m.date, a.ex_date)) <= 3)"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import kept
 from ..functions.rolling import change, rolling, series
 from ..operators import backtest as bt
-from ..operators import boosting, calendar, crosssection, labels, models, patterns, signals, splits, stats
+from ..operators import boosting, calendar, crosssection, labels, models, paths, patterns, signals, splits, stats
 from ..operators import indicators as ind
 from ..sources.bars import trade_bars
 from .base import ORACLE_SQL, query, recursive, rounded, sql_ewm, sql_ewm_seeded, with_bars
@@ -628,6 +628,42 @@ def _(spark, d):
     return spark.createDataFrame([(k, round(v, 6)) for k, v in beta.items()], "name string, coefficient double")
 
 
+_SYMBOLS = [f"NATION_{i}" for i in range(25)]
+#: Every two of ten blocks, four sets of held-out symbols each: 180 paths.
+_PATHS = splits.combinatorial_choices(_SYMBOLS, 10, 2, 4, 0.3, 5)
+_PATH_VALUES = ", ".join(f"({p}, {t[0]}, {t[1]}, {[int(s.removeprefix('NATION_')) for s in h]})" for p, (t, h) in enumerate(_PATHS))
+
+
+@query("mod05_path_ridge", with_bars(f"""pl(path, t0, t1, held) AS (VALUES {_PATH_VALUES}), f AS (SELECT symbol, date, close / lag(close, 5) {_W} - 1 AS x, close / lag(close, 20) {_W} - 1 AS z, lead(close, 5) {_W} / close - 1 AS y FROM bars),
+g AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS step, ntile(10) OVER (ORDER BY date) - 1 AS block FROM (SELECT DISTINCT date FROM bars)),
+o AS MATERIALIZED (SELECT CAST(substr(symbol, 8) AS INTEGER) AS k, step, x, z, y FROM f JOIN g ON f.date = g.date WHERE x IS NOT NULL AND z IS NOT NULL AND y IS NOT NULL), e AS (SELECT block, min(step) AS lo, max(step) AS hi FROM g GROUP BY block),
+b AS (SELECT path, held, a.lo - 6 AS lo0, a.hi + 6 AS hi0, c.lo - 6 AS lo1, c.hi + 6 AS hi1 FROM pl JOIN e a ON a.block = t0 JOIN e c ON c.block = t1),
+m AS (SELECT path, count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) * count(*) + 100 AS xx, var_pop(z) * count(*) + 100 AS zz, covar_pop(x, z) * count(*) AS xz, covar_pop(x, y) * count(*) AS xy, covar_pop(z, y) * count(*) AS zy
+  FROM b JOIN o ON NOT (step BETWEEN lo0 AND hi0) AND NOT (step BETWEEN lo1 AND hi1) AND NOT list_contains(held, k) GROUP BY path),
+c AS (SELECT *, (zz * xy - xz * zy) / (xx * zz - xz * xz) AS bx, (xx * zy - xz * xy) / (xx * zz - xz * xz) AS bz FROM m)
+SELECT path, n, round(my - mx * bx - mz * bz, 6) AS intercept, round(bx, 6) AS beta_x, round(bz, 6) AS beta_z FROM c"""))
+def _(spark, d):
+    """Ridge of two returns on 180 paths, from one pass over the panel."""
+    b = kept(trade_bars(spark, d).select("symbol", "date", "close"))
+    c = F.col("close")
+    df = b.withColumns({"x": change(c, 5), "z": change(c, 20), "y": F.lead("close", 5).over(series()) / c - 1})
+    fitted = paths.path_ridge(paths.path_sums(paths.cells(df, splits.date_blocks(b), ["x", "z", "y"]), _PATHS), 2)
+    return rounded(fitted.select("path", "n", "intercept", F.get("beta", F.lit(0)).alias("beta_x"), F.get("beta", F.lit(1)).alias("beta_z")), ["path", "n", "intercept", "beta_x", "beta_z"])
+
+
+@query("mod05_path_scores")
+def _(spark, d):
+    """24 ranked features, weekly: what ridge and plain momentum are worth on the held-out symbols of each of 180 paths."""
+    b = kept(trade_bars(spark, d))
+    weekly = splits.date_blocks(b).where("step % 5 = 0").select("date")
+    panel = crosssection.ranked(crosssection.raw_features(b)).join(labels.forward_return(b).select("symbol", "date", "fwd_ret", "y_rank"), ["symbol", "date"]).join(F.broadcast(weekly), "date")
+    panel, features = kept(panel.select("symbol", "date", *crosssection.FEATURES, "fwd_ret", "y_rank")), list(crosssection.FEATURES)
+    dates = kept(splits.date_blocks(panel))
+    fitted = paths.path_ridge(paths.path_sums(paths.cells(panel, dates, [*features, "y_rank"]), _PATHS), len(features))
+    scored = paths.ridge_scores(paths.path_tests(panel, dates, _PATHS), fitted, features)
+    return rounded(paths.path_quality(scored, {"ridge": "score", "momentum": "mom_12_1"}), ["path", "model", "n", "accuracy", "rank_ic"], 5)
+
+
 @query("mod06_regressors")
 def _(spark, d):
     df = trade_bars(spark, d).withColumn("x", change(F.col("close"), 5)).withColumn("z", change(F.col("close"))).withColumn("y", F.lead("close").over(series()) / F.col("close") - 1).na.drop()
