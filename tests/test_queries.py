@@ -50,7 +50,7 @@ def test_oracle(spark, name):
     assert not unlike, unlike[:2]
 
 
-SLOW = ("mod01_11_prj04_predictions", "mod02_07_boosted_specialist", "mod06_regressors", "mod02_softmax_boosting", "mod07_family_importance", "mod07_importance", "mod07_08_12_ablation", "ind19_cross_section_features", "bkt11_13_family_gate")
+SLOW = ("mod05_path_scores", "mod01_11_prj04_predictions", "mod02_07_boosted_specialist", "mod06_regressors", "mod02_softmax_boosting", "mod07_family_importance", "mod07_importance", "mod07_08_12_ablation", "ind19_cross_section_features", "bkt11_13_family_gate")
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - set(SLOW)))

@@ -654,10 +654,10 @@ def _(spark, d):
 @query("mod05_path_scores")
 def _(spark, d):
     """24 ranked features, weekly: what ridge and plain momentum are worth on the held-out symbols of each of 180 paths."""
-    b = kept(trade_bars(spark, d))
-    weekly = splits.date_blocks(b).where("step % 5 = 0").select("date")
-    panel = crosssection.ranked(crosssection.raw_features(b)).join(labels.forward_return(b).select("symbol", "date", "fwd_ret", "y_rank"), ["symbol", "date"]).join(F.broadcast(weekly), "date")
-    panel, features = kept(panel.select("symbol", "date", *crosssection.FEATURES, "fwd_ret", "y_rank")), list(crosssection.FEATURES)
+    b, features = kept(trade_bars(spark, d)), list(crosssection.FEATURES)
+    weekly = splits.date_blocks(b).where("step % 5 = 0").select("date")  # a row a date
+    raw = kept(crosssection.raw_features(b).select("symbol", "date", *features).join(F.broadcast(weekly), "date"))
+    panel = kept(crosssection.ranked(raw).join(labels.forward_return(b).select("symbol", "date", "fwd_ret", "y_rank"), ["symbol", "date"]))
     dates = kept(splits.date_blocks(panel))
     fitted = paths.path_ridge(paths.path_sums(paths.cells(panel, dates, [*features, "y_rank"]), _PATHS), len(features))
     scored = paths.ridge_scores(paths.path_tests(panel, dates, _PATHS), fitted, features)
