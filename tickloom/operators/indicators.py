@@ -263,11 +263,11 @@ def windows_of(df: DataFrame, columns: list[str], n: int = 60) -> DataFrame:
 
 
 def votes(df: DataFrame) -> DataFrame:
-    """Thirteen votes (1, -1 or 0) of four families. What is missing votes 0. Needs no column but bars'."""
+    """Thirteen votes (1, -1 or 0) of four families. What is missing votes 0. Needs no column but bars'. Running sums that agree in six digits are a tie."""
     df = rsi(stochastic(cci(williams_r(df))), 14, "v_r", "seeded")
     df = adx(macd(ema(ema(df, 20, "v_e20"), 50, "v_e50"), prefix="v_m"))
     df = accumulation(obv(keltner(bollinger(atr_seeded(df, 14, "v_a")))))
-    df = rolling_order(volume_weighted_move(df, 20, "v_w"), {"v_rank": Rolling("rank", F.col("v_a") / nonzero(F.col("close")), 252, 60)}).withColumn("v_ad", F.lag("ad", 20).over(series()))
+    df = rolling_order(volume_weighted_move(df, 20, "v_w"), {"v_rank": Rolling("rank", F.col("v_a") / nonzero(F.col("close")), 252, 60)}).withColumn("v_ad", F.round("ad", 6) - F.round(F.lag("ad", 20).over(series()), 6))
 
     def vote(up: Column, down: Column | None = None) -> Column:
         out = F.when(up, 1)
@@ -279,7 +279,7 @@ def votes(df: DataFrame) -> DataFrame:
             "vote_rsi": vote(c("v_r") < 30, c("v_r") > 70), "vote_stoch": vote(c("stoch_k") < 20, c("stoch_k") > 80), "vote_cci": vote(c("cci") < -100, c("cci") > 100), "vote_willr": vote(c("willr") < -80, c("willr") > -20),
             "vote_ema": vote(c("v_e20") > c("v_e50"), c("v_e20") < c("v_e50")), "vote_adx": vote(c("adx") > 25), "vote_macd": vote(c("v_m_line") > c("v_m_signal"), c("v_m_line") < c("v_m_signal")),
             "vote_bb": vote(F.col("close") < c("bb_low"), F.col("close") > c("bb_up")), "vote_kc": vote(F.col("close") > c("kc_up"), F.col("close") < c("kc_low")), "vote_vol": vote(c("v_rank") > 0.75),
-            "vote_obv": vote(c("obv") > c("obv_ema"), c("obv") < c("obv_ema")), "vote_ad": vote(c("ad") > c("v_ad"), c("ad") < c("v_ad")), "vote_vwpm": vote(c("v_w") > 0, c("v_w") < 0),
+            "vote_obv": vote(c("obv") > c("obv_ema"), c("obv") < c("obv_ema")), "vote_ad": vote(c("v_ad") > 0, c("v_ad") < 0), "vote_vwpm": vote(c("v_w") > 0, c("v_w") < 0),
         }
     ).drop("v_r", "v_e20", "v_e50", "v_m_line", "v_m_signal", "v_m_hist", "v_a", "v_w", "v_rank", "v_ad")
 

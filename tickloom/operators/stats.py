@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import kept
 from ..functions.rolling import nonzero, section_rank
 
 
@@ -29,19 +30,38 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlation_clusters(rho: DataFrame, names: list[str], threshold: float = 0.6) -> DataFrame:
-    """name, cluster (the first name's place): connected components of pairs over the threshold. One node a column."""
-    place = {n: i for i, n in enumerate(names)}
-    root = list(range(len(names)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for r in rho.where(F.abs("rho") > threshold).collect():  # at most one row a pair of columns
-        a, b = find(place[r["a"]]), find(place[r["b"]])
-        root[max(a, b)] = min(a, b)
-    return rho.sparkSession.createDataFrame([(n, find(i)) for n, i in place.items()], "name string, cluster int")
+    """name, cluster (the first name's place): connected components of pairs over the threshold.
+
+    A recursive query: each name's set takes in the other ends of the links that touch it, until it grows no more. The links are one row of at most a
+    pair of columns each; a chain of over 99 links needs a higher ``spark.sql.cteRecursionLevelLimit``.
+    """
+    return rho.sparkSession.sql(
+        """WITH RECURSIVE net AS (SELECT collect_list(struct(a, b)) AS links FROM {rho} WHERE abs(rho) > :threshold),
+        walk(name, seen) AS (
+          SELECT name, array(name) FROM (SELECT explode(:names) AS name)
+          UNION ALL
+          SELECT name, grown FROM (
+            SELECT name, seen, array_distinct(concat(seen, transform(filter(links, x -> array_contains(seen, x.a)), x -> x.b), transform(filter(links, x -> array_contains(seen, x.b)), x -> x.a))) AS grown
+            FROM walk JOIN net ON true)
+          WHERE size(grown) > size(seen))
+        SELECT name, CAST(array_min(transform(max_by(seen, size(seen)), x -> array_position(:names, x))) - 1 AS INT) AS cluster FROM walk GROUP BY name""",
+        args={"threshold": threshold, "names": names}, rho=kept(rho),
+    )
+
+
+def cluster_keepers(clusters: DataFrame, rho: DataFrame, scores: DataFrame) -> DataFrame:
+    """cluster, name, size, score, max_rho, keeper, scored: whom to keep of each cluster of columns.
+
+    ``scores``: name, score (columns without one may be absent). The keeper has the greatest score, of equal ones the last name; ``scored`` tells
+    whether it has one at all. ``max_rho`` is the greatest absolute correlation of any two of the cluster, linked or not; NULL for a single column.
+    """
+    lone = F.lit(float("-inf"))
+    each = clusters.join(scores.select("name", "score"), "name", "left").withColumn("tl_s", F.coalesce("score", lone))
+    best = each.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.max(F.struct("tl_s", "name")).alias("best"))
+    ends = rho.join(clusters.select(F.col("name").alias("a"), "cluster"), "a").join(clusters.select(F.col("name").alias("b"), F.col("cluster").alias("other")), "b")
+    inside = ends.where("cluster = other").groupBy("cluster").agg(F.max(F.when(~F.isnan("rho"), F.abs("rho"))).alias("max_rho"))
+    out = each.join(best, "cluster").join(inside, "cluster", "left")
+    return out.select("cluster", "name", "size", "score", "max_rho", (F.col("name") == F.col("best.name")).alias("keeper"), (F.col("best.tl_s") > lone).alias("scored"))
 
 
 def rank_ic(df: DataFrame, score: str, ret: str, step: int = 4) -> DataFrame:

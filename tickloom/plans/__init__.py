@@ -1,4 +1,4 @@
 """Registered queries with their SQL."""
 
-from . import indicators, market, reports, strategy  # noqa: F401
+from . import features, indicators, market, reports, strategy  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

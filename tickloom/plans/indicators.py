@@ -261,11 +261,6 @@ def _(spark, d):
     return rounded(ind.next_candle_score(trade_bars(spark, d)), ["symbol", "date", "score2", "score3"])
 
 
-@query("ind25_26_votes_and_features")
-def _(spark, d):
-    return rounded(ind.feature_table(trade_bars(spark, d)), ["symbol", "date", *ind.CONTINUOUS, *[f"vote_{v}" for v in ind.VOTES]], 5)
-
-
 @query(
     "win01_02_08_12_rolling",
     with_bars(f"""a AS (SELECT *, close / lag(close) {_W} - 1 AS x FROM bars)

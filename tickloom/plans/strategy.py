@@ -295,13 +295,6 @@ def _(spark, d):
     return stats.ols(r, "y", "x", ("symbol",)).select("symbol", "n", F.round("beta", 5).alias("beta"), F.round("alpha", 4).alias("alpha"), F.round("t_alpha", 4).alias("t_alpha"))
 
 
-@query("agg12_13_vote_clusters")
-def _(spark, d):
-    v = ind.votes(trade_bars(spark, d))
-    names = [f"vote_{x}" for x in ind.VOTES]
-    return stats.correlation_clusters(stats.correlations(v, names), names)
-
-
 @query("agg12_correlations", with_bars("SELECT 'open' AS a, 'close' AS b, round(corr(open, close), 6) AS rho FROM bars UNION ALL SELECT 'open', 'volume', round(corr(open, volume), 6) FROM bars UNION ALL SELECT 'close', 'volume', round(corr(close, volume), 6) FROM bars"))
 def _(spark, d):
     return rounded(stats.correlations(trade_bars(spark, d), ["open", "close", "volume"]), ["a", "b", "rho"])
