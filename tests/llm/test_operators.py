@@ -774,8 +774,8 @@ def test_components_of_random_links(spark):
     for a, b in pairs:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    for few in (0, 1000):
-        got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(pairs, "a long, b long"), few=few).collect()}
+    for task_links in (1, 7, 1000):  # many tasks that start anew again and again, several, one
+        got = {r.node: r.root for r in near_dedup.components(spark.createDataFrame(pairs, "a long, b long").repartition(9), task_links=task_links).collect()}
         assert got == {i: find(i) for a, b in pairs if a != b for i in (a, b)}
     assert near_dedup.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
 

@@ -234,8 +234,8 @@ def _linked(percent: int, shingle: int):
     return handle
 
 
-def _united(schema: pa.Schema):
-    """Components of the links of one task."""
+def _forest(most: int):
+    """The links of one task as stars, each node to the least one it reaches there. After ``most`` nodes the task starts anew, so memory is bounded; stars that should be one meet later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict = {}
@@ -245,36 +245,45 @@ def _united(schema: pa.Schema):
                 root[x] = x = root[root[x]]
             return x
 
+        def stars(kinds: pa.Schema) -> pa.RecordBatch:
+            pairs = [(x, r) for x in root if (r := find(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], kinds.field(k).type) for k in (0, 1)], ["u", "v"])
+
+        kinds = None
         for batch in batches:
+            kinds = batch.schema
             for a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = find(a), find(b)
                 root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, schema[0].type), pa.array([find(x) for x in nodes], schema[1].type)], schema=schema)
+            if len(root) > most:
+                yield stars(kinds)
+                root.clear()
+        if root:
+            yield stars(kinds)
 
     return run
 
 
-def components(links: DataFrame, most_rounds: int = 60, few: int = 20_000) -> DataFrame:
-    """node, root for each end of a link: the least node of its component. Large-star and small-star steps in turn, each kept in the checkpoint folder; at most ``few`` links are united in one task instead, with the same result.
+def components(links: DataFrame, most_rounds: int = 60, task_links: int = 250_000) -> DataFrame:
+    """node, root for each end of a link: the least node of its component.
 
-    A node with very many neighbours is a group of rows that only minima and skew joins see.
+    The links, about ``task_links`` a task, first become a forest of stars in each task; then large-star and small-star steps in turn, each kept in the
+    checkpoint folder, until a round changes nothing. A node with very many neighbours is a group of rows that only minima and skew joins see.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    links = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    kind = links.schema["u"].dataType.simpleString()
+    tasks = max(1, -(-links.count() // task_links))
+    edges = checkpointed(links.coalesce(tasks).mapInArrow(_forest(2 * task_links), f"u {kind}, v {kind}"))
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
     before = mark(edges)
-    if before[0] <= few:
-        kind = edges.schema["u"].dataType.simpleString()
-        arrow = pa.binary() if kind == "binary" else pa.int64()
-        return edges.coalesce(1).mapInArrow(_united(pa.schema([("node", arrow), ("root", arrow)])), f"node {kind}, root {kind}")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpointed(large)
+        # one edge for each edge at most, so what is equal waits for the small step
+        large = checkpointed(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = checkpointed(small)
