@@ -43,7 +43,7 @@ def simple_rules(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
             "sig_hold": F.lit(1), "sig_mom252": flag(change(F.col("close"), 252) > 0), "sig_macd": flag(c("s_m_line") > c("s_m_signal")), "sig_ema_cross": flag(c("s_e20") > c("s_e50")),
-            "sig_ema_adx": flag((c("s_e20") > c("s_e50")) & (c("adx") > 25)), "sig_obv": flag(c("obv") > c("obv_ema")), "sig_ad": flag(c("ad") > F.lag("ad", 20).over(series())), "sig_vwpm": flag(c("s_w") > 0),
+            "sig_ema_adx": flag((c("s_e20") > c("s_e50")) & (c("adx") > 25)), "sig_obv": flag(c("obv") > c("obv_ema")), "sig_ad": flag(F.round("ad", 6) > F.round(F.lag("ad", 20).over(series()), 6)), "sig_vwpm": flag(c("s_w") > 0),
         }
     ).drop("s_m_line", "s_m_signal", "s_m_hist", "s_e20", "s_e50", "s_w")
 

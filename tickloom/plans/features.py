@@ -9,7 +9,7 @@ from ..functions.lineage import kept
 from ..functions.rolling import so_far
 from ..operators import backtest as bt
 from ..operators import indicators as ind
-from ..operators import stats
+from ..operators import signals, stats
 from ..sources.bars import trade_bars
 from .base import query, recursive, rounded, sql_ewm, sql_ewm_seeded, sql_rounded, with_bars
 from .indicators import _K, _TR, _W, _frame, _roll, _rsi_sql
@@ -80,3 +80,35 @@ def _(spark, d):
     scores = bt.metrics(bt.equal_weight(run, keys=("name",)), "ret", ("name",), position=None).select("name", F.col("sharpe").alias("score"))
     out = stats.cluster_keepers(stats.correlation_clusters(rho, _VOTE_NAMES), rho, scores)
     return out.select("cluster", "name", "size", F.round("score", 4).alias("score"), F.round("max_rho", 5).alias("max_rho"), "keeper", "scored")
+
+
+def _flag(x: str) -> str:
+    return f"CAST(coalesce({x}, false) AS INTEGER)"
+
+
+#: Rules of two families over ``ft``.
+_FAMILY = {
+    "sig_hold": "1", "sig_mom252": _flag(f"close / lag(close, 252) {_W} - 1 > 0"), "sig_macd": _flag("macd_line > macd_signal"), "sig_ema_cross": _flag("ema20 > ema50"), "sig_ema_adx": _flag("ema20 > ema50 AND adx > 25"),
+    "sig_obv": _flag("obv > obv_ema"), "sig_ad": _flag("round(ad, 6) > round(ad20, 6)"), "sig_vwpm": _flag("vwpm20 > 0"),
+    "sig_rsi_30_50": _state("rsi14 < 30", "rsi14 > 50", "rsi14 IS NOT NULL"), "sig_rsi_30_70": _state("rsi14 < 30", "rsi14 > 70", "rsi14 IS NOT NULL"), "sig_rsi_60_40": _state("rsi14 > 60", "rsi14 < 40", "rsi14 IS NOT NULL"),
+    "sig_stoch_20_50": _state("stoch_k < 20", "stoch_k > 50", "stoch_k IS NOT NULL"), "sig_cci_100_0": _state("cci < -100", "cci > 0", "cci IS NOT NULL"), "sig_willr_80_50": _state("willr < -80", "willr > -50", "willr IS NOT NULL"),
+}
+
+
+@query(
+    "bkt11_13_family_gate",
+    with_bars(f"""{FEATURES}, ru AS MATERIALIZED (SELECT symbol, date, open, high, low, close, volume, {', '.join(f'CAST({x} AS INTEGER) AS {k}' for k, x in _FAMILY.items())} FROM ft),
+sv AS (UNPIVOT ru ON {', '.join(_FAMILY)} INTO NAME rule VALUE signal), sg AS (SELECT * REPLACE (rule || ':' || symbol AS symbol) FROM sv), {_backtest_sql()},
+ct AS (SELECT unnest([0.0, 0.0035, 0.007])::DOUBLE AS cost), pf AS (SELECT rule, cost, date, avg(CASE WHEN ex THEN (1 + gross) * (1 - cost) - 1 ELSE gross END) AS ret FROM eq, ct GROUP BY rule, cost, date),
+q AS (SELECT *, product(1 + coalesce(ret, 0)) OVER (PARTITION BY rule, cost ORDER BY date) AS q FROM pf), dd AS (SELECT *, q / greatest(max(q) OVER (PARTITION BY rule, cost ORDER BY date), 1.0) - 1 AS dd FROM q)
+SELECT rule, cost, round(stddev_samp(ret) * sqrt(252), 5) AS vol, round(avg(ret) * 252 / nullif(stddev_samp(ret) * sqrt(252), 0), 5) AS sharpe, round(min(dd), 5) AS max_dd, count(ret) AS n FROM dd GROUP BY rule, cost"""),
+)
+def _(spark, d):
+    """Every rule of two families at three cost levels, one engine run over (symbol, rule, cost)."""
+    df = signals.oscillator_rules(signals.simple_rules(trade_bars(spark, d)))
+    names = [c for c in df.columns if c.startswith("sig_")]
+    each = df.select("symbol", "date", "open", "high", "low", "close", "volume", F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("signal")) for c in names])).alias("x")).select("*", "x.*").drop("x")
+    costs = spark.createDataFrame([(0.0,), (0.0035,), (0.007,)], "cost double")
+    run = bt.backtest(each.crossJoin(F.broadcast(costs)), "signal", F.col("cost"), keys=("symbol", "rule", "cost"))
+    port = bt.equal_weight(run, keys=("rule", "cost"))
+    return rounded(bt.metrics(port, "ret", ("rule", "cost"), position=None), ["rule", "cost", "vol", "sharpe", "max_dd", "n"], 5)

@@ -193,18 +193,6 @@ def _(spark, d):
     return spark.sql("SELECT rule, n_rsi, n_ema, round(avg(sharpe), 4) AS sharpe, count(*) AS n FROM tickloom_grid GROUP BY GROUPING SETS ((rule), (n_rsi), (n_ema))")
 
 
-@query("bkt11_13_family_gate")
-def _(spark, d):
-    """Every rule of two families at three cost levels, one engine run over (symbol, rule, cost)."""
-    df = signals.oscillator_rules(signals.simple_rules(trade_bars(spark, d)))
-    names = [c for c in df.columns if c.startswith("sig_")]
-    each = df.select("symbol", "date", "open", "high", "low", "close", "volume", F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("signal")) for c in names])).alias("x")).select("*", "x.*").drop("x")
-    costs = spark.createDataFrame([(0.0,), (0.0035,), (0.007,)], "cost double")
-    run = bt.backtest(each.crossJoin(F.broadcast(costs)), "signal", F.col("cost"), keys=("symbol", "rule", "cost"))
-    port = bt.equal_weight(run, keys=("rule", "cost"))
-    return rounded(bt.metrics(port, "ret", ("rule", "cost"), position=None), ["rule", "cost", "vol", "sharpe", "max_dd", "n"], 5)
-
-
 @query("bkt03_04_fractional", with_bars(f"""r AS (SELECT symbol, date, coalesce(close / lag(close) {_W} - 1, 0) AS r, 1.0 / count(close) OVER (PARTITION BY date) AS w FROM bars), h AS (SELECT *, coalesce(lag(w) {_W}, 0) AS h FROM r)
 SELECT date, round(sum(h * r), 5) AS gross, round(sum(abs(w - h)), 5) AS turnover, round(sum(h), 5) AS exposure, round(sum(h * r) - sum(abs(w - h)) * 0.0035 / 2, 5) AS net FROM h GROUP BY date"""))
 def _(spark, d):
