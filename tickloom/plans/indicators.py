@@ -10,7 +10,7 @@ from ..functions.ewm import ewm
 from ..functions.orderstats import Rolling, rolling_order
 from ..operators import indicators as ind
 from ..sources.bars import trade_bars
-from .base import query, recursive, rounded, sql_ewm, sql_ewm_seeded, sql_ewm_weighted, sql_rounded, with_bars
+from .base import query, recursive, rounded, sql_ewm, sql_ewm_seeded, sql_ewm_weighted, with_bars
 
 _W = "OVER (PARTITION BY symbol ORDER BY date)"
 
