@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
 
+import numpy as np
 import pytest
 
 from tickloom.operators import stats
@@ -48,3 +50,20 @@ def test_keepers(spark):
         "a": (3, 1.0, 0.8, False, True), "b": (3, 1.0, 0.8, True, True), "c": (3, -2.0, 0.8, False, True),
         "d": (2, None, 0.9, False, False), "e": (2, None, 0.9, True, False), "f": (1, None, None, True, False),
     }
+
+
+def test_constant_columns(spark):
+    """A column that never changes has no correlation (NaN, as in the SQL), and that is no error."""
+    rows = spark.createDataFrame([(1, 2, 1.0, None), (1, 4, 2.0, 5.0), (1, 1, 4.0, 5.0), (1, 7, None, 5.0)], "k int, x int, y double, z double")
+    got = {(r.a, r.b): r.rho for r in stats.correlations(rows, ["k", "x", "y", "z"]).collect()}
+    assert all(math.isnan(got[p]) for p in (("k", "x"), ("k", "y"), ("k", "z"), ("x", "z"), ("y", "z")))
+    assert got["x", "y"] == pytest.approx(np.corrcoef([2, 4, 1], [1.0, 2.0, 4.0])[0, 1])
+    assert stats.correlations(rows.where("false"), ["k", "x"]).first().rho is None
+    clusters = stats.correlation_clusters(stats.correlations(rows.drop("z"), ["k", "x", "y"]), ["k", "x", "y"])
+    assert {r["cluster"] for r in clusters.collect()} == {0}
+
+
+def test_equal_ranks_on_a_date(spark):
+    day = lambda d, xs, ys: [(d, x, y) for x, y in zip(xs, ys)]
+    rows = spark.createDataFrame(day("a", (1.0, 1.0, 1.0), (1.0, 2.0, 3.0)) + day("b", (1.0, 2.0, 3.0), (2.0, 4.0, 9.0)), "date string, s double, r double")
+    assert [(r.n, r.ic) for r in stats.rank_ic(rows, "s", "r").collect()] == [(1, pytest.approx(1.0))]
