@@ -34,3 +34,9 @@ def test_rows_are_kept_before_they_are_weighed(spark, monkeypatch):
     monkeypatch.setattr(boosting, "balanced", seen)
     with pytest.raises(Seen):
         boosting.boosted_rows(*tables(spark, *drawn(0)), FEATURES)
+
+
+def test_a_level_is_one_exchange(spark):
+    rows = spark.createDataFrame([(1, "train", 0, 1.0, [1, 2], [0.0, 0.0], [0, 0])], "fold int, role string, y int, w double, x array<int>, margins array<double>, nodes array<int>")
+    plan = boosting.best_splits(boosting._sums(rows, 2, 2, 4, 0))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
