@@ -831,3 +831,21 @@ def test_near_odd(spark):
     assert near_dedup.near_dedup_digests(empty(spark)).count() == 0
     kept = near_dedup.without_near_duplicates(odd(spark))
     assert kept.columns == odd(spark).columns
+
+
+def test_a_crowd_goes_down_once(spark, monkeypatch):
+    """Near copies share nearly every child of their nodes: they are joined as a crowd at the second level, and no level below repeats them."""
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join(w if k != i else f"x{i}" for k, w in enumerate(words))) for i in range(200)], "doc_id long, text string")
+    levels, real = [], near_dedup.checkpointed
+
+    def kept(df):
+        out = real(df)
+        if {"node", "digest", "size"} <= set(out.columns):
+            levels.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "checkpointed", kept)
+    got = near_dedup.near_dedup_digests(docs, 85, leaf=20, part=40, pivots=4).collect()
+    assert {r.component_id for r in got} == {0} and len(got) == 200
+    assert levels[0] > 200 and levels[1] > 200 and sum(levels[2:]) == 0

@@ -12,7 +12,8 @@ connected already are not compared again, so a group of near copies costs compar
 to its size, and a node returns at most one link a class. Equal clusters of several trees are
 compared once.
 
-A node that is still larger at the deepest level holds classes that are like each other. It is dealt
+A larger node that has more than half of its parent's classes, or that is still larger at the deepest level,
+holds classes that are like each other: a crowd, which going down would only repeat level by level. It is dealt
 to parts of ``part`` classes, another deal in each tree, each part with the node's ``pivots`` in it,
 so whatever is like a pivot is linked. What that leaves apart is then joined exactly, by prefix filters
 over the full sets of all classes in such nodes: with shingles in order of rarity, the smaller set of a
@@ -302,9 +303,9 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shi
     """
     if not 50 <= percent <= 100:
         raise ValueError("thresholds are from 50 to 100 percent: below, a node would have to choose more than two tokens")
-    threshold, nodes, crowded = percent / 100, [], None
+    threshold, nodes, crowds = percent / 100, [], []
     columns = ["node", "digest", "n_shingles", "sk1", "sk2"]
-    now = classes.select("digest", "n_shingles", "sk1", "sk2", F.explode(_children(threshold, trees, None)).alias("node")).select(columns)
+    now = classes.select("digest", "n_shingles", "sk1", "sk2", F.explode(_children(threshold, trees, None)).alias("node")).select(*columns, F.lit(None).cast("long").alias("was"))
     for level in range(1, depth + 1):
         sizes = now.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         met = checkpointed(now.join(sizes, "node"))
@@ -312,16 +313,22 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shi
         large = met.where(F.col("size") > leaf)
         if large.isEmpty():
             break
+        parts_not = F.lit(level == depth) | F.coalesce(2 * F.col("size") > F.col("was"), F.lit(False))
+        crowds.append(large.where(parts_not))
         if level < depth:
             tokens = classes.select(F.col("digest").alias("c"), "tokens")
-            now = large.join(tokens, F.col("digest") == F.col("c")).withColumn("node", F.explode(_children(threshold, trees, F.col("node")))).select(columns).distinct()
-        else:
-            crowded = checkpointed(large.select(F.col("digest").alias("crowded")).distinct())
-            # which classes are a node's pivots is a matter of their rank by a hash, found with partial aggregates
-            seeded = large.withColumn("h", F.xxhash64("node", "digest")).withColumn("parts", F.ceil(F.col("size") / part).cast("long"))
-            cut = F.col("h").cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * pivots / F.col("size")
-            copies = F.when(cut & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), F.col("parts"))))
-            nodes.append(seeded.withColumn("p", F.explode(copies)).withColumn("node", F.xxhash64("node", "p")).select(columns))
+            rest = large.where(~parts_not).join(tokens, F.col("digest") == F.col("c"))
+            now = rest.select(F.explode(_children(threshold, trees, F.col("node"))).alias("node"), *columns[1:], F.col("size").alias("was")).distinct()
+    crowd = reduce(DataFrame.unionByName, crowds) if crowds else None
+    if crowd is not None and not crowd.isEmpty():
+        # which classes are a node's pivots is a matter of their rank by a hash, found with partial aggregates
+        seeded = crowd.withColumn("h", F.xxhash64("node", "digest")).withColumn("parts", F.ceil(F.col("size") / part).cast("long"))
+        cut = F.col("h").cast("double") < F.lit(-(2.0**63)) + F.lit(2.0**64) * pivots / F.col("size")
+        copies = F.when(cut & (F.col("parts") > 1), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("h"), F.col("parts"))))
+        nodes.append(seeded.withColumn("p", F.explode(copies)).withColumn("node", F.xxhash64("node", "p")).select(columns))
+        crowded = checkpointed(crowd.select(F.col("digest").alias("crowded")).distinct())
+    else:
+        crowded = None
 
     def confirmed(nodes: DataFrame) -> DataFrame:
         dealt = nodes.repartition("node").sortWithinPartitions("node")
