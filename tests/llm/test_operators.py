@@ -849,3 +849,40 @@ def test_a_crowd_goes_down_once(spark, monkeypatch):
     got = near_dedup.near_dedup_digests(docs, 85, leaf=20, part=40, pivots=4).collect()
     assert {r.component_id for r in got} == {0} and len(got) == 200
     assert levels[0] > 200 and levels[1] > 200 and sum(levels[2:]) == 0
+
+
+def shuffled_mb(spark):
+    """MB that the session's shuffles have written so far."""
+    import time
+
+    time.sleep(0.3)
+    spark.range(9).repartition(3).count()  # its end brings the totals up to date
+    of = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(of.apply(k).totalShuffleWrite() for k in range(of.size())) / 1e6
+
+
+def test_a_crowd_does_not_shuffle_the_other_texts(spark):
+    """Of a table of long texts that are like no other, joins on texts move only what they want: the crowd's near copies, with or without an exact join of crowds."""
+    rng = random.Random(5)
+    long = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(4000)), None, None, None) for i in range(300)]
+    words = [f"w{i}" for i in range(200)]
+    crowd = [(1000 + i, " ".join(w if k != i else f"x{i}" for k, w in enumerate(words)), None, None, None) for i in range(120)]
+    docs = spark.createDataFrame(long + crowd, DOCS).repartition(4).localCheckpoint()
+    mb = sum(len(r[1]) for r in long) / 1e6
+    for leaf in (1000, 20):  # without and with a crowd
+        before = shuffled_mb(spark)
+        got = near_dedup.near_dedup_digests(docs, 85, leaf=leaf, part=40, pivots=4).collect()
+        moved = shuffled_mb(spark) - before
+        assert {r.doc_id: r.component_id for r in got} == {r[0]: min(r[0], 1000) for r in long + crowd}
+        assert moved < 0.4 * mb, f"{moved:.1f} MB shuffled of {mb:.1f} MB of texts"
+
+
+def test_sifted_rows(spark):
+    """Every wanted row passes, also with null keys and over many bitmaps, and few others; where none is wanted, none passes."""
+    rows = spark.range(400_000).select(F.when(F.col("id") != 5, F.col("id")).alias("a"), (F.col("id") * 7).alias("b"), F.lit("x").alias("text"))
+    wanted = rows.where("b % 11 = 0 or a is null").select(F.col("a").alias("c"), F.col("b").alias("d"))
+    got = near_dedup._sifted(rows, ["a", "b"], wanted)
+    assert got.columns == rows.columns
+    assert got.join(wanted, F.col("a").eqNullSafe(F.col("c")) & (F.col("b") == F.col("d"))).count() == wanted.count()
+    assert wanted.count() < got.count() < wanted.count() + 70_000
+    assert near_dedup._sifted(rows, ["a", "b"], wanted.limit(0)).count() == 0

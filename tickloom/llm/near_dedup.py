@@ -48,6 +48,7 @@ from .wordvec import Words, mix, text_chunks, window_hashes
 
 _TOKENS = 64  # minwise tokens for a sketch; two bits of each
 _BRANCH = 32  # of them, tokens that nodes can choose
+_FILTER_BITS = 1 << 20, 1 << 27  # the least and most bits of a filter that is broadcast: 16 MB at most
 _LOST = 1e-5  # share of the pairs at the threshold whose sketches may be taken for far ones
 _SEEDS = mix(np.arange(1, 2 * _TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _SKETCH = "doc_id long, key long, n_shingles long, digest binary, sk1 long, sk2 long, tokens array<int>"
@@ -296,6 +297,24 @@ def components(links: DataFrame, most_rounds: int = 60, task_links: int = 250_00
     raise RuntimeError("components did not settle")
 
 
+def _sifted(rows: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose ``keys`` are a row of ``wanted``, all of them, and about one in nine others: what an exact join on the keys then has to shuffle.
+
+    A filter of eight bits a wanted row, in bitmaps of 4 KB, is broadcast to the scan of ``rows``. It stops growing at 16 million wanted rows; with more, more
+    others pass. ``wanted`` is read twice, so it should be checkpointed; its columns are those of ``keys`` in order.
+    """
+    least, most = _FILTER_BITS
+    bits = min(most, max(least, 1 << (8 * wanted.count()).bit_length()))
+    place = lambda names: F.pmod(F.xxhash64(*[F.col(n) for n in names]), F.lit(bits).cast("long"))
+    # dealt by bitmap first, or each task would send every bitmap
+    marks = wanted.select(place(wanted.columns).alias("place")).select("place", F.bitmap_bucket_number("place").alias("bitmap")).repartition("bitmap")
+    bitmaps = marks.groupBy("bitmap").agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marked"))
+    at = F.bitmap_bit_position("place").cast("int")
+    byte = F.conv(F.hex(F.substring("marked", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("place", place(keys)).withColumn("bitmap", F.bitmap_bucket_number("place"))
+    return placed.join(F.broadcast(bitmaps), "bitmap").where(F.getbit(byte, at % 8) == 1).select(*rows.columns)
+
+
 def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shingle: int, trees: int = 10, leaf: int = 1000, depth: int = 5, part: int = 800, pivots: int = 32) -> DataFrame:
     """a, b: digests of linked classes, enough of them to connect every component.
 
@@ -316,8 +335,9 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shi
         parts_not = F.lit(level == depth) | F.coalesce(2 * F.col("size") > F.col("was"), F.lit(False))
         crowds.append(large.where(parts_not))
         if level < depth:
-            tokens = classes.select(F.col("digest").alias("c"), "tokens")
-            rest = large.where(~parts_not).join(tokens, F.col("digest") == F.col("c"))
+            rest = large.where(~parts_not)
+            tokens = _sifted(classes.select(F.col("digest").alias("c"), "tokens"), ["c"], rest.select("digest"))
+            rest = rest.join(tokens, F.col("digest") == F.col("c"))
             now = rest.select(F.explode(_children(threshold, trees, F.col("node"))).alias("node"), *columns[1:], F.col("size").alias("was")).distinct()
     crowd = reduce(DataFrame.unionByName, crowds) if crowds else None
     if crowd is not None and not crowd.isEmpty():
@@ -330,21 +350,24 @@ def near_duplicate_links(classes: DataFrame, texts: DataFrame, percent: int, shi
     else:
         crowded = None
 
-    def confirmed(nodes: DataFrame) -> DataFrame:
+    def confirmed(nodes: DataFrame, classes: DataFrame) -> DataFrame:
         dealt = nodes.repartition("node").sortWithinPartitions("node")
         clusters = checkpointed(dealt.mapInArrow(_by_key(_clusters(percent), _CLUSTER), "cluster binary, digest binary, sk1 long, sk2 long").dropDuplicates(["cluster", "digest"]))
         places = classes.select(F.col("digest").alias("c"), F.col("doc").alias("d"), F.col("key").alias("k"))
-        wanted = clusters.join(places, F.col("digest") == F.col("c")).select("cluster", "digest", "sk1", "sk2", "d", "k").hint("shuffle_hash")
-        held = texts.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cluster", "digest", "sk1", "sk2", "text")
+        wanted = checkpointed(clusters.join(places, F.col("digest") == F.col("c")).select("cluster", "digest", "sk1", "sk2", "d", "k"))
+        near = _sifted(texts, ["doc", "key"], wanted.select("d", "k"))
+        held = near.join(wanted.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cluster", "digest", "sk1", "sk2", "text")
         return held.repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_by_key(_linked(percent, shingle), _LINK), "a binary, b binary")
 
-    links = confirmed(reduce(DataFrame.unionByName, nodes))
+    links = confirmed(reduce(DataFrame.unionByName, nodes), classes)
     if crowded is None:
         return links
     links = checkpointed(links)
     roots = checkpointed(components(links))
-    members = _prefixed(classes.join(crowded, F.col("digest") == F.col("crowded"), "left_semi"), texts, roots, percent, shingle, part)
-    return links.unionByName(confirmed(_met(_crowds(members), leaf, part)))
+    # from here on the join costs what the crowds have, not what the table has
+    inside = checkpointed(_sifted(classes.drop("tokens"), ["digest"], crowded).join(crowded, F.col("digest") == F.col("crowded")).drop("crowded"))
+    members = _prefixed(inside, texts, roots, percent, shingle, part)
+    return links.unionByName(confirmed(_met(_crowds(members), leaf, part), inside))
 
 
 def _tokens(shingle: int):
@@ -367,8 +390,8 @@ def _prefixed(classes: DataFrame, texts: DataFrame, roots: DataFrame, percent: i
     the first shingles of the smaller (``indexed``) is among the first of the larger. ``label`` is the component where
     that has more than ``part`` classes, else null.
     """
-    at = classes.select("digest", F.col("doc").alias("d"), F.col("key").alias("k")).hint("shuffle_hash")
-    held = texts.join(at, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("digest", "text")
+    at = classes.select("digest", F.col("doc").alias("d"), F.col("key").alias("k"))
+    held = _sifted(texts, ["doc", "key"], at.select("d", "k")).join(at.hint("shuffle_hash"), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("digest", "text")
     tokens = checkpointed(held.mapInArrow(_tokens(shingle), "digest binary, tokens array<long>")).select("digest", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     common = tokens.join(counts, "token").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("often", "token"))).alias("common"))
