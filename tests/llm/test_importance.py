@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,23 @@ def test_the_matrix_is_what_was_counted(spark, tmp_path):
     assert sums == sum(want.values(), Counter())
 
 
+def test_blocks_and_row_groups_are_small(spark, tmp_path):
+    """Spark's reader decodes up to 4096 rows of a row group at once, so a task's memory follows blocks and row groups, and not the size of a file."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(20_000)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 40, 300, 900, 6000 if i % 50 == 0 else 20])))) for i in range(1500)]
+    blocks = importance.stored_blocks(spark.createDataFrame(docs, DOCS).coalesce(1), f"{tmp_path}/m")
+    rows = blocks.collect()
+    assert len(rows) > 2 * 64 and all(len(r.buckets) <= 2048 or len(r.doc_ids) == 1 for r in rows)
+    assert max(len(r.buckets) for r in rows) > 2048
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("m/*.parquet")]
+    assert max(f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) == 64
+    codes = [(i, [zlib.crc32(w.encode()) % 10_000 for w in text.split()]) for i, text in docs]
+    assert {r.bucket: r.n for r in importance.column_sums(blocks).collect()} == Counter(c for _, each in codes for c in each)
+    weights = importance.document_weights(blocks, spark.range(10_000).select(F.col("id").cast("int").alias("bucket"), F.col("id").alias("gain")))
+    assert sorted(map(tuple, weights.collect())) == [(i, len(each), len(each), sum(each) // max(len(each), 1)) for i, each in codes]
+
+
 def test_odd_rows(spark):
     """Null and repeated doc_ids, repeated rows, ties of score, null and empty texts, a very long text, clashing names."""
     docs = [(1, "a b " * 20), (1, "a b " * 20), (1, "b a " * 20), (None, "a c " * 20), (None, None), (5, ""), (5, ""), (6, None), (7, "word " * 300_000), (8, "x" * 2_000_000)]

@@ -2,8 +2,9 @@
 
 Each document is a row of counts over hashed features: runs of 1 to ``longest`` consecutive words, each in the bucket that its CRC-32
 gives. The matrix is computed once and stored as Parquet, a row a block of documents, each block in compressed sparse row form:
-doc_ids, the features and words of each document, where its entries start, and the bucket and count of each entry. Both
-passes after that read blocks, not texts:
+doc_ids, the features and words of each document, where its entries start, and the bucket and count of each entry. Blocks and Parquet's
+row groups are small, since Spark's reader decodes up to 4096 rows of a row group at once: a task holds some megabytes of the matrix, however
+large its files. Both passes after that read blocks, not texts:
 
 * column sums give the corpus's distribution over buckets, and the same sums over the target's texts the target's;
 * a bucket's gain is the logarithm of the ratio of both, smoothed, as an integer; the product of the matrix with the vector of
@@ -30,12 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import checkpointed, ensure_checkpoint_dir, released, small_batches
 from .wordvec import Words, text_chunks
 
+#: Entries of a block; a document with more, up to one a bucket, has a block of its own.
+_CELLS = 2048
+#: Blocks that are decoded at once: those of a row group of the stored matrix, and of a step in a task. Arrow batches have ``BATCH_ROWS`` at most.
+_GROUP = 64
 #: Features longer than this many bytes a word are hashed one by one.
 _LONG_WORD = 64
 _BLOCK = "doc_ids array<bigint>, n_features array<bigint>, n_words array<bigint>, starts array<int>, buckets array<int>, counts array<int>"
@@ -89,6 +95,14 @@ def feature_buckets(words: Words, buckets: int, longest: int) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(found).astype(np.int64)
 
 
+def _cuts(starts: np.ndarray, most: int) -> np.ndarray:
+    """Where blocks of documents begin and end, each of ``most`` entries at most, or one document."""
+    cuts = [0]
+    while cuts[-1] < len(starts) - 1:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(starts, starts[cuts[-1]] + most, "right")) - 1))
+    return np.array(cuts)
+
+
 def _blocks(buckets: int, longest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +112,14 @@ def _blocks(buckets: int, longest: int):
                 row, bucket = feature_buckets(words, buckets, longest)
                 cells, counts = np.unique(row * buckets + bucket, return_counts=True)
                 starts = np.searchsorted(cells, np.arange(high - low + 1) * buckets)
-                one = lambda values, kind: pa.array([values], pa.list_(kind))
+                cuts = _cuts(starts, _CELLS)
+                block = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts) + 1)  # of each start; a block has one more than documents
+                within = starts[np.arange(len(block)) - block] - starts[cuts[:-1]][block]
+                lists = lambda at, values, kind: pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.ListArray.from_arrays(pa.array([0, high - low], pa.int32()), ids.slice(low, high - low)), one(np.bincount(row, minlength=high - low), pa.int64()), one(np.diff(words.first), pa.int64()),
-                        one(starts, pa.int32()), one(cells % buckets, pa.int32()), one(counts, pa.int32()),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids.slice(low, high - low)), lists(cuts, np.bincount(row, minlength=high - low), pa.int64()), lists(cuts, np.diff(words.first), pa.int64()),
+                        lists(cuts + np.arange(len(cuts)), within, pa.int32()), lists(starts[cuts], cells % buckets, pa.int32()), lists(starts[cuts], counts, pa.int32()),
                     ],
                     ["doc_ids", "n_features", "n_words", "starts", "buckets", "counts"],
                 )
@@ -112,31 +129,33 @@ def _blocks(buckets: int, longest: int):
 
 
 def count_blocks(docs: DataFrame, id_column: str = "doc_id", buckets: int = 10_000, longest: int = 1) -> DataFrame:
-    """The count matrix of ``docs`` (an id column and text), a row a block: about a megabyte of text, or one text where that is longer."""
+    """The count matrix of ``docs`` (an id column and text), a row a block: ``_CELLS`` entries at most, or one document where that has more."""
     texts = small_batches(docs).select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_blocks(buckets, longest), _BLOCK)
 
 
 def stored_blocks(docs: DataFrame, folder: str, **parameters) -> DataFrame:
-    """``count_blocks``, written to ``folder`` and read from there."""
-    count_blocks(docs, **parameters).write.parquet(folder)
+    """``count_blocks``, written to ``folder`` in row groups of ``_GROUP`` blocks and read from there."""
+    count_blocks(docs, **parameters).write.option("parquet.block.row.count.limit", _GROUP).parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
-def _csr(batch: pa.RecordBatch) -> Iterator[dict]:
-    """Each block of a batch by its columns' names."""
-    for k in range(batch.num_rows):
-        yield {name: batch.column(i)[k].values for i, name in enumerate(batch.schema.names)}
+def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[str, pa.Array]]]:
+    """``_GROUP`` blocks at a time, and their lists by the columns' names, one after the other as one array."""
+    for k in range(0, batch.num_rows, _GROUP):
+        piece = batch.slice(k, _GROUP)
+        yield piece, {name: piece.column(i).flatten() for i, name in enumerate(batch.schema.names)}
 
 
 def _sums(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
-            for block in _csr(batch):
-                total += np.bincount(block["buckets"].to_numpy(), block["counts"].to_numpy(), buckets).astype(np.int64)  # sums of a block are exact in doubles
+            for _, flat in _pieces(batch):
+                total += np.bincount(flat["buckets"].to_numpy(), flat["counts"].to_numpy(), buckets).astype(np.int64)  # sums of a piece are exact in doubles
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["bucket", "n"])
+        released()
 
     return run
 
@@ -160,12 +179,16 @@ def bucket_gains(corpus: DataFrame, target: DataFrame, buckets: int = 10_000) ->
 def _products(gains: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in _csr(batch):
-                n, starts = block["n_features"].to_numpy(), block["starts"].to_numpy()
+            for piece, flat in _pieces(batch):
+                docs, cells = (pc.list_value_length(piece.column(name)).to_numpy().astype(np.int64) for name in ("doc_ids", "buckets"))  # of each block
+                starts = flat["starts"].to_numpy() + np.repeat(np.cumsum(cells) - cells, docs + 1)
+                after = np.cumsum(docs + 1)  # of the starts of each block
+                begin, end = np.delete(starts, after - 1), np.delete(starts, after - docs - 1)
                 # running sums, so that empty rows are nought
-                run_sum = np.concatenate([[0], np.cumsum(gains[block["buckets"].to_numpy()] * block["counts"].to_numpy())]).astype(np.int64)
-                weight = (run_sum[starts[1:]] - run_sum[starts[:-1]]) // np.maximum(n, 1)
-                yield pa.RecordBatch.from_arrays([block["doc_ids"], pa.array(n, pa.int64()), block["n_words"], pa.array(weight, pa.int64())], ["doc_id", "n_features", "n_words", "weight"])
+                run_sum = np.concatenate([[0], np.cumsum(gains[flat["buckets"].to_numpy()] * flat["counts"].to_numpy())]).astype(np.int64)
+                weight = (run_sum[end] - run_sum[begin]) // np.maximum(flat["n_features"].to_numpy(), 1)
+                yield pa.RecordBatch.from_arrays([flat["doc_ids"], flat["n_features"], flat["n_words"], pa.array(weight, pa.int64())], ["doc_id", "n_features", "n_words", "weight"])
+        released()
 
     return run
 
